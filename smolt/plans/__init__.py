@@ -1,0 +1,6 @@
+"""Named pipelines and the query catalogue (importing registers all keys)."""
+
+from smolt.plans import q_pipelines  # noqa: F401
+from smolt.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
