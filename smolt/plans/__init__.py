@@ -1,6 +1,8 @@
 """Named pipelines and the query catalogue (importing registers all keys)."""
 
-from smolt.plans import q_aggs, q_basic, q_joins, q_pipelines  # noqa: F401
+from smolt.plans import (  # noqa: F401
+    q_aggs, q_basic, q_joins, q_pipelines, q_reshape, q_sort, q_windows,
+)
 from smolt.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
