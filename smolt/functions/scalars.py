@@ -41,7 +41,7 @@ def strip_prefix(c, sep: str = "-") -> Column:
 
 def parse_date(c, fmt: str = "yyyy-MM-dd") -> Column:
     """``ymd`` / ``as.Date(format=)``: invalid dates (Feb 30) become NULL."""
-    return F.try_to_date(_col(c).cast("string"), F.lit(fmt))
+    return F.try_to_date(_col(c).cast("string"), fmt)
 
 
 def parse_ts(c, formats: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm",
