@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 def history_string(bits: Column, k: int) -> Column:
     """Render a bit mask (bit i = occasion i) as a K-digit 0/1 string."""
+    # bit i -> digit i + 1; (bits / 2**i) mod 2 keeps to column arithmetic
     digits = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                         lambda i: F.shiftright(bits, i).bitwiseAND(F.lit(1)).cast("string"))
+                         lambda i: F.pmod(F.floor(bits / F.pow(F.lit(2), i)), F.lit(2))
+                         .cast("int").cast("string"))
     return F.array_join(digits, "")
 
 
@@ -37,7 +39,7 @@ def encounter_history(sightings: DataFrame, tag: str, group: str, occ: str, k: i
         s = (s.groupBy(tag, group, occ).agg(F.count(F.lit(1)).alias("__n"))
               .filter(F.col("__n") >= min_count))
     bits = s.groupBy(tag, group).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col(occ).cast("int"))).alias("__bits"))
+        F.bit_or(F.pow(F.lit(2), F.col(occ)).cast("long")).alias("__bits"))
     return bits.select(tag, group, history_string(F.col("__bits"), k).alias("ch"))
 
 
@@ -107,3 +109,43 @@ def cohorts(freq: DataFrame, group: str, k: int, extra: Sequence[str] = ()) -> D
     first, _ = first_last_occ(F.col("ch"), k)
     return (freq.withColumn("first_occ", first)
                 .groupBy(*extra, group, "first_occ").agg(F.sum("n").cast("long").alias("N")))
+
+
+def closed_form_time(freq: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """Time-dependent Phi(t) p(t) moment estimates from the m-array
+    (Jolly's method): ``M_j = m_j + R_j z_j / r_j``,
+    ``Phi_j = M_{j+1} / (M_j - m_j + R_j)``, ``p_j = m_j / M_j``.
+
+    Unbounded (a Phi above 1 is reported as is); the last Phi and p are
+    confounded and only their product ``r_{K-1} / R_{K-1}`` is given.
+    All inputs are aggregates of the frequency table; the per-occasion
+    table has K - 1 rows per ``by`` group.
+    """
+    from pyspark.sql import Window
+    by = list(by)
+    ma = m_array(freq.withColumn("__g", F.lit(1)), "__g", k, by)
+    # Spark names are case-insensitive: R/r/m/M get distinct names
+    rel = ma.groupBy(*by, F.col("release_occ").alias("occ")).agg(
+        F.sum("n").alias("released"),
+        F.sum(F.when(F.col("recapture_occ").isNotNull(), F.col("n"))).alias("recaptured"))
+    rec = ma.filter(F.col("recapture_occ").isNotNull()).groupBy(
+        *by, F.col("recapture_occ").alias("occ")).agg(F.sum("n").alias("marked"))
+    first, last = first_last_occ(F.col("ch"), k)
+    gaps = F.filter(F.sequence(F.lit(1), F.lit(k)),
+                    lambda j: (j > first) & (j < last) & (F.substring(F.col("ch"), j, 1) == F.lit("0")))
+    z = (freq.select(*by, "n", F.explode(gaps).alias("occ"))
+             .groupBy(*by, "occ").agg(F.sum("n").alias("between")))
+    base = freq.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("occ"))
+    cnt = ["released", "recaptured", "marked", "between"]
+    t = (base.join(rel, [*by, "occ"], "left").join(rec, [*by, "occ"], "left")
+             .join(z, [*by, "occ"], "left").fillna(0, subset=cnt))
+    R, r, m = F.col("released"), F.col("recaptured"), F.col("marked")
+    t = t.withColumn("marked_pop", m + R * F.col("between") / r)
+    M = F.col("marked_pop")
+    w = Window.partitionBy(*by).orderBy("occ") if by else Window.orderBy("occ")
+    phi = F.lead("marked_pop").over(w) / (M - m + R)
+    t = t.withColumn("phi", F.when(F.col("occ") < k - 1, phi))
+    t = t.withColumn("p", F.when(F.col("occ") >= 2, m / M))
+    t = t.withColumn("last_product", F.when(F.col("occ") == k - 1, r / R))
+    return t.select(*by, "occ", *[F.col(c).cast("long").alias(c) for c in cnt],
+                    "marked_pop", "phi", "p", "last_product")

@@ -204,70 +204,105 @@ def gof_stats(freq: DataFrame, params: DataFrame, group: str, k: int, n_params:
 # ------------------------------------------------------------ numpy fitter
 
 class _Data:
-    """One dataset's frequency table as matrices."""
+    """One dataset's frequency table reduced to sufficient statistics.
+
+    The log-likelihood is linear in counts per (group, occasion):
+    S_phi[g, j] survival intervals, S_p1 / S_p0 detections / misses and
+    W[g, l] animals last seen at l (which enter through ln chi_l). The
+    optimiser then works on O(groups * K) numbers, not on histories.
+    """
 
     def __init__(self, pdf: pd.DataFrame, group: str, levels: Sequence[str], k: int):
         ch = pdf["ch"].astype(str).to_numpy()
         self.k = k
-        self.H = np.array([[c == "1" for c in s] for s in ch], dtype=bool).reshape(len(ch), k)
-        self.n = pdf["n"].to_numpy(dtype=float)
+        H = np.array([[c == "1" for c in s] for s in ch], dtype=bool).reshape(len(ch), k)
+        n = pdf["n"].to_numpy(dtype=float)
         lv = {g: i for i, g in enumerate(levels)}
-        self.g = np.array([lv[x] for x in pdf[group]], dtype=int)
-        first = self.H.argmax(axis=1)
-        last = k - 1 - self.H[:, ::-1].argmax(axis=1)
+        g = np.array([lv[x] for x in pdf[group]], dtype=int)
+        G = len(levels)
+        first = H.argmax(axis=1)
+        last = k - 1 - H[:, ::-1].argmax(axis=1)
         j = np.arange(k)
-        self.last = last
-        self.A_phi = ((j >= first[:, None]) & (j < last[:, None]))[:, : k - 1]
+        a_phi = ((j >= first[:, None]) & (j < last[:, None]))[:, : k - 1]
         span = (j > first[:, None]) & (j <= last[:, None])
-        self.A_p1 = span & self.H
-        self.A_p0 = span & ~self.H
+        self.S_phi = np.zeros((G, k - 1))
+        self.S_p1 = np.zeros((G, k))
+        self.S_p0 = np.zeros((G, k))
+        self.W = np.zeros((G, k))
+        np.add.at(self.S_phi, g, a_phi * n[:, None])
+        np.add.at(self.S_p1, g, (span & H) * n[:, None])
+        np.add.at(self.S_p0, g, (span & ~H) * n[:, None])
+        np.add.at(self.W, (g, last), n)
 
 
-def _neg_loglik(beta, d: _Data, Xphi, Xp, G):
+def _real(beta, d: _Data, Xphi, Xp, G):
     k = d.k
-    phi = 1.0 / (1.0 + np.exp(-(Xphi @ beta[: Xphi.shape[1]]))).reshape(G, k - 1)
-    pv = 1.0 / (1.0 + np.exp(-(Xp @ beta[Xphi.shape[1]:]))).reshape(G, k - 1)
-    p = np.concatenate([np.full((G, 1), np.nan), pv], axis=1)
-    phi = np.clip(phi, 1e-15, 1 - 1e-15)
-    p[:, 1:] = np.clip(p[:, 1:], 1e-15, 1 - 1e-15)
-    chi = np.ones((G, k))
+    nphi = Xphi.shape[1]
+    phi = 1.0 / (1.0 + np.exp(-(Xphi @ beta[:nphi]))).reshape(G, k - 1)
+    pv = 1.0 / (1.0 + np.exp(-(Xp @ beta[nphi:]))).reshape(G, k - 1)
+    return np.clip(phi, 1e-15, 1 - 1e-15), np.clip(pv, 1e-15, 1 - 1e-15)
+
+
+def _chi(phi, pv, k):
+    chi = np.ones((phi.shape[0], k))
     for j in range(k - 2, -1, -1):
-        chi[:, j] = 1 - phi[:, j] + phi[:, j] * (1 - p[:, j + 1]) * chi[:, j + 1]
-    PHI, P = phi[d.g], p[d.g]
-    ll = (np.where(d.A_phi, np.log(PHI), 0.0).sum(1)
-          + np.where(d.A_p1, np.log(np.where(d.A_p1, P, 1.0)), 0.0).sum(1)
-          + np.where(d.A_p0, np.log(np.where(d.A_p0, 1 - P, 1.0)), 0.0).sum(1)
-          + np.log(chi[d.g, d.last]))
-    return -float(np.sum(d.n * ll))
+        chi[:, j] = 1 - phi[:, j] + phi[:, j] * (1 - pv[:, j]) * chi[:, j + 1]
+    return chi
 
 
-def _grad_hess(f, x, h=1e-4):
+def _neg_loglik(beta, d: _Data, Xphi, Xp, G):
+    phi, pv = _real(beta, d, Xphi, Xp, G)
+    chi = _chi(phi, pv, d.k)
+    ll = (np.sum(d.S_phi * np.log(phi)) + np.sum(d.S_p1[:, 1:] * np.log(pv))
+          + np.sum(d.S_p0[:, 1:] * np.log(1 - pv)) + np.sum(d.W * np.log(chi)))
+    return -float(ll)
+
+
+def _neg_grad(beta, d: _Data, Xphi, Xp, G):
+    """Analytic gradient of -ln L in beta.
+
+    With a_j = phi_j (1 - p_{j+1}) and B_m = sum_{l <= m} W_l / chi_l *
+    prod_{q=l}^{m-1} a_q (a forward recursion), d ln L / d phi_m =
+    S_phi/phi + B_m (chi_{m+1} (1 - p_{m+1}) - 1) and d ln L / d p_{m+1} =
+    S_p1/p - S_p0/(1-p) - B_m phi_m chi_{m+1}; then the logit chain rule.
+    """
+    k = d.k
+    phi, pv = _real(beta, d, Xphi, Xp, G)
+    chi = _chi(phi, pv, k)
+    a = phi * (1 - pv)
+    B = np.zeros((G, k - 1))
+    acc = np.zeros(G)
+    for m in range(k - 1):
+        acc = (acc * a[:, m - 1] if m > 0 else acc) + d.W[:, m] / chi[:, m]
+        B[:, m] = acc
+    dphi = d.S_phi / phi + B * (chi[:, 1:] * (1 - pv) - 1)
+    dp = d.S_p1[:, 1:] / pv - d.S_p0[:, 1:] / (1 - pv) - B * phi * chi[:, 1:]
+    gphi = Xphi.T @ (dphi * phi * (1 - phi)).ravel()
+    gp = Xp.T @ (dp * pv * (1 - pv)).ravel()
+    return -np.concatenate([gphi, gp])
+
+
+def _hessian(grad, x, h=1e-5):
     m = len(x)
-    f0 = f(x)
-    g = np.zeros(m)
     H = np.zeros((m, m))
-    E = np.eye(m) * h
-    fp = np.array([f(x + E[i]) for i in range(m)])
-    fm = np.array([f(x - E[i]) for i in range(m)])
-    g = (fp - fm) / (2 * h)
     for i in range(m):
-        H[i, i] = (fp[i] - 2 * f0 + fm[i]) / (h * h)
-        for j in range(i + 1, m):
-            v = (f(x + E[i] + E[j]) - f(x + E[i] - E[j]) - f(x - E[i] + E[j])
-                 + f(x - E[i] - E[j])) / (4 * h * h)
-            H[i, j] = H[j, i] = v
-    return f0, g, H
+        e = np.zeros(m)
+        e[i] = h
+        H[:, i] = (grad(x + e) - grad(x - e)) / (2 * h)
+    return (H + H.T) / 2
 
 
 def fit_cjs(pdf: pd.DataFrame, group: str, levels: Sequence[str], k: int,
-            phi_kind: str, p_kind: str, max_iter: int = 200, cap: float = 25.0):
+            phi_kind: str, p_kind: str, max_iter: int = 500, cap: float = 25.0,
+            ftol: float = 1e-10):
     """Maximum likelihood by damped Newton from zero betas.
 
     Returns (labels, beta, se, neg2lnl, k_estimable, converged, iterations).
-    Non-identifiable betas make the Hessian singular: the step uses a
-    pseudo-inverse, and k counts the eigenvalues above a relative
-    threshold. Betas are capped at +-``cap`` (a boundary estimate such as
-    Phi = 1 stops there rather than diverging).
+    Analytic gradient, Hessian by central differences of the gradient.
+    Non-identifiable betas make the Hessian singular: the step uses the
+    eigen-decomposition with small eigenvalues floored, and k counts the
+    eigenvalues above a relative threshold. Betas are capped at +-``cap``
+    (a boundary estimate such as Phi = 1 stops there).
     """
     d = _Data(pdf, group, levels, k)
     lphi, rphi = design_rows(phi_kind, "Phi", levels, k)
@@ -276,33 +311,40 @@ def fit_cjs(pdf: pd.DataFrame, group: str, levels: Sequence[str], k: int,
     Xp = np.array([x for _, _, x in rp])
     G = len(levels)
     f = lambda b: _neg_loglik(b, d, Xphi, Xp, G)
+    g = lambda b: _neg_grad(b, d, Xphi, Xp, G)
     beta = np.zeros(Xphi.shape[1] + Xp.shape[1])
     converged, it = False, 0
+    f0 = f(beta)
     for it in range(1, max_iter + 1):
-        f0, g, H = _grad_hess(f, beta)
+        gr = g(beta)
+        H = _hessian(g, beta)
         w, V = np.linalg.eigh(H)
         w = np.maximum(np.abs(w), 1e-8 * max(1.0, np.abs(w).max()))
-        step = -(V @ ((V.T @ g) / w))
-        t = 1.0
-        while t > 1e-8:
+        step = -(V @ ((V.T @ gr) / w))
+        t, f1 = 1.0, f0
+        nb = beta
+        while t > 1e-10:
             nb = np.clip(beta + t * step, -cap, cap)
-            if f(nb) <= f0 + 1e-12:
+            f1 = f(nb)
+            if f1 <= f0:
                 break
             t /= 2
-        nb = np.clip(beta + t * step, -cap, cap)
-        done = np.max(np.abs(nb - beta)) < 1e-9 or abs(f0 - f(nb)) < 1e-11
-        beta = nb
-        if done:
+        if f1 > f0:
+            converged = True  # no descent direction left
+            break
+        moved = np.max(np.abs(nb - beta))
+        beta, gain, f0 = nb, f0 - f1, f1
+        if moved < 1e-10 or gain < ftol * max(1.0, abs(f0)) or np.max(np.abs(g(beta))) < 1e-8:
             converged = True
             break
-    f0, g, H = _grad_hess(f, beta)
+    H = _hessian(g, beta)
     w, V = np.linalg.eigh(H)
-    tol = 1e-6 * max(np.abs(w).max(), 1e-12)
+    tol = 1e-7 * max(np.abs(w).max(), 1e-12)
     keep = w > tol
     kest = int(keep.sum())
     cov = (V[:, keep] / w[keep]) @ V[:, keep].T
     se = np.sqrt(np.clip(np.diag(cov), 0, None))
-    return lphi + lp, beta, se, 2.0 * f0, kest, converged, it
+    return lphi + lp, beta, se, 2.0 * f(beta), kest, converged, it
 
 
 def fit_models(freq: DataFrame, group: str, levels: Sequence[str], k: int,
@@ -364,3 +406,37 @@ def real_estimates(fits: DataFrame) -> DataFrame:
     return fits.select("dataset", "model", "param", "beta_index", "label", "estimate", "se",
                        il("estimate").alias("real"), il("lcl").alias("real_lcl"),
                        il("ucl").alias("real_ucl"))
+
+
+PARAM_SCHEMA = "dataset string, model string, grp string, phi array<double>, p array<double>"
+
+
+def fitted_params(fits: DataFrame, levels: Sequence[str], k: int, group: str = "grp") -> DataFrame:
+    """Real parameter arrays per (dataset, model, group) from fitted betas.
+
+    Works on the fit table (one row per beta); each (dataset, model) group
+    holds at most a few dozen rows.
+    """
+    lv = [str(v) for v in levels]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ds, model = pdf["dataset"].iloc[0], pdf["model"].iloc[0]
+        a, b = model[len("Phi(~"):].split(")p(~")
+        b = b.rstrip(")")
+        pdf = pdf.sort_values("beta_index")
+        groups = [g for g in lv if any(g == lab.split("group")[-1] for lab in pdf["label"])] or lv
+        present = pdf.attrs.get("levels") or lv
+        _, rphi = design_rows(a, "Phi", present, k)
+        _, rp = design_rows(b, "p", present, k)
+        nphi = len(design_rows(a, "Phi", present, k)[0])
+        beta = pdf["estimate"].to_numpy()
+        il = lambda x: 1.0 / (1.0 + np.exp(-x))
+        out = []
+        for g in present:
+            phi = [float(il(np.dot(x, beta[:nphi]))) for gg, t, x in rphi if gg == g]
+            pv = [float(il(np.dot(x, beta[nphi:]))) for gg, t, x in rp if gg == g]
+            out.append((ds, model, g, phi, [None] + pv))
+        del groups
+        return pd.DataFrame(out, columns=["dataset", "model", group, "phi", "p"])
+
+    return fits.groupBy("dataset", "model").applyInPandas(run, PARAM_SCHEMA.replace("grp", group))

@@ -40,3 +40,34 @@ def m018_long():
         if b:
             out.append((ch, M018_GROUPS[1], b))
     return out
+
+# 7-occasion, two-group table (history, count group 1, count group 2)
+M001_FREQ = [
+    ("0011010", 1, 0), ("0100000", 0, 1), ("1000000", 0, 1), ("1000000", 6, 0),
+    ("1100000", 0, 69), ("1100000", 59, 0), ("1100010", 1, 0), ("1100100", 1, 0),
+    ("1101000", 0, 1), ("1101000", 6, 0), ("1101001", 0, 1), ("1101010", 0, 1),
+    ("1101010", 1, 0), ("1101011", 0, 1), ("1101100", 0, 1), ("1101100", 1, 0),
+    ("1101110", 0, 1), ("1101110", 1, 0), ("1101111", 1, 0), ("1110000", 0, 5),
+    ("1110000", 7, 0), ("1110001", 0, 2), ("1110010", 0, 3), ("1110010", 1, 0),
+    ("1110100", 0, 2), ("1110100", 2, 0), ("1110110", 0, 3), ("1110111", 0, 1),
+    ("1111000", 0, 2), ("1111000", 6, 0), ("1111001", 0, 1), ("1111010", 0, 3),
+    ("1111010", 1, 0), ("1111011", 0, 2), ("1111011", 2, 0), ("1111100", 0, 2),
+    ("1111100", 4, 0), ("1111101", 1, 0), ("1111110", 2, 0), ("1111111", 1, 0),
+]
+# Phi(t)p(t) moment estimates where no boundary binds (occasion: value)
+M003_PHI = {1: 0.96602, 2: 0.38071}
+M003_P = {3: 0.69606, 6: 0.61538}
+M003_LAST_PRODUCT = 0.29630
+M001_DOT = {"neg2lnl": 1053.4074, "neg2lnl_sat": 683.18510, "ess": 555, "deviance": 370.22233,
+            "deviance_df": 34, "possible": 176, "s_bar": 0.1557196}
+M003_NEG2LNL = 740.81432
+
+
+def m001_long():
+    out = []
+    for ch, a, b in M001_FREQ:
+        if a:
+            out.append((ch, "g1", a))
+        if b:
+            out.append((ch, "g2", b))
+    return out

@@ -72,3 +72,37 @@ def test_m_array_consistent(freq):
     assert first_rel == tot_first
     for r in m:
         assert r["recapture_occ"] is None or r["recapture_occ"] > r["release_occ"]
+
+
+def test_closed_form_m003(spark):
+    from golden import M003_LAST_PRODUCT, M003_P, M003_PHI, m001_long
+    f = spark.createDataFrame(m001_long(), "ch string, grp string, n long")
+    t = {r["occ"]: r for r in Hst.closed_form_time(f, 7).collect()}
+    for j, v in M003_PHI.items():
+        assert t[j]["phi"] == pytest.approx(v, abs=5e-5)
+    for j, v in M003_P.items():
+        assert t[j]["p"] == pytest.approx(v, abs=5e-5)
+    assert t[6]["last_product"] == pytest.approx(M003_LAST_PRODUCT, abs=5e-5)
+
+
+def test_time_model_boundary_neg2lnl():
+    from golden import M003_NEG2LNL, m001_long
+    pdf = pd.DataFrame(m001_long(), columns=["ch", "grp", "n"])
+    *_, n2, kest, conv, _ = S.fit_cjs(pdf, "grp", ["g1", "g2"], 7, "time", "time")
+    assert n2 == pytest.approx(M003_NEG2LNL, abs=1e-2)
+
+
+def test_m001_gof_dot(spark):
+    from golden import M001_DOT, m001_long
+    pdf = pd.DataFrame(m001_long(), columns=["ch", "grp", "n"])
+    labels, beta, se, n2, kest, conv, _ = S.fit_cjs(pdf, "grp", ["g1", "g2"], 7, "dot", "dot")
+    assert n2 == pytest.approx(M001_DOT["neg2lnl"], abs=1e-3)
+    f = spark.createDataFrame(m001_long(), "ch string, grp string, n long").withColumn("dataset", F.lit("a"))
+    il = lambda x: 1 / (1 + __import__("math").exp(-x))
+    params = S.constant_params(f, "grp", 7, il(beta[0]), il(beta[1]), ["dataset"])
+    kp = spark.createDataFrame([("a", 2)], "dataset string, k int")
+    g = S.gof_stats(f, params, "grp", 7, kp, ["dataset"]).collect()[0]
+    assert g["deviance"] == pytest.approx(M001_DOT["deviance"], abs=1e-3)
+    assert g["deviance_df"] == M001_DOT["deviance_df"]
+    assert g["possible"] == M001_DOT["possible"]
+    assert g["s_bar"] == pytest.approx(M001_DOT["s_bar"], abs=1e-6)
