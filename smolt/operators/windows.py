@@ -15,7 +15,16 @@ shuffled once, on (group, bucket); the summary is computed on that same
 partitioning, so the plan has one large exchange. Results equal the plain
 window exactly (property-tested in ``tests/test_windows.py``).
 
-``bucket_seconds=None`` selects the plain single-window plan.
+``bucket_seconds=None`` selects the plain single-window plan, which is
+what an unskewed input should use: chained windows on the same tag key
+share one exchange. ``bucket_seconds="auto"`` (the default) measures the
+largest group first (one partial aggregate on the key columns, two numbers
+to the driver) and switches to the bucketed plan only when one group alone
+would be ``skewedPartitionFactor`` times an average shuffle partition and
+above ``smolt.skew.minRows`` rows. A bucketed shift checkpoints its output
+to the session's shared checkpoint folder, so a chain of shifts stays
+linear (each level reads the previous level once) and survives executor
+loss without recomputing the chain.
 """
 
 from __future__ import annotations
@@ -33,6 +42,32 @@ _NULL_BUCKET = 2 ** 62  # NULL times sort last, as R's arrange does
 _G, _B = "__grp", "__bkt"
 
 
+SKEW_MIN_ROWS_CONF = "smolt.skew.minRows"
+SKEW_MIN_ROWS_DEFAULT = 4_000_000
+
+
+def resolve_bucket(df: DataFrame, by: Sequence[str], bucket_seconds="auto"):
+    """Bucket width to use for ``df`` grouped by ``by`` (None = plain)."""
+    if bucket_seconds != "auto":
+        return bucket_seconds
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    factor = float(spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "5"))
+    min_rows = int(spark.conf.get(SKEW_MIN_ROWS_CONF, str(SKEW_MIN_ROWS_DEFAULT)))
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    row = g.agg(F.max("__n").alias("mx"), F.sum("__n").alias("tot")).first()
+    mx, tot = (row["mx"] or 0), (row["tot"] or 0)
+    hot = mx > max(min_rows, factor * tot / max(parts, 1))
+    return DEFAULT_BUCKET_SECONDS if hot else None
+
+
+def _materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder."""
+    from smolt.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _order_cols(order: str, tie: str | None) -> list[Column]:
     cols = [F.col(order).asc_nulls_last()]
     if tie:
@@ -59,12 +94,13 @@ def _bucketed(df: DataFrame, by: Sequence[str], order: str, bucket_seconds: int)
 def sequence_shift(df: DataFrame, by: Sequence[str], order: str, tie: str | None,
                    lags: Mapping[str, str] | None = None,
                    leads: Mapping[str, str] | None = None,
-                   bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                   bucket_seconds="auto") -> DataFrame:
     """Add ``lag``/``lead`` columns per group ordered by (order, tie).
 
     ``lags`` / ``leads`` map output column -> source column.
     """
     lags, leads = dict(lags or {}), dict(leads or {})
+    bucket_seconds = resolve_bucket(df, by, bucket_seconds)
     if bucket_seconds is None:
         w = Window.partitionBy(*by).orderBy(*_order_cols(order, tie))
         return df.withColumns({**{o: F.lag(s).over(w) for o, s in lags.items()},
@@ -92,17 +128,18 @@ def sequence_shift(df: DataFrame, by: Sequence[str], order: str, tie: str | None
            .otherwise(F.col(f"__lag_{o}")).alias(o) for o, s in lags.items()],
         *[F.when(F.col("__is_last"), F.lead(s).over(w2))
            .otherwise(F.col(f"__lead_{o}")).alias(o) for o, s in leads.items()])
-    return inner.unionByName(ends)
+    return _materialize(inner.unionByName(ends))
 
 
 def sequence_row_number(df: DataFrame, by: Sequence[str], order: str, tie: str | None,
                         out: str = "rn",
-                        bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                        bucket_seconds="auto") -> DataFrame:
     """``row_number()`` per group in (order, tie) order, skew-bounded.
 
     Local rank within (group, bucket) plus the number of rows in earlier
     buckets of the group (a running sum over the small bucket summary).
     """
+    bucket_seconds = resolve_bucket(df, by, bucket_seconds)
     if bucket_seconds is None:
         w = Window.partitionBy(*by).orderBy(*_order_cols(order, tie))
         return df.withColumn(out, F.row_number().over(w))
@@ -116,7 +153,7 @@ def sequence_row_number(df: DataFrame, by: Sequence[str], order: str, tie: str |
                            F.coalesce(F.sum("__n").over(ws), F.lit(0)).alias("__before"))
     j = d.join(counts, (d[_G] == counts["__eg"]) & (d[_B] == counts["__eb"]), "left")
     keep = [c for c in df.columns if c != out]
-    return j.select(*keep, (F.col("__before") + F.col("__lrn")).cast("int").alias(out))
+    return _materialize(j.select(*keep, (F.col("__before") + F.col("__lrn")).cast("int").alias(out)))
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], order: str, tie: str | None,
@@ -133,7 +170,7 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: str, tie: str | Non
 
 
 def nth_per_group(df: DataFrame, by: Sequence[str], order: str, tie: str | None, n: int,
-                  bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                  bucket_seconds="auto") -> DataFrame:
     """``filter(row_number() == n)`` per group.
 
     The global n-th row of a group is among the first n rows of its
@@ -142,6 +179,7 @@ def nth_per_group(df: DataFrame, by: Sequence[str], order: str, tie: str | None,
     """
     if n == 1:
         return first_per_group(df, by, order, tie)
+    bucket_seconds = resolve_bucket(df, by, bucket_seconds)
     if bucket_seconds is None:
         rn = sequence_row_number(df, by, order, tie, "__rn", None)
         return rn.filter(F.col("__rn") == n).drop("__rn")

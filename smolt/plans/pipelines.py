@@ -69,7 +69,8 @@ def tag_release_meta(tags: DataFrame, events: DataFrame, keys: Sequence[str],
 
 def detection_clean(det: DataFrame, study_tags: DataFrame, releases: DataFrame,
                     sites: DataFrame, fish: DataFrame, bench_sites: Sequence[str] = (),
-                    floodgate_sites: Sequence[str] = (), min_gap_secs: float = 45.0) -> DataFrame:
+                    floodgate_sites: Sequence[str] = (), min_gap_secs: float = 45.0,
+                    bucket_seconds="auto") -> DataFrame:
     """Cleaned detections (reference order of steps): study tags only, bench
     receivers out, after the tag's own release; one-pass gap filter and
     recomputed gap; site metadata and release group joined; floodgate
@@ -77,7 +78,7 @@ def detection_clean(det: DataFrame, study_tags: DataFrame, releases: DataFrame,
     d = J.semi_join(det, study_tags, "tag")
     d = d.filter(not_in_safe("site", bench_sites))
     d = J.join_after(d, releases, "tag", "ts", "release_ts").drop("release_ts")
-    d = M.gap_filter(d, min_gap_secs)
+    d = M.gap_filter(d, min_gap_secs, bucket_seconds=bucket_seconds)
     d = J.join_dim(d, sites, "site").join(fish, "tag", "inner")
     return d.filter(not_in_safe("site", floodgate_sites))
 

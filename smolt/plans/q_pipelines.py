@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from smolt.operators import movement as M
+from smolt.operators import windows as W
 from smolt.plans.common import STATS, rounded, stats_sql
 from smolt.plans.registry import query
 from smolt.plans.sqlparts import DET
@@ -29,8 +30,9 @@ HAVING location_site <> '{UP}' AND prev_location IS NOT NULL AND prev_location <
 """)
 def segment_durations(spark, d):
     det = T.detections(spark, d).select("tag", "site", "ts", "tie")
-    kept = M.gap_filter(det, 45.0)
-    out = M.segment_durations(kept, T.UPSTREAM_SITES)
+    b = W.resolve_bucket(det, ["tag"])  # one skew check for the whole chain
+    kept = M.gap_filter(det, 45.0, bucket_seconds=b)
+    out = M.segment_durations(kept, T.UPSTREAM_SITES, bucket_seconds=b)
     return rounded(out, STATS)
 
 
@@ -122,10 +124,11 @@ def _study(spark, d):
     return T.tags(spark, d).filter(F.col("release_group") != "HOUSEHOLD").select("tag")
 
 
-def _clean(spark, d):
+def _clean(spark, d, bucket_seconds="auto"):
     det = T.detections(spark, d).select("tag", "site", "ts", "tie", "value")
     return P.detection_clean(det, _study(spark, d), T.releases(spark, d), T.sites(spark),
-                             T.tags(spark, d), bench_sites=BENCH, floodgate_sites=FLOODGATE)
+                             T.tags(spark, d), bench_sites=BENCH, floodgate_sites=FLOODGATE,
+                             bucket_seconds=bucket_seconds)
 
 
 CLEAN_SQL = f"""
@@ -222,8 +225,9 @@ SELECT tag, site, ts, tie, rkm, round(tp, 6) AS time_prev,
        round(CASE WHEN tp / 86400.0 = 0 THEN NULL ELSE (prev_rkm - rkm) / (tp / 86400.0) END, 6) AS speed_km_day
 FROM b""")
 def movement_metrics(spark, d):
-    c = _clean(spark, d).select("tag", "site", "ts", "tie", "rkm")
-    return rounded(M.movement_metrics(c), MOVE_COLS)
+    b = W.resolve_bucket(T.detections(spark, d), ["tag"])
+    c = _clean(spark, d, b).select("tag", "site", "ts", "tie", "rkm")
+    return rounded(M.movement_metrics(c, bucket_seconds=b), MOVE_COLS)
 
 
 DETR = f"SELECT d.tag, d.site, d.ts, d.tie, s.rkm FROM ({DET}) d JOIN ({SITES}) s ON d.site = s.site"

@@ -54,3 +54,31 @@ def test_first_and_nth(spark):
     assert _rows(first, ["tie"]) == _rows(plain.filter("rn = 1"), ["tie"])
     second = W.nth_per_group(d, ["tag", "site"], "ts", "tie", 2, bucket_seconds=3600)
     assert _rows(second, ["tie"]) == _rows(plain.filter("rn = 2"), ["tie"])
+
+
+def test_chained_pipeline_same_both_plans(spark):
+    from smolt.operators import movement as M
+    det = _det(spark).select("tag", "site", "ts", "tie")
+    out = {}
+    for b in (None, 6 * 3600):
+        kept = M.gap_filter(det, 45.0, bucket_seconds=b)
+        seg = M.segment_durations(kept, ["signup"], bucket_seconds=b)
+        out[b] = sorted((r["location_site"], r["prev_location"], r["n"], round(r["mean"] or -1, 9))
+                        for r in seg.collect())
+    assert out[None] == out[6 * 3600] and len(out[None]) > 0
+
+
+def test_auto_detects_hot_tag(spark):
+    t0 = dt.datetime(2024, 5, 1)
+    hot = [(1, t0 + dt.timedelta(minutes=i), i) for i in range(600)]
+    cold = [(k, t0 + dt.timedelta(hours=k), 1000 + k) for k in range(2, 50)]
+    d = spark.createDataFrame(hot + cold, "tag long, ts timestamp, tie long")
+    spark.conf.set(W.SKEW_MIN_ROWS_CONF, "100")
+    try:
+        assert W.resolve_bucket(d, ["tag"]) == W.DEFAULT_BUCKET_SECONDS
+        assert W.resolve_bucket(d.filter("tag <> 1"), ["tag"]) is None
+        a = W.sequence_shift(d, ["tag"], "ts", "tie", lags={"p": "tie"}, bucket_seconds=3600)
+        b = W.sequence_shift(d, ["tag"], "ts", "tie", lags={"p": "tie"}, bucket_seconds=None)
+        assert _rows(a, ["tie", "p"]) == _rows(b, ["tie", "p"])
+    finally:
+        spark.conf.unset(W.SKEW_MIN_ROWS_CONF)
