@@ -132,3 +132,14 @@ def scan_csv_bom(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     header. The header row is dropped by position in each file, so the BOM
     never reaches a column name; missing trailing values become NULL."""
     return scan_csv(spark, path, schema)
+
+
+# Column layout of a receiver export (12 header names; rows may stop after
+# the first three values).
+RECEIVER_LOG_SCHEMA = T.StructType(
+    [T.StructField("ts_text", T.StringType()), T.StructField("receiver", T.StringType()),
+     T.StructField("transmitter", T.StringType()), T.StructField("transmitter_name", T.StringType()),
+     T.StructField("transmitter_serial", T.StringType()), T.StructField("sensor_value", T.DoubleType()),
+     T.StructField("sensor_unit", T.StringType()), T.StructField("station_name", T.StringType()),
+     T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()),
+     T.StructField("transmitter_type", T.StringType()), T.StructField("sensor_precision", T.StringType())])

@@ -1,0 +1,5 @@
+"""Incremental detection cleaning over a folder of receiver logs."""
+
+from smolt.streaming.detections import gap_filter_stream, parse_receiver_log, receiver_log_stream
+
+__all__ = ["gap_filter_stream", "parse_receiver_log", "receiver_log_stream"]

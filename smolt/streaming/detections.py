@@ -1,0 +1,106 @@
+"""Receiver logs as a stream: the reference's cleaning step, incrementally.
+
+Receiver exports land in a folder over a season. ``receiver_log_stream``
+reads new files as they arrive (same layout and schema as the batch scan)
+and ``gap_filter_stream`` applies the one-pass 45-second gap filter per
+tag with ``applyInPandasWithState``:
+
+* State per tag: the last raw detection instant, the last kept instant,
+  and the detections not yet released (bounded by the watermark delay).
+* Rows are released in (ts, site) order once the event-time watermark has
+  passed them, so a tag's sequence is processed in time order even when
+  files from different receivers arrive out of order. A gap is measured
+  against the previous raw row and ``diff_time`` against the previous
+  kept row, as in the batch ``movement.gap_filter``.
+* An event-time timeout flushes a tag's buffer when the watermark moves
+  on without new rows for that tag.
+
+Output rows are final (append mode), and Spark persists state and
+progress under the query's checkpoint location (a folder in the shared
+checkpoint directory).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from smolt.functions.scalars import strip_prefix
+from smolt.sources.csv import RECEIVER_LOG_SCHEMA
+
+STATE_SCHEMA = ("last_raw long, last_kept long, buf_ts array<long>, buf_site array<string>")
+OUT_SCHEMA = "tag long, ts timestamp, site string, diff_time double"
+TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+
+
+def parse_receiver_log(df: DataFrame, ts_format: str = TS_FORMAT) -> DataFrame:
+    """(tag, site, ts) from raw receiver rows: serial after the last '-',
+    receiver model prefix removed, UTC clock text parsed."""
+    return df.select(
+        strip_prefix("transmitter").try_cast("long").alias("tag"),
+        F.regexp_replace(F.regexp_replace("receiver", "VR2W-", ""), "VR2Tx-", "").alias("site"),
+        F.to_timestamp("ts_text", ts_format).alias("ts"))
+
+
+def receiver_log_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """New CSV receiver exports in ``folder`` as a stream of (tag, site, ts)."""
+    r = (spark.readStream.schema(RECEIVER_LOG_SCHEMA).option("header", True)
+         .option("mode", "PERMISSIVE").option("pathGlobFilter", "*.csv"))
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return parse_receiver_log(r.csv(folder)).filter(F.col("tag").isNotNull() & F.col("ts").isNotNull())
+
+
+def _gap_step(min_gap_us: int):
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (tag,) = key
+        if state.exists:
+            last_raw, last_kept, buf_ts, buf_site = state.get
+            buf_ts, buf_site = list(buf_ts or []), list(buf_site or [])
+        else:
+            last_raw = last_kept = None
+            buf_ts, buf_site = [], []
+        for pdf in pdfs:
+            ts = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64")
+            buf_ts.extend(ts.tolist())
+            buf_site.extend(pdf["site"].astype(str).tolist())
+        wm = state.getCurrentWatermarkMs() * 1000
+        ts_arr = np.array(buf_ts, dtype=np.int64)
+        site_arr = np.array(buf_site, dtype=object)
+        ready = ts_arr <= wm
+        order = np.lexsort((site_arr[ready], ts_arr[ready]))
+        r_ts, r_site = ts_arr[ready][order], site_arr[ready][order]
+        out_ts, out_site, out_diff = [], [], []
+        for t, s in zip(r_ts.tolist(), r_site.tolist()):
+            if last_raw is not None and t - last_raw >= min_gap_us:
+                out_ts.append(t)
+                out_site.append(s)
+                out_diff.append(None if last_kept is None else (t - last_kept) / 1e6)
+                last_kept = t
+            last_raw = t
+        rest_ts, rest_site = ts_arr[~ready].tolist(), site_arr[~ready].tolist()
+        state.update((last_raw, last_kept, rest_ts, rest_site))
+        if rest_ts:
+            state.setTimeoutTimestamp(int(min(rest_ts) // 1000) + 1)
+        if out_ts:
+            yield pd.DataFrame({"tag": tag, "ts": pd.to_datetime(np.array(out_ts, dtype="datetime64[us]")),
+                                "site": out_site, "diff_time": out_diff})
+    return step
+
+
+def gap_filter_stream(stream: DataFrame, min_gap_secs: float = 45.0,
+                      delay: str = "1 hour") -> DataFrame:
+    """One-pass gap filter per tag on a (tag, site, ts) stream.
+
+    ``delay`` is the watermark: how late a detection may arrive relative
+    to the latest one seen; rows later than that are dropped by Spark.
+    """
+    s = stream.withWatermark("ts", delay)
+    return s.groupBy("tag").applyInPandasWithState(
+        _gap_step(int(min_gap_secs * 1_000_000)), OUT_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.EventTimeTimeout)
