@@ -15,7 +15,6 @@ chi_{j+1}``; parameters on the logit link, design by formula kind.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -31,7 +30,7 @@ Z95 = 1.96  # the listing's 95% interval multiplier
 
 FIT_SCHEMA = ("dataset string, model string, param string, beta_index int, label string, "
               "estimate double, se double, lcl double, ucl double, neg2lnl double, "
-              "k int, n_betas int, converged boolean, iterations int")
+              "k int, n_betas int, converged boolean, iterations int, levels string")
 
 
 # ------------------------------------------------------------ design
@@ -374,7 +373,7 @@ def fit_models(freq: DataFrame, group: str, levels: Sequence[str], k: int,
             "label": labels, "estimate": beta, "se": se,
             "lcl": beta - Z95 * se, "ucl": beta + Z95 * se,
             "neg2lnl": n2, "k": np.int32(kest), "n_betas": np.int32(len(labels)),
-            "converged": conv, "iterations": np.int32(it)})
+            "converged": conv, "iterations": np.int32(it), "levels": "|".join(present)})
 
     return x.groupBy("dataset", "model").applyInPandas(run, FIT_SCHEMA)
 
@@ -411,32 +410,27 @@ def real_estimates(fits: DataFrame) -> DataFrame:
 PARAM_SCHEMA = "dataset string, model string, grp string, phi array<double>, p array<double>"
 
 
-def fitted_params(fits: DataFrame, levels: Sequence[str], k: int, group: str = "grp") -> DataFrame:
+def fitted_params(fits: DataFrame, k: int, group: str = "grp") -> DataFrame:
     """Real parameter arrays per (dataset, model, group) from fitted betas.
 
-    Works on the fit table (one row per beta); each (dataset, model) group
-    holds at most a few dozen rows.
+    Works on the fit table (one row per beta, with the group levels the
+    fit used); each (dataset, model) group holds a few dozen rows.
     """
-    lv = [str(v) for v in levels]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ds, model = pdf["dataset"].iloc[0], pdf["model"].iloc[0]
-        a, b = model[len("Phi(~"):].split(")p(~")
-        b = b.rstrip(")")
-        pdf = pdf.sort_values("beta_index")
-        groups = [g for g in lv if any(g == lab.split("group")[-1] for lab in pdf["label"])] or lv
-        present = pdf.attrs.get("levels") or lv
-        _, rphi = design_rows(a, "Phi", present, k)
+        a, b = model[len("Phi(~"):-1].split(")p(~")
+        present = pdf["levels"].iloc[0].split("|")
+        beta = pdf.sort_values("beta_index")["estimate"].to_numpy()
+        lphi, rphi = design_rows(a, "Phi", present, k)
         _, rp = design_rows(b, "p", present, k)
-        nphi = len(design_rows(a, "Phi", present, k)[0])
-        beta = pdf["estimate"].to_numpy()
-        il = lambda x: 1.0 / (1.0 + np.exp(-x))
+        nphi = len(lphi)
+        il = lambda x: float(1.0 / (1.0 + np.exp(-x)))
         out = []
         for g in present:
-            phi = [float(il(np.dot(x, beta[:nphi]))) for gg, t, x in rphi if gg == g]
-            pv = [float(il(np.dot(x, beta[nphi:]))) for gg, t, x in rp if gg == g]
+            phi = [il(np.dot(x, beta[:nphi])) for gg, _, x in rphi if gg == g]
+            pv = [il(np.dot(x, beta[nphi:])) for gg, _, x in rp if gg == g]
             out.append((ds, model, g, phi, [None] + pv))
-        del groups
         return pd.DataFrame(out, columns=["dataset", "model", group, "phi", "p"])
 
     return fits.groupBy("dataset", "model").applyInPandas(run, PARAM_SCHEMA.replace("grp", group))

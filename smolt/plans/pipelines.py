@@ -12,8 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smolt.functions.nullsafe import count_distinct_na, if_else, isin_safe, not_in_safe, sum_strict
-from smolt.functions.scalars import paste, parse_date, recode, timediff
+from smolt.functions.nullsafe import count_distinct_na, isin_safe, not_in_safe, sum_strict
+from smolt.functions.scalars import parse_date, recode, timediff
 from smolt.operators import aggregates as A
 from smolt.operators import joins as J
 from smolt.operators import movement as M

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from smolt.functions.nullsafe import isin_safe
 from smolt.operators import reshape as R
-from smolt.plans.common import rounded
 from smolt.plans.registry import query
 from smolt.plans.sqlparts import DET, OCC, REL
 from smolt.sources import tables as T

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from smolt.operators import aggregates as A
 from smolt.operators import joins as J
 from smolt.operators import sorting as So

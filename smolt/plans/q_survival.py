@@ -232,6 +232,6 @@ def gof_stats(spark, d):
     """Goodness of fit of Phi(~1)p(~1) per region at the fitted values."""
     freq = dataset_frequencies(spark, d)
     fits = S.fit_models(freq, "grp", SEGMENTS, K, [("dot", "dot")])
-    params = S.fitted_params(fits, SEGMENTS, K).drop("model")
+    params = S.fitted_params(fits, K).drop("model")
     kk = fits.groupBy("dataset").agg(F.first("k").alias("k"))
     return S.gof_stats(freq, params, "grp", K, kk, ["dataset"])

@@ -106,3 +106,12 @@ def test_m001_gof_dot(spark):
     assert g["deviance_df"] == M001_DOT["deviance_df"]
     assert g["possible"] == M001_DOT["possible"]
     assert g["s_bar"] == pytest.approx(M001_DOT["s_bar"], abs=1e-6)
+
+
+def test_fit_to_gof_chain(spark, freq):
+    fits = S.fit_models(freq, "grp", list(M018_GROUPS), K, [("dot", "dot")])
+    params = S.fitted_params(fits, K).drop("model")
+    kk = fits.groupBy("dataset").agg(F.first("k").alias("k"))
+    g = S.gof_stats(freq, params, "grp", K, kk, ["dataset"]).collect()[0]
+    assert g["deviance"] == pytest.approx(M018_DOT["deviance"], abs=1e-3)
+    assert g["fletcher_chat"] == pytest.approx(M018_DOT["fletcher_chat"], abs=1e-5)
