@@ -248,57 +248,71 @@ def _poly(coefs, x: Column) -> Column:
 def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Shapiro-Wilk W and p-value per group (Royston's approximation).
 
-    Distributed: ranks within each group come from a range-partitioned
-    global row number (a hot group is spread over many tasks), the
-    Blom scores ``m_i`` from an Arrow-batched normal quantile, and W from
-    two aggregate passes. NULLs are dropped; groups with fewer than three
-    values get NULL. R refuses n > 5000; here W and p are still computed
-    with the same approximation.
+    Distributed, with one shuffle of the data (the range sort):
+
+    1. n and variance per group (partial aggregate; one row per group);
+       the rows of all earlier groups in sort order give each group's
+       rank offset (a running sum over the group table).
+    2. A range-partitioned global row number over (group, value) gives
+       each value's rank i within its group (a hot group is spread over
+       many tasks); Blom scores ``m_i`` come from an Arrow-batched normal
+       quantile.
+    3. One aggregate per group collects sum m_i^2, sum m_i x_i over the
+       middle ranks and the four extreme values; W and its p-value are
+       then column expressions on the group table.
+
+    NULLs are dropped; groups with fewer than three values get NULL. R
+    refuses n > 5000; here W and p are still computed with the same
+    approximation.
     """
+    from pyspark.sql import Window
     from smolt.operators.sorting import global_row_number
     by = list(by)
     d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.var_samp("__x").alias("__var"))
+    order = [F.col(c).asc_nulls_last() for c in by]
+    wg = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) if by else None
+    g = g.withColumn("__before", F.coalesce(F.sum("n").over(wg), F.lit(0)) if by else F.lit(0))
     ranked = global_row_number(d, [*by, "__x"], "__rid")
-    g = ranked.groupBy(*by).agg(F.min("__rid").alias("__r0"), F.count(F.lit(1)).alias("n"),
-                                F.var_samp("__x").alias("__var"))
-    n = F.col("n").cast("double")
-    r = ranked.join(g, by).withColumn("__i", (F.col("__rid") - F.col("__r0") + 1).cast("double"))
-    r = r.withColumn("__m", _ppf_udf((F.col("__i") - 0.375) / (n + 0.25)))
-    gm = r.groupBy(*by).agg(F.sum(F.col("__m") ** 2).alias("__mm"))
-    g = g.join(gm, by).withColumns({
-        "__mn": _ppf_udf((n - 0.375) / (n + 0.25)),
-        "__mn1": _ppf_udf((n - 1.375) / (n + 0.25)),
-        "__u": 1 / F.sqrt(n)})
+    r = ranked.join(g.select(*by, "n", "__before"), by) if by else ranked.crossJoin(g)
+    nn = F.col("n")
+    n = nn.cast("double")
+    i = F.col("__rid") - F.col("__before")
+    r = r.withColumn("__i", i).withColumn("__m", _ppf_udf((F.col("__i") - 0.375) / (n + 0.25)))
+    big = nn > 5
+    special = (F.col("__i") == 1) | (F.col("__i") == nn) | \
+        (big & ((F.col("__i") == 2) | (F.col("__i") == nn - 1)))
+    ext = lambda k: F.max(F.when(F.col("__i") == k, F.col("__x")))
+    s = r.groupBy(*by).agg(
+        F.sum(F.col("__m") ** 2).alias("__mm"),
+        F.sum(F.when(~special, F.col("__m") * F.col("__x")).otherwise(0.0)).alias("__mid"),
+        ext(1).alias("__x1"), ext(2).alias("__x2"), ext(nn - 1).alias("__xn1"), ext(nn).alias("__xn"))
+    g = g.join(s, by) if by else g.crossJoin(s)
+    g = g.withColumns({"__mn": _ppf_udf((n - 0.375) / (n + 0.25)),
+                       "__mn1": _ppf_udf((n - 1.375) / (n + 0.25)), "__u": 1 / F.sqrt(n)})
     u, mm = F.col("__u"), F.col("__mm")
-    an = F.col("__mn") / F.sqrt(mm) + _poly((0.0,) + SW_AN, u) - F.lit(0.0)
+    an = F.when(nn == 3, F.lit(math.sqrt(0.5))).otherwise(
+        F.col("__mn") / F.sqrt(mm) + _poly((0.0,) + SW_AN, u))
     an1 = F.col("__mn1") / F.sqrt(mm) + _poly((0.0,) + SW_AN1, u)
-    g = g.withColumns({"__an": F.when(F.col("n") == 3, F.lit(math.sqrt(0.5))).otherwise(an),
-                       "__an1": an1})
-    big = F.col("n") > 5
+    g = g.withColumns({"__an": an, "__an1": an1})
     phi = F.when(big, (mm - 2 * F.col("__mn") ** 2 - 2 * F.col("__mn1") ** 2)
                  / (1 - 2 * F.col("__an") ** 2 - 2 * F.col("__an1") ** 2)) \
         .otherwise((mm - 2 * F.col("__mn") ** 2) / (1 - 2 * F.col("__an") ** 2))
     g = g.withColumn("__phi", phi)
-    coef_cols = [*by, "n", "__an", "__an1", "__phi", "__var"]
-    r = r.drop("n", "__r0", "__var").join(g.select(*coef_cols), by)
-    i, nn = F.col("__i"), F.col("n")
-    a = (F.when(nn == 3, F.when(i == 1, -F.lit(math.sqrt(0.5))).when(i == 3, F.lit(math.sqrt(0.5)))
-                .otherwise(F.lit(0.0)))
-         .when(i == nn, F.col("__an")).when(i == 1, -F.col("__an"))
-         .when(big & (i == nn - 1), F.col("__an1")).when(big & (i == 2), -F.col("__an1"))
-         .otherwise(F.col("__m") / F.sqrt(F.col("__phi"))))
-    w = r.groupBy(*by).agg(F.sum(a * F.col("__x")).alias("__ax"), F.first("n").alias("n"),
-                           F.first("__var").alias("__var"))
-    ss = F.col("__var") * (F.col("n") - 1)
-    w = w.withColumn("W", F.when(F.col("n") >= 3, F.least(F.col("__ax") ** 2 / ss, F.lit(1.0))))
-    nd = F.col("n").cast("double")
-    ln_n = F.log(nd)
+    ax = (F.col("__mid") / F.sqrt(F.col("__phi"))
+          + F.col("__an") * (F.col("__xn") - F.col("__x1"))
+          + F.when(big, F.col("__an1") * (F.col("__xn1") - F.col("__x2"))).otherwise(F.lit(0.0)))
+    # n == 3: the middle coefficient is 0 (symmetric scores)
+    ax = F.when(nn == 3, F.lit(math.sqrt(0.5)) * (F.col("__xn") - F.col("__x1"))).otherwise(ax)
+    ss = F.col("__var") * (nn - 1)
+    w = g.withColumn("W", F.when(nn >= 3, F.least(ax ** 2 / ss, F.lit(1.0))))
+    ln_n = F.log(n)
     z_large = (F.log1p(-F.col("W")) - _poly(SW_LARGE_MEAN, ln_n)) / F.exp(_poly(SW_LARGE_SD, ln_n))
-    gamma = _poly(SW_SMALL_GAMMA, nd)
-    z_small = (-F.log(gamma - F.log1p(-F.col("W"))) - _poly(SW_SMALL_MEAN, nd)) \
-        / F.exp(_poly(SW_SMALL_SD, nd))
-    w = w.withColumn("__z", F.when(F.col("n") >= 12, z_large).when(F.col("n") >= 4, z_small))
+    gamma = _poly(SW_SMALL_GAMMA, n)
+    z_small = (-F.log(gamma - F.log1p(-F.col("W"))) - _poly(SW_SMALL_MEAN, n)) \
+        / F.exp(_poly(SW_SMALL_SD, n))
+    w = w.withColumn("__z", F.when(nn >= 12, z_large).when(nn >= 4, z_small))
     p3 = F.greatest(F.lit(6 / math.pi) * (F.asin(F.sqrt(F.col("W"))) - F.asin(F.sqrt(F.lit(0.75)))),
                     F.lit(0.0))
-    pval = F.when(F.col("n") == 3, p3).when(F.col("n") >= 4, _upper_tail_udf(F.col("__z")))
-    return w.select(*by, F.col("n").cast("long").alias("n"), "W", pval.alias("p_value"))
+    pval = F.when(nn == 3, p3).when(nn >= 4, _upper_tail_udf(F.col("__z")))
+    return w.select(*by, nn.cast("long").alias("n"), "W", pval.alias("p_value"))

@@ -46,11 +46,29 @@ SKEW_MIN_ROWS_CONF = "smolt.skew.minRows"
 SKEW_MIN_ROWS_DEFAULT = 4_000_000
 
 
+_DECISIONS: dict = {}
+
+
 def resolve_bucket(df: DataFrame, by: Sequence[str], bucket_seconds="auto"):
-    """Bucket width to use for ``df`` grouped by ``by`` (None = plain)."""
+    """Bucket width to use for ``df`` grouped by ``by`` (None = plain).
+
+    The decision is remembered per session for the same key projection
+    (semantic hash of the plan): pipelines over one table measure it once.
+    Both plans return identical rows, so a stale decision can only cost
+    time, never change a result.
+    """
     if bucket_seconds != "auto":
         return bucket_seconds
     spark = df.sparkSession
+    keyed = df.select(*by)
+    memo = (id(spark), keyed.semanticHash(), spark.conf.get(SKEW_MIN_ROWS_CONF, ""),
+            spark.conf.get("spark.sql.shuffle.partitions", ""))
+    if memo not in _DECISIONS:
+        _DECISIONS[memo] = _measure_bucket(spark, keyed, by)
+    return _DECISIONS[memo]
+
+
+def _measure_bucket(spark, df: DataFrame, by: Sequence[str]):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     factor = float(spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "5"))
     min_rows = int(spark.conf.get(SKEW_MIN_ROWS_CONF, str(SKEW_MIN_ROWS_DEFAULT)))

@@ -296,8 +296,14 @@ def survival_comparison(spark, d):
     from smolt.operators import histories as H
     from smolt.operators import survival as S
     from smolt.plans.q_survival import K, histories
-    a = H.history_frequency(histories(spark, d), "grp").withColumn("dataset", F.lit("all_dets"))
-    b = H.history_frequency(histories(spark, d, min_count=2), "grp") \
+    from smolt.session import reuse_small
+    # sightings per tag x occasion, computed once for both tables
+    seen = reuse_small(T.occasions_table(spark, d).groupBy("tag", "grp", "occ")
+                       .agg(F.count(F.lit(1)).alias("n_seen")))
+    a = H.history_frequency(H.encounter_history(seen, "tag", "grp", "occ", K), "grp") \
+        .withColumn("dataset", F.lit("all_dets"))
+    b = H.history_frequency(H.encounter_history(seen.filter(F.col("n_seen") >= 2), "tag", "grp",
+                                                "occ", K), "grp") \
         .withColumn("dataset", F.lit("no_single_dets"))
     fits = S.fit_models(a.unionByName(b), "grp", SEGMENTS, K, [("dot", "dot"), ("group", "dot")])
     return S.real_estimates(fits)

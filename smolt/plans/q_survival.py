@@ -16,6 +16,7 @@ from smolt.operators import survival as S
 from smolt.plans.common import rounded
 from smolt.plans.registry import query
 from smolt.plans.sqlparts import OCC
+from smolt.session import reuse_small
 from smolt.sources import tables as T
 
 K = len(T.OCCASIONS)
@@ -217,8 +218,11 @@ def model_grid(spark, d):
 
 @query("model_rank")
 def model_rank(spark, d):
-    fits = _fits(spark, d, MODELS)
-    ess = H.effective_sample_size(dataset_frequencies(spark, d), K, ["dataset"])
+    # the bounded frequency table feeds the fits and the sample sizes:
+    # computed once from the orders, read twice
+    freq = reuse_small(dataset_frequencies(spark, d))
+    fits = S.fit_models(freq, "grp", SEGMENTS, K, MODELS)
+    ess = H.effective_sample_size(freq, K, ["dataset"])
     return S.model_table(fits, ess)
 
 
@@ -230,8 +234,8 @@ def real_estimates(spark, d):
 @query("gof_stats")
 def gof_stats(spark, d):
     """Goodness of fit of Phi(~1)p(~1) per region at the fitted values."""
-    freq = dataset_frequencies(spark, d)
-    fits = S.fit_models(freq, "grp", SEGMENTS, K, [("dot", "dot")])
+    freq = reuse_small(dataset_frequencies(spark, d))
+    fits = reuse_small(S.fit_models(freq, "grp", SEGMENTS, K, [("dot", "dot")]))
     params = S.fitted_params(fits, K).drop("model")
     kk = fits.groupBy("dataset").agg(F.first("k").alias("k"))
     return S.gof_stats(freq, params, "grp", K, kk, ["dataset"])

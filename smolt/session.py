@@ -68,3 +68,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Reliable checkpoint of a (small, reused) intermediate into the
+    shared checkpoint folder: later consumers read it instead of
+    recomputing its lineage, and it survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def reuse_small(df):
+    """Keep a small, bounded intermediate that a plan reads several times
+    (e.g. a history frequency table feeding fits, sample sizes and
+    goodness of fit): computed once on first use, then read from the
+    block store. Lost blocks are recomputed from lineage."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
