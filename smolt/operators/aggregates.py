@@ -31,22 +31,154 @@ def sum_by(df: DataFrame, by: Sequence[str], col: str, out: str = "total",
     return df.groupBy(*by).agg(expr.alias(out))
 
 
-def stats_exprs(col: str | Column, exact_median: bool = True,
-                accuracy: int = 100000) -> list[Column]:
-    """n, min, max, mean, sd, median with ``na.rm=TRUE`` (n counts rows).
-
-    ``exact_median=False`` swaps the exact percentile (per-value state) for
-    the bounded-memory ``percentile_approx`` sketch.
+QUANTILE_HASH_ROWS_CONF = "smolt.quantile.maxHashRows"
+QUANTILE_HASH_ROWS_DEFAULT = 1_000_000
+_LARGEST: dict = {}
+
+
+def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Row count of the largest group (memoised per session and plan)."""
+    spark = df.sparkSession
+    keyed = df.select(*by) if by else df.select(F.lit(1).alias("__one"))
+    memo = (id(spark), keyed.semanticHash())
+    if memo not in _LARGEST:
+        g = keyed.groupBy(*keyed.columns if not by else by).agg(F.count(F.lit(1)).alias("__n"))
+        _LARGEST[memo] = g.agg(F.max("__n")).first()[0] or 0
+    return _LARGEST[memo]
+
+
+def quantile_method(df: DataFrame, value: str, by: Sequence[str], method: str = "auto") -> str:
+    if method != "auto":
+        return method
+    limit = int(df.sparkSession.conf.get(QUANTILE_HASH_ROWS_CONF, str(QUANTILE_HASH_ROWS_DEFAULT)))
+    return "hash" if _largest_group(df.filter(F.col(value).isNotNull()), list(by)) <= limit else "rank"
+
+
+def exact_quantiles(df: DataFrame, value: str, by: Sequence[str],
+                    probs: Sequence[float], names: Sequence[str],
+                    method: str = "auto") -> DataFrame:
+    """Exact type-7 quantiles per group (R ``quantile``/``median``):
+    ``h = (n - 1) p + 1``, ``q = x_(floor h) + (h - floor h)(x_(floor h + 1) - x_(floor h))``.
+
+    Two exact plans:
+
+    * ``hash`` — Spark's ``percentile`` aggregate: one pass with map-side
+      partial aggregation, but its buffer holds every distinct value of a
+      group, so it is only safe for bounded groups.
+    * ``rank`` — no per-value state: a range-partitioned global row number
+      over (group, value) ranks every value (a hot group is spread over
+      many tasks); each group's offset is a running count over the group
+      table; one filtered aggregate picks the two order statistics
+      around each h.
+
+    ``auto`` measures the largest group once (memoised) and uses ``hash``
+    up to ``smolt.quantile.maxHashRows`` rows, ``rank`` above. NULL values
+    are ignored; a group with no value is absent.
     """
+    by = list(by)
+    method = quantile_method(df, value, by, method)
+    if method == "hash":
+        q = (df.filter(F.col(value).isNotNull()).groupBy(*by)
+               .agg(F.percentile(F.col(value).cast("double"), [float(p) for p in probs]).alias("__q")))
+        return q.select(*by, *[F.col("__q")[k].alias(nm) for k, nm in enumerate(names)])
+    return _rank_quantiles(df, value, by, probs, names)
+
+
+def _rank_quantiles(df: DataFrame, value: str, by: Sequence[str],
+                    probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    from pyspark.sql import Window
+    from smolt.operators.sorting import global_row_number
+    by = list(by)
+    d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    if by:
+        w = Window.orderBy(*[F.col(c).asc_nulls_last() for c in by]) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        g = g.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    else:
+        g = g.withColumn("__before", F.lit(0))
+    ranked = global_row_number(d, [*by, "__x"], "__rid")
+    if by:
+        r = _join_by_keys(ranked, g, by)
+    else:  # one group: its size is a scalar subquery, no join
+        r = ranked.withColumns({"__n": d.select(F.count(F.lit(1))).scalar(), "__before": F.lit(0)})
+    r = r.withColumn("__i", F.col("__rid") - F.col("__before"))
+    n = F.col("__n")
+    h = [(n - 1).cast("double") * F.lit(float(p)) + 1 for p in probs]
+    lo = [F.floor(x).cast("long") for x in h]
+    need = F.lit(False)
+    for l_ in lo:
+        need = need | (F.col("__i") == l_) | (F.col("__i") == l_ + 1)
+    aggs = []
+    for k, l_ in enumerate(lo):
+        aggs += [F.max(F.when(F.col("__i") == l_, F.col("__x"))).alias(f"__lo{k}"),
+                 F.max(F.when(F.col("__i") == l_ + 1, F.col("__x"))).alias(f"__hi{k}")]
+    picked = r.filter(need).groupBy(*by, "__n").agg(*aggs)
+    out = []
+    for k, (hk, l_) in enumerate(zip(h, lo)):
+        xl, xh = F.col(f"__lo{k}"), F.coalesce(F.col(f"__hi{k}"), F.col(f"__lo{k}"))
+        out.append((xl + (hk - l_) * (xh - xl)).alias(names[k]))
+    return picked.select(*by, *out)
+
+
+def stats_exprs(col: str | Column) -> list[Column]:
+    """n, min, max, mean, sd with ``na.rm=TRUE`` (n counts rows); the median
+    is added by ``summarise_stats``."""
     c = F.col(col) if isinstance(col, str) else col
-    med = F.percentile(c, 0.5) if exact_median else F.percentile_approx(c, 0.5, accuracy)
     return [F.count(F.lit(1)).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"),
-            F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"),
-            med.cast("double").alias("median")]
+            F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd")]
+
 
+def summarise_stats(df: DataFrame, by: Sequence[str], col: str,
+                    exact_median: bool = True, accuracy: int = 100000) -> DataFrame:
+    """n, min, max, mean, sd, median per group (``summarise`` with
+    ``na.rm=TRUE``; n counts all rows, the rest drop NULLs).
 
-def summarise_stats(df: DataFrame, by: Sequence[str], col: str, **kw) -> DataFrame:
-    return df.groupBy(*by).agg(*stats_exprs(col, **kw))
+    The exact median is rank-based (``exact_quantiles``); with
+    ``exact_median=False`` it is the bounded-memory ``percentile_approx``.
+    """
+    by = list(by)
+    if not exact_median:
+        return df.groupBy(*by).agg(*stats_exprs(col), F.percentile_approx(
+            col, 0.5, accuracy).cast("double").alias("median"))
+    if quantile_method(df, col, by) == "hash":  # bounded groups: one pass
+        return df.groupBy(*by).agg(*stats_exprs(col), F.percentile(
+            F.col(col).cast("double"), 0.5).alias("median"))
+    base = df.groupBy(*by).agg(*stats_exprs(col))
+    med = exact_quantiles(df, col, by, [0.5], ["median"])
+    if not by:
+        return base.select("*", med.select("median").scalar().alias("median"))
+    return _join_by(base, med, by)
+
+
+def median_min_max(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+    """``summarise(median, min, max)`` with ``na.rm=TRUE`` (exact median)."""
+    if quantile_method(df, col, by) == "hash":
+        return df.groupBy(*by).agg(F.percentile(F.col(col).cast("double"), 0.5).alias("median"),
+                                   F.min(col).alias("min"), F.max(col).alias("max"))
+    base = df.groupBy(*by).agg(F.min(col).alias("min"), F.max(col).alias("max"))
+    return _join_by(base, exact_quantiles(df, col, by, [0.5], ["median"]), by)
+
+
+def _join_by_keys(big: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join on group keys, NULL-safe (a NULL group is a group)."""
+    sm = small.withColumnsRenamed({c: f"__k_{c}" for c in by})
+    cond = None
+    for c in by:
+        e = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        cond = e if cond is None else cond & e
+    return big.join(sm, cond, "inner").drop(*[f"__k_{c}" for c in by])
+
+
+def _join_by(base: DataFrame, med: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Left join on the group keys with NULL-safe equality (a NULL group
+    is a group, as in ``group_by``)."""
+    m = med.select(*[F.col(c).alias(f"__m_{c}") for c in by], "median")
+    cond = None
+    for c in by:
+        e = F.col(c).eqNullSafe(F.col(f"__m_{c}"))
+        cond = e if cond is None else cond & e
+    return base.join(m, cond, "left").drop(*[f"__m_{c}" for c in by])
 
 
 def first_last(df: DataFrame, by: Sequence[str], ts: str,

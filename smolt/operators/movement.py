@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from smolt.functions.nullsafe import if_else, isin_safe, not_in_safe, null_or_in
 from smolt.functions.scalars import paste, timediff, unit_speed
 from smolt.operators import windows as W
-from smolt.operators.aggregates import stats_exprs
+from smolt.operators.aggregates import summarise_stats
 
 
 def lag_timediff(df: DataFrame, tag: str = "tag", ts: str = "ts", tie: str = "tie",
@@ -114,7 +114,7 @@ def segment_durations(df: DataFrame, upstream: Sequence[str], site: str = "site"
                          bucket_seconds=bucket_seconds)
     s = s.select(F.col(site).alias("location_site"), "prev_location",
                  timediff(F.col(ts), F.col("__pts"), "days").alias("time_to"))
-    g = s.groupBy("location_site", "prev_location").agg(*stats_exprs("time_to"))
+    g = summarise_stats(s, ["location_site", "prev_location"], "time_to")
     g = g.filter(not_in_safe("location_site", upstream)
                  & ~null_or_in("prev_location", upstream))
     return g.withColumn("prev_current", paste("prev_location", "location_site", sep=" to "))

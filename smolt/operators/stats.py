@@ -130,16 +130,15 @@ def t_two_sided_p(t: Column, dof: Column) -> Column:
 def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], coef: float = 1.5) -> DataFrame:
     """Data behind a box plot per group.
 
-    Hinges are type-7 quantiles (linear interpolation, Spark's exact
-    ``percentile``); whiskers are the most extreme values inside
+    Hinges are exact type-7 quantiles (linear interpolation, rank-based
+    ``exact_quantiles``); whiskers are the most extreme values inside
     ``coef * IQR`` of the hinges; values beyond are counted as outliers.
     Two aggregate passes joined on the (small) group table.
     """
+    from smolt.operators.aggregates import _join_by_keys, exact_quantiles
     d = df.filter(F.col(value).isNotNull())
-    q = d.groupBy(*by).agg(
-        F.percentile(value, [0.25, 0.5, 0.75]).alias("__q"), F.count(F.lit(1)).alias("n"))
-    q = q.select(*by, "n", F.col("__q")[0].alias("lower"), F.col("__q")[1].alias("middle"),
-                 F.col("__q")[2].alias("upper"))
+    q = exact_quantiles(d, value, by, [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
+    q = _join_by_keys(q, d.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
     lo = F.col("lower") - F.lit(coef) * (F.col("upper") - F.col("lower"))
     hi = F.col("upper") + F.lit(coef) * (F.col("upper") - F.col("lower"))
     j = d.join(q, list(by), "inner")

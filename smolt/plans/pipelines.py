@@ -139,9 +139,7 @@ def residence_summary(det: DataFrame) -> DataFrame:
     """Per tag x site first/last detection and span (hours); median, min,
     max span per site (grouped by the site name, never by a double rkm)."""
     fl = A.first_last(det, ["tag", "site", "rkm"], "ts", "hours")
-    return fl.groupBy("site", "rkm").agg(F.percentile("duration", 0.5).alias("median"),
-                                         F.min("duration").alias("min"),
-                                         F.max("duration").alias("max"))
+    return A.median_min_max(fl, ["site", "rkm"], "duration")
 
 
 def long_residence_followup(det: DataFrame, site: str, min_hours: float,

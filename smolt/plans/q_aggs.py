@@ -72,9 +72,7 @@ SELECT site, round(quantile_cont(duration, 0.5), 6) AS median, round(min(duratio
        round(max(duration), 6) AS max FROM fl GROUP BY site""")
 def agg_median_min_max(spark, d):
     fl = A.first_last(T.detections(spark, d), ["tag", "site"], "ts", "hours")
-    g = fl.groupBy("site").agg(F.percentile("duration", 0.5).alias("median"),
-                               F.min("duration").alias("min"), F.max("duration").alias("max"))
-    return rounded(g, ["median", "min", "max"])
+    return rounded(A.median_min_max(fl, ["site"], "duration"), ["median", "min", "max"])
 
 
 @query("agg_min_check", f"""

@@ -85,3 +85,21 @@ def test_shapiro_small_groups(spark):
     assert got["three"]["W"] == pytest.approx(0.5 * 9 / np.sum((x - x.mean()) ** 2))
     assert got["two"]["W"] is None and got["two"]["p_value"] is None
     assert 0 < got["five"]["W"] <= 1 and 0 < got["five"]["p_value"] <= 1
+
+
+def test_quantile_plans_agree(spark):
+    from smolt.operators.aggregates import exact_quantiles
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.normal(0, 1, 101)] + \
+           [("c", 1.0), ("c", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    probs, names = [0.25, 0.5, 0.75], ["q1", "q2", "q3"]
+    h = {r["g"]: (r["q1"], r["q2"], r["q3"]) for r in
+         exact_quantiles(df, "x", ["g"], probs, names, method="hash").collect()}
+    k = {r["g"]: (r["q1"], r["q2"], r["q3"]) for r in
+         exact_quantiles(df, "x", ["g"], probs, names, method="rank").collect()}
+    assert h.keys() == k.keys() == {"a", "b", None, "c"}
+    for g in h:
+        assert h[g] == pytest.approx(k[g], abs=1e-12)
+    vals = [v for gg, v in rows if gg == "a"]
+    assert k["a"] == pytest.approx(tuple(np.quantile(vals, probs)), abs=1e-12)
