@@ -47,4 +47,5 @@ def deny_pairs(df: DataFrame, from_col: str, to_col: str,
     deny = spark.createDataFrame(list(dict.fromkeys(pairs)),
                                  f"`__df` string, `__dt` string")
     cond = (F.col(from_col) == F.col("__df")) & (F.col(to_col) == F.col("__dt"))
-    return df.join(F.broadcast(deny), cond, "left_anti")
+    from smolt.operators.joins import checked_broadcast
+    return df.join(checked_broadcast(deny), cond, "left_anti")

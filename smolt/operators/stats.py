@@ -266,14 +266,18 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """
     from pyspark.sql import Window
     from smolt.operators.sorting import global_row_number
-    by = list(by)
-    d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
+    user_by = list(by)
+    # a single sample is one group with a constant key (no cross join)
+    by = user_by or ["__all"]
+    src = df if user_by else df.withColumn("__all", F.lit(0))
+    d = src.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
     g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.var_samp("__x").alias("__var"))
     order = [F.col(c).asc_nulls_last() for c in by]
-    wg = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) if by else None
-    g = g.withColumn("__before", F.coalesce(F.sum("n").over(wg), F.lit(0)) if by else F.lit(0))
+    wg = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("__before", F.coalesce(F.sum("n").over(wg), F.lit(0)))
     ranked = global_row_number(d, [*by, "__x"], "__rid")
-    r = ranked.join(g.select(*by, "n", "__before"), by) if by else ranked.crossJoin(g)
+    from smolt.operators.aggregates import _join_by_keys
+    r = _join_by_keys(ranked, g.select(*by, "n", "__before"), by)
     nn = F.col("n")
     n = nn.cast("double")
     i = F.col("__rid") - F.col("__before")
@@ -286,7 +290,7 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
         F.sum(F.col("__m") ** 2).alias("__mm"),
         F.sum(F.when(~special, F.col("__m") * F.col("__x")).otherwise(0.0)).alias("__mid"),
         ext(1).alias("__x1"), ext(2).alias("__x2"), ext(nn - 1).alias("__xn1"), ext(nn).alias("__xn"))
-    g = g.join(s, by) if by else g.crossJoin(s)
+    g = _join_by_keys(g, s, by)
     g = g.withColumns({"__mn": _ppf_udf((n - 0.375) / (n + 0.25)),
                        "__mn1": _ppf_udf((n - 1.375) / (n + 0.25)), "__u": 1 / F.sqrt(n)})
     u, mm = F.col("__u"), F.col("__mm")
@@ -314,4 +318,4 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     p3 = F.greatest(F.lit(6 / math.pi) * (F.asin(F.sqrt(F.col("W"))) - F.asin(F.sqrt(F.lit(0.75)))),
                     F.lit(0.0))
     pval = F.when(nn == 3, p3).when(nn >= 4, _upper_tail_udf(F.col("__z")))
-    return w.select(*by, nn.cast("long").alias("n"), "W", pval.alias("p_value"))
+    return w.select(*user_by, nn.cast("long").alias("n"), "W", pval.alias("p_value"))

@@ -112,7 +112,7 @@ def tag_release_meta(spark, d):
     n = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
     r = T.table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"),
                                            F.col("r_name").alias("release_location"))
-    events = n.join(F.broadcast(r), "n_regionkey").drop("n_regionkey")
+    events = n.join(r, "n_regionkey").drop("n_regionkey")
     out = P.tag_release_meta(tags, events, ["c_nationkey"], "release_location", "c_acctbal")
     return rounded(out, ["mean_size"])
 

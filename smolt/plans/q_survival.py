@@ -54,7 +54,7 @@ def dataset_frequencies(spark, d):
     c = T.table(spark, d, "customer").select(F.col("c_custkey").alias("tag"), "c_nationkey")
     n = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"),
                                            F.col("n_regionkey").cast("string").alias("dataset"))
-    ds = c.join(F.broadcast(n), "c_nationkey").select("tag", "dataset")
+    ds = c.join(n, "c_nationkey").select("tag", "dataset")
     h = histories(spark, d).join(ds, "tag")
     return H.history_frequency(h, "grp", ["dataset"])
 

@@ -103,3 +103,24 @@ def test_quantile_plans_agree(spark):
         assert h[g] == pytest.approx(k[g], abs=1e-12)
     vals = [v for gg, v in rows if gg == "a"]
     assert k["a"] == pytest.approx(tuple(np.quantile(vals, probs)), abs=1e-12)
+
+
+def test_shapiro_single_sample(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(5, 2, 250)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    r = St.shapiro_wilk(df, "x", []).collect()
+    assert len(r) == 1 and r[0]["n"] == 250
+    w, p = _sw_local(x)
+    assert r[0]["W"] == pytest.approx(w, abs=1e-9) and r[0]["p_value"] == pytest.approx(p, rel=1e-6)
+
+
+def test_checked_broadcast(spark):
+    from smolt.operators.joins import checked_broadcast
+    small = spark.createDataFrame([("a", 1.0)], "site string, rkm double")
+    big = spark.range(10).withColumn("site", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
+    plan = big.join(checked_broadcast(small), "site")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    # above the limit no hint is added
+    huge = spark.range(10 ** 9)
+    assert checked_broadcast(huge, max_bytes=1024) is huge
