@@ -375,6 +375,12 @@ def fit_models(freq: DataFrame, group: str, levels: Sequence[str], k: int,
             "neg2lnl": n2, "k": np.int32(kest), "n_betas": np.int32(len(labels)),
             "converged": conv, "iterations": np.int32(it), "levels": "|".join(present)})
 
+    # the table is tiny, so AQE would coalesce it into one task and run the
+    # fits one after another; an explicit partition count spreads the
+    # (dataset, model) groups over the cluster (and satisfies the grouping
+    # without another exchange)
+    par = x.sparkSession.sparkContext.defaultParallelism
+    x = x.repartition(par, "dataset", "model")
     return x.groupBy("dataset", "model").applyInPandas(run, FIT_SCHEMA)
 
 
