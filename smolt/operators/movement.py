@@ -46,7 +46,7 @@ def gap_filter(df: DataFrame, min_gap_secs: float = 45.0, tag: str = "tag", ts:
     recursion. The first detection of a tag has no gap and is dropped
     unless ``keep_first`` (survey D3).
     """
-    bucket_seconds = W.resolve_bucket(df, [tag], bucket_seconds)
+    bucket_seconds = W.resolve_bucket(df, [tag], bucket_seconds, ts)
     d = lag_timediff(df, tag, ts, tie, "__gap", bucket_seconds=bucket_seconds)
     cond = F.col("__gap") >= F.lit(float(min_gap_secs))
     if keep_first:
@@ -107,7 +107,7 @@ def segment_durations(df: DataFrame, upstream: Sequence[str], site: str = "site"
     statistics per pair; pairs into an upstream site or from NA/upstream
     are dropped after summarising, and the pair is labelled "from to to".
     """
-    bucket_seconds = W.resolve_bucket(df, [tag], bucket_seconds)
+    bucket_seconds = W.resolve_bucket(df, [tag], bucket_seconds, ts)
     t = transitions(df, site, tag, ts, tie, bucket_seconds=bucket_seconds)
     t = t.filter(F.col("transition")).select(tag, site, ts, tie)
     s = W.sequence_shift(t, [tag], ts, tie, lags={"prev_location": site, "__pts": ts},

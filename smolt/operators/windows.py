@@ -49,34 +49,57 @@ SKEW_MIN_ROWS_DEFAULT = 4_000_000
 _DECISIONS: dict = {}
 
 
-def resolve_bucket(df: DataFrame, by: Sequence[str], bucket_seconds="auto"):
+BUCKET_ROWS_CONF = "smolt.skew.bucketRows"
+BUCKET_ROWS_DEFAULT = 2_000_000
+
+
+def resolve_bucket(df: DataFrame, by: Sequence[str], bucket_seconds="auto",
+                   order: str | None = None):
     """Bucket width to use for ``df`` grouped by ``by`` (None = plain).
 
-    The decision is remembered per session for the same key projection
-    (semantic hash of the plan): pipelines over one table measure it once.
-    Both plans return identical rows, so a stale decision can only cost
-    time, never change a result.
+    With ``order`` (the sequence clock) the width is sized to the hottest
+    group's density: about ``smolt.skew.bucketRows`` rows per (group,
+    bucket), between one second and one day. The decision is remembered
+    per session for the same key projection (semantic hash of the plan):
+    pipelines over one table measure it once. Both plans return identical
+    rows, so a stale decision can only cost time, never change a result.
     """
     if bucket_seconds != "auto":
         return bucket_seconds
     spark = df.sparkSession
-    keyed = df.select(*by)
-    memo = (id(spark), keyed.semanticHash(), spark.conf.get(SKEW_MIN_ROWS_CONF, ""),
+    cols = list(by) + ([order] if order and order not in by else [])
+    keyed = df.select(*cols)
+    memo = (id(spark), keyed.semanticHash(), tuple(by), order,
+            spark.conf.get(SKEW_MIN_ROWS_CONF, ""), spark.conf.get(BUCKET_ROWS_CONF, ""),
             spark.conf.get("spark.sql.shuffle.partitions", ""))
     if memo not in _DECISIONS:
-        _DECISIONS[memo] = _measure_bucket(spark, keyed, by)
+        _DECISIONS[memo] = _measure_bucket(spark, keyed, list(by), order)
     return _DECISIONS[memo]
 
 
-def _measure_bucket(spark, df: DataFrame, by: Sequence[str]):
+def _measure_bucket(spark, df: DataFrame, by: Sequence[str], order: str | None):
+    """One partial aggregate per group (count, time span); the hottest
+    group and the total come back to the driver (two rows of numbers)."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     factor = float(spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "5"))
     min_rows = int(spark.conf.get(SKEW_MIN_ROWS_CONF, str(SKEW_MIN_ROWS_DEFAULT)))
-    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    row = g.agg(F.max("__n").alias("mx"), F.sum("__n").alias("tot")).first()
-    mx, tot = (row["mx"] or 0), (row["tot"] or 0)
-    hot = mx > max(min_rows, factor * tot / max(parts, 1))
-    return DEFAULT_BUCKET_SECONDS if hot else None
+    per_bucket = int(spark.conf.get(BUCKET_ROWS_CONF, str(BUCKET_ROWS_DEFAULT)))
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    if order:
+        aggs += [F.min(epoch_micros(order)).alias("__t0"), F.max(epoch_micros(order)).alias("__t1")]
+    g = df.groupBy(*by).agg(*aggs)
+    row = g.agg(F.sum("__n").alias("tot"),
+                F.max_by(F.struct(*[c for c in g.columns if c.startswith("__")]), "__n").alias("top")
+                ).first()
+    tot, top = (row["tot"] or 0), row["top"]
+    mx = top["__n"] if top else 0
+    if mx <= max(min_rows, factor * tot / max(parts, 1)):
+        return None
+    if not order or top["__t0"] is None:
+        return DEFAULT_BUCKET_SECONDS
+    span_s = max((top["__t1"] - top["__t0"]) / 1e6, 1.0)
+    width = int(span_s * per_bucket / mx)
+    return max(1, min(DEFAULT_BUCKET_SECONDS, width))
 
 
 def _materialize(df: DataFrame) -> DataFrame:
@@ -118,7 +141,7 @@ def sequence_shift(df: DataFrame, by: Sequence[str], order: str, tie: str | None
     ``lags`` / ``leads`` map output column -> source column.
     """
     lags, leads = dict(lags or {}), dict(leads or {})
-    bucket_seconds = resolve_bucket(df, by, bucket_seconds)
+    bucket_seconds = resolve_bucket(df, by, bucket_seconds, order)
     if bucket_seconds is None:
         w = Window.partitionBy(*by).orderBy(*_order_cols(order, tie))
         return df.withColumns({**{o: F.lag(s).over(w) for o, s in lags.items()},
@@ -157,7 +180,7 @@ def sequence_row_number(df: DataFrame, by: Sequence[str], order: str, tie: str |
     Local rank within (group, bucket) plus the number of rows in earlier
     buckets of the group (a running sum over the small bucket summary).
     """
-    bucket_seconds = resolve_bucket(df, by, bucket_seconds)
+    bucket_seconds = resolve_bucket(df, by, bucket_seconds, order)
     if bucket_seconds is None:
         w = Window.partitionBy(*by).orderBy(*_order_cols(order, tie))
         return df.withColumn(out, F.row_number().over(w))
@@ -197,7 +220,7 @@ def nth_per_group(df: DataFrame, by: Sequence[str], order: str, tie: str | None,
     """
     if n == 1:
         return first_per_group(df, by, order, tie)
-    bucket_seconds = resolve_bucket(df, by, bucket_seconds)
+    bucket_seconds = resolve_bucket(df, by, bucket_seconds, order)
     if bucket_seconds is None:
         rn = sequence_row_number(df, by, order, tie, "__rn", None)
         return rn.filter(F.col("__rn") == n).drop("__rn")

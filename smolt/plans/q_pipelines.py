@@ -30,7 +30,7 @@ HAVING location_site <> '{UP}' AND prev_location IS NOT NULL AND prev_location <
 """)
 def segment_durations(spark, d):
     det = T.detections(spark, d).select("tag", "site", "ts", "tie")
-    b = W.resolve_bucket(det, ["tag"])  # one skew check for the whole chain
+    b = W.resolve_bucket(det, ["tag"], order="ts")  # one skew check for the whole chain
     kept = M.gap_filter(det, 45.0, bucket_seconds=b)
     out = M.segment_durations(kept, T.UPSTREAM_SITES, bucket_seconds=b)
     return rounded(out, STATS)
@@ -225,7 +225,7 @@ SELECT tag, site, ts, tie, rkm, round(tp, 6) AS time_prev,
        round(CASE WHEN tp / 86400.0 = 0 THEN NULL ELSE (prev_rkm - rkm) / (tp / 86400.0) END, 6) AS speed_km_day
 FROM b""")
 def movement_metrics(spark, d):
-    b = W.resolve_bucket(T.detections(spark, d), ["tag"])
+    b = W.resolve_bucket(T.detections(spark, d), ["tag"], order="ts")
     c = _clean(spark, d, b).select("tag", "site", "ts", "tie", "rkm")
     return rounded(M.movement_metrics(c, bucket_seconds=b), MOVE_COLS)
 

@@ -94,7 +94,7 @@ SELECT tag, site, ts, tie, rkm, round(tp, 6) AS time_prev,
 FROM b""")
 def win_recompute_after_filter(spark, d):
     x = _det_rkm(spark, d)
-    b = W.resolve_bucket(x, ["tag"])
+    b = W.resolve_bucket(x, ["tag"], order="ts")
     a = W.sequence_shift(x, ["tag"], "ts", "tie", lags={"prev_rkm": "rkm", "prev_site": "site"},
                          bucket_seconds=b)
     a = a.withColumn("transition", N.if_else(F.col("site") == F.col("prev_site"), False, True))

@@ -77,6 +77,11 @@ def test_auto_detects_hot_tag(spark):
     try:
         assert W.resolve_bucket(d, ["tag"]) == W.DEFAULT_BUCKET_SECONDS
         assert W.resolve_bucket(d.filter("tag <> 1"), ["tag"]) is None
+        # sized to the hot tag's density: 600 rows over 599 minutes and
+        # 100 rows per bucket -> buckets of about 100 minutes
+        spark.conf.set(W.BUCKET_ROWS_CONF, "100")
+        assert 5900 <= W.resolve_bucket(d, ["tag"], order="ts") <= 6000
+        spark.conf.unset(W.BUCKET_ROWS_CONF)
         a = W.sequence_shift(d, ["tag"], "ts", "tie", lags={"p": "tie"}, bucket_seconds=3600)
         b = W.sequence_shift(d, ["tag"], "ts", "tie", lags={"p": "tie"}, bucket_seconds=None)
         assert _rows(a, ["tie", "p"]) == _rows(b, ["tie", "p"])
