@@ -123,29 +123,28 @@ def closed_form_time(freq: DataFrame, k: int, by: Sequence[str] = ()) -> DataFra
     """
     from pyspark.sql import Window
     by = list(by)
-    ma = m_array(freq.withColumn("__g", F.lit(1)), "__g", k, by)
-    # Spark names are case-insensitive: R/r/m/M get distinct names
-    rel = ma.groupBy(*by, F.col("release_occ").alias("occ")).agg(
-        F.sum("n").alias("released"),
-        F.sum(F.when(F.col("recapture_occ").isNotNull(), F.col("n"))).alias("recaptured"))
-    rec = ma.filter(F.col("recapture_occ").isNotNull()).groupBy(
-        *by, F.col("recapture_occ").alias("occ")).agg(F.sum("n").alias("marked"))
+    # one explode over occasions 1..K-1 and one aggregate: for occasion j,
+    # released = captured at j; recaptured = captured at j and later;
+    # marked = captured at j after the first capture; between = missed at j
+    # but seen before and after
     first, last = first_last_occ(F.col("ch"), k)
-    gaps = F.filter(F.sequence(F.lit(1), F.lit(k)),
-                    lambda j: (j > first) & (j < last) & (F.substring(F.col("ch"), j, 1) == F.lit("0")))
-    z = (freq.select(*by, "n", F.explode(gaps).alias("occ"))
-             .groupBy(*by, "occ").agg(F.sum("n").alias("between")))
-    base = freq.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("occ"))
-    cnt = ["released", "recaptured", "marked", "between"]
-    t = (base.join(rel, [*by, "occ"], "left").join(rec, [*by, "occ"], "left")
-             .join(z, [*by, "occ"], "left").fillna(0, subset=cnt))
+    x = freq.select(*by, "n", first.alias("__f"), last.alias("__l"), "ch",
+                    F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("occ"))
+    hit = F.substring(F.col("ch"), F.col("occ"), 1) == F.lit("1")
+    cnt = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0))).cast("long")
+    t = x.groupBy(*by, "occ").agg(
+        cnt(hit).alias("released"),
+        cnt(hit & (F.col("occ") < F.col("__l"))).alias("recaptured"),
+        cnt(hit & (F.col("occ") > F.col("__f"))).alias("marked"),
+        cnt(~hit & (F.col("occ") > F.col("__f")) & (F.col("occ") < F.col("__l"))).alias("between"))
+    cnt_cols = ["released", "recaptured", "marked", "between"]
     R, r, m = F.col("released"), F.col("recaptured"), F.col("marked")
-    t = t.withColumn("marked_pop", m + R * F.col("between") / r)
+    dv = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))  # noqa: E731 (x/0 -> NULL)
+    t = t.withColumn("marked_pop", m + dv(R * F.col("between"), r))
     M = F.col("marked_pop")
     w = Window.partitionBy(*by).orderBy("occ") if by else Window.orderBy("occ")
-    phi = F.lead("marked_pop").over(w) / (M - m + R)
+    phi = dv(F.lead("marked_pop").over(w), M - m + R)
     t = t.withColumn("phi", F.when(F.col("occ") < k - 1, phi))
-    t = t.withColumn("p", F.when(F.col("occ") >= 2, m / M))
-    t = t.withColumn("last_product", F.when(F.col("occ") == k - 1, r / R))
-    return t.select(*by, "occ", *[F.col(c).cast("long").alias(c) for c in cnt],
-                    "marked_pop", "phi", "p", "last_product")
+    t = t.withColumn("p", F.when(F.col("occ") >= 2, dv(m, M)))
+    t = t.withColumn("last_product", F.when(F.col("occ") == k - 1, dv(r, R)))
+    return t.select(*by, "occ", *cnt_cols, "marked_pop", "phi", "p", "last_product")

@@ -36,8 +36,10 @@ def welch_t_test(df: DataFrame, value: str, group: str, first: str, second: str,
         F.var_samp(F.when(F.col(group) == lvl, F.col(value))).alias(f"var_{tag}"))])
     se2a = F.col("var_a") / F.col("n_a")
     se2b = F.col("var_b") / F.col("n_b")
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(se2a + se2b)
-    dof = (se2a + se2b) ** 2 / (se2a ** 2 / (F.col("n_a") - 1) + se2b ** 2 / (F.col("n_b") - 1))
+    # x / 0 (no spread in either group) gives NULL, not an ANSI error
+    t = F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(se2a + se2b))
+    dof = F.try_divide((se2a + se2b) ** 2,
+                       se2a ** 2 / (F.col("n_a") - 1) + se2b ** 2 / (F.col("n_b") - 1))
     out = g.select(F.lit(first).alias("group_a"), F.lit(second).alias("group_b"),
                    "n_a", "n_b", "mean_a", "mean_b", t.alias("t"), dof.alias("df"))
     if with_p:
@@ -173,7 +175,9 @@ def histogram_n(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     d = df.filter(F.col(value).isNotNull())
     lo = d.select(F.min(value)).scalar()
     hi = d.select(F.max(value)).scalar()
-    b = F.least(F.floor((F.col(value) - lo) / (hi - lo) * F.lit(bins)) + 1, F.lit(bins)).cast("long")
+    # all values equal (hi == lo): a single bin
+    frac = F.coalesce(F.try_divide(F.col(value) - lo, hi - lo), F.lit(0.0))
+    b = F.least(F.floor(frac * F.lit(bins)) + 1, F.lit(bins)).cast("long")
     g = d.withColumn("bin", b).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     width = (hi - lo) / F.lit(bins)
     return g.select("bin", (lo + (F.col("bin") - 1) * width).alias("bin_lo"),
@@ -294,21 +298,22 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     g = g.withColumns({"__mn": _ppf_udf((n - 0.375) / (n + 0.25)),
                        "__mn1": _ppf_udf((n - 1.375) / (n + 0.25)), "__u": 1 / F.sqrt(n)})
     u, mm = F.col("__u"), F.col("__mm")
+    # groups below three values get NULL throughout (no division errors)
     an = F.when(nn == 3, F.lit(math.sqrt(0.5))).otherwise(
-        F.col("__mn") / F.sqrt(mm) + _poly((0.0,) + SW_AN, u))
-    an1 = F.col("__mn1") / F.sqrt(mm) + _poly((0.0,) + SW_AN1, u)
+        F.try_divide(F.col("__mn"), F.sqrt(mm)) + _poly((0.0,) + SW_AN, u))
+    an1 = F.try_divide(F.col("__mn1"), F.sqrt(mm)) + _poly((0.0,) + SW_AN1, u)
     g = g.withColumns({"__an": an, "__an1": an1})
-    phi = F.when(big, (mm - 2 * F.col("__mn") ** 2 - 2 * F.col("__mn1") ** 2)
-                 / (1 - 2 * F.col("__an") ** 2 - 2 * F.col("__an1") ** 2)) \
-        .otherwise((mm - 2 * F.col("__mn") ** 2) / (1 - 2 * F.col("__an") ** 2))
+    phi = F.when(big, F.try_divide(mm - 2 * F.col("__mn") ** 2 - 2 * F.col("__mn1") ** 2,
+                                   1 - 2 * F.col("__an") ** 2 - 2 * F.col("__an1") ** 2)) \
+        .otherwise(F.try_divide(mm - 2 * F.col("__mn") ** 2, 1 - 2 * F.col("__an") ** 2))
     g = g.withColumn("__phi", phi)
-    ax = (F.col("__mid") / F.sqrt(F.col("__phi"))
+    ax = (F.try_divide(F.col("__mid"), F.sqrt(F.col("__phi")))
           + F.col("__an") * (F.col("__xn") - F.col("__x1"))
           + F.when(big, F.col("__an1") * (F.col("__xn1") - F.col("__x2"))).otherwise(F.lit(0.0)))
     # n == 3: the middle coefficient is 0 (symmetric scores)
     ax = F.when(nn == 3, F.lit(math.sqrt(0.5)) * (F.col("__xn") - F.col("__x1"))).otherwise(ax)
     ss = F.col("__var") * (nn - 1)
-    w = g.withColumn("W", F.when(nn >= 3, F.least(ax ** 2 / ss, F.lit(1.0))))
+    w = g.withColumn("W", F.when(nn >= 3, F.least(F.try_divide(ax ** 2, ss), F.lit(1.0))))
     ln_n = F.log(n)
     z_large = (F.log1p(-F.col("W")) - _poly(SW_LARGE_MEAN, ln_n)) / F.exp(_poly(SW_LARGE_SD, ln_n))
     gamma = _poly(SW_SMALL_GAMMA, n)

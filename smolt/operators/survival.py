@@ -193,11 +193,13 @@ def gof_stats(freq: DataFrame, params: DataFrame, group: str, k: int, n_params:
     dev = neg2 - F.col("neg2lnl_sat")
     ddf = F.col("cells") - F.col("cohorts") - F.col("k")
     pdf = F.col("possible") - F.col("cohorts") - F.col("k")
-    sbar = (F.col("sum_o_over_e") - F.col("possible")) / (F.col("possible") - F.col("cohorts"))
+    sbar = F.try_divide(F.col("sum_o_over_e") - F.col("possible"),
+                        (F.col("possible") - F.col("cohorts")).cast("double"))
+    dv = lambda a, b: F.try_divide(a, b.cast("double"))  # noqa: E731 (x/0 -> NULL)
     return j.select(*extra, neg2.alias("neg2lnl"), dev.alias("deviance"), ddf.alias("deviance_df"),
-                    (dev / ddf).alias("c_hat"), "pearson_chisq", "possible", pdf.alias("pearson_df"),
-                    (F.col("pearson_chisq") / pdf).alias("pearson_chat"), sbar.alias("s_bar"),
-                    (F.col("pearson_chisq") / pdf / (1 + sbar)).alias("fletcher_chat"))
+                    dv(dev, ddf).alias("c_hat"), "pearson_chisq", "possible", pdf.alias("pearson_df"),
+                    dv(F.col("pearson_chisq"), pdf).alias("pearson_chat"), sbar.alias("s_bar"),
+                    dv(dv(F.col("pearson_chisq"), pdf), 1 + sbar).alias("fletcher_chat"))
 
 
 # ------------------------------------------------------------ numpy fitter
@@ -397,12 +399,12 @@ def model_table(fits: DataFrame, ess: DataFrame) -> DataFrame:
     k, n = F.col("k"), F.col("ess")
     aic = F.col("neg2lnl") + 2 * k
     m = m.select("dataset", "model", "neg2lnl", "k", "ess", aic.alias("aic"),
-                 (aic + 2 * k * (k + 1) / (n - k - 1)).alias("aicc"),
+                 (aic + F.try_divide(2 * k * (k + 1), (n - k - 1).cast("double"))).alias("aicc"),
                  (F.col("neg2lnl") + k * F.log(n)).alias("bic"))
     w = Window.partitionBy("dataset")
     m = m.withColumn("delta_aicc", F.col("aicc") - F.min("aicc").over(w))
     m = m.withColumn("__l", F.exp(-F.col("delta_aicc") / 2))
-    return m.withColumn("weight", F.col("__l") / F.sum("__l").over(w)).drop("__l")
+    return m.withColumn("weight", F.try_divide(F.col("__l"), F.sum("__l").over(w))).drop("__l")
 
 
 def real_estimates(fits: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def histogram_fixed(spark, d):
 @query("histogram_n", f"""
 WITH s AS (SELECT speed_bodyL_secs AS x FROM ({SPEED_SQL}) WHERE speed_bodyL_secs > 0),
 r AS (SELECT min(x) AS lo, max(x) AS hi FROM s),
-b AS (SELECT CAST(least(floor((x - lo) / (hi - lo) * 30) + 1, 30) AS BIGINT) AS bin, lo, hi FROM s, r)
+b AS (SELECT CAST(least(floor(coalesce((x - lo) / NULLIF(hi - lo, 0), 0) * 30) + 1, 30) AS BIGINT) AS bin, lo, hi FROM s, r)
 SELECT bin, round(lo + (bin - 1) * ((hi - lo) / 30), 6) AS bin_lo, round(lo + bin * ((hi - lo) / 30), 6) AS bin_hi,
        CAST(count(*) AS BIGINT) AS n FROM b GROUP BY bin, lo, hi""")
 def histogram_n(spark, d):

@@ -188,12 +188,12 @@ base AS (SELECT CAST(o AS INTEGER) AS occ FROM range(1, {K}) r(o)),
 t AS (SELECT b.occ, coalesce(released, 0) AS released, coalesce(recaptured, 0) AS recaptured,
              coalesce(marked, 0) AS marked, coalesce(between, 0) AS between
       FROM base b LEFT JOIN rel USING (occ) LEFT JOIN rec USING (occ) LEFT JOIN zz USING (occ)),
-u AS (SELECT *, marked + released * between / recaptured AS marked_pop FROM t)
+u AS (SELECT *, marked + released * between / NULLIF(recaptured, 0) AS marked_pop FROM t)
 SELECT occ, CAST(released AS BIGINT) AS released, CAST(recaptured AS BIGINT) AS recaptured,
        CAST(marked AS BIGINT) AS marked, CAST(between AS BIGINT) AS between, round(marked_pop, 6) AS marked_pop,
-       round(CASE WHEN occ < {K - 1} THEN LEAD(marked_pop) OVER (ORDER BY occ) / (marked_pop - marked + released) END, 6) AS phi,
-       round(CASE WHEN occ >= 2 THEN marked / marked_pop END, 6) AS p,
-       round(CASE WHEN occ = {K - 1} THEN recaptured / released END, 6) AS last_product
+       round(CASE WHEN occ < {K - 1} THEN LEAD(marked_pop) OVER (ORDER BY occ) / NULLIF(marked_pop - marked + released, 0) END, 6) AS phi,
+       round(CASE WHEN occ >= 2 THEN marked / NULLIF(marked_pop, 0) END, 6) AS p,
+       round(CASE WHEN occ = {K - 1} THEN recaptured / NULLIF(released, 0) END, 6) AS last_product
 FROM u""")
 def cjs_closed_form(spark, d):
     t = H.closed_form_time(frequencies(spark, d), K)

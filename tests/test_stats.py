@@ -77,13 +77,15 @@ def test_boxplot_whiskers(spark):
 
 def test_shapiro_small_groups(spark):
     rows = [("three", 1.0), ("three", 2.0), ("three", 4.0)] + \
-           [("five", v) for v in (2.1, 3.3, 1.0, 7.5, 4.2)] + [("two", 1.0), ("two", 2.0)]
+           [("five", v) for v in (2.1, 3.3, 1.0, 7.5, 4.2)] + [("two", 1.0), ("two", 2.0)] + \
+           [("one", 4.0)]
     got = {r["g"]: r for r in St.shapiro_wilk(spark.createDataFrame(rows, "g string, x double"),
                                                "x", ["g"]).collect()}
     # n = 3: W = a^2 (x3 - x1)^2 / SS with a = sqrt(1/2)
     x = np.array([1.0, 2.0, 4.0])
     assert got["three"]["W"] == pytest.approx(0.5 * 9 / np.sum((x - x.mean()) ** 2))
     assert got["two"]["W"] is None and got["two"]["p_value"] is None
+    assert got["one"]["W"] is None and got["one"]["n"] == 1
     assert 0 < got["five"]["W"] <= 1 and 0 < got["five"]["p_value"] <= 1
 
 
