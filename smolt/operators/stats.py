@@ -34,12 +34,13 @@ def welch_t_test(df: DataFrame, value: str, group: str, first: str, second: str,
         F.count(F.when(F.col(group) == lvl, F.lit(1))).alias(f"n_{tag}"),
         F.avg(F.when(F.col(group) == lvl, F.col(value))).alias(f"mean_{tag}"),
         F.var_samp(F.when(F.col(group) == lvl, F.col(value))).alias(f"var_{tag}"))])
-    se2a = F.col("var_a") / F.col("n_a")
-    se2b = F.col("var_b") / F.col("n_b")
+    se2a = F.try_divide(F.col("var_a"), F.col("n_a").cast("double"))
+    se2b = F.try_divide(F.col("var_b"), F.col("n_b").cast("double"))
     # x / 0 (no spread in either group) gives NULL, not an ANSI error
     t = F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(se2a + se2b))
     dof = F.try_divide((se2a + se2b) ** 2,
-                       se2a ** 2 / (F.col("n_a") - 1) + se2b ** 2 / (F.col("n_b") - 1))
+                       F.try_divide(se2a ** 2, (F.col("n_a") - 1).cast("double"))
+                       + F.try_divide(se2b ** 2, (F.col("n_b") - 1).cast("double")))
     out = g.select(F.lit(first).alias("group_a"), F.lit(second).alias("group_b"),
                    "n_a", "n_b", "mean_a", "mean_b", t.alias("t"), dof.alias("df"))
     if with_p:

@@ -182,8 +182,8 @@ def gof_stats(freq: DataFrame, params: DataFrame, group: str, k: int, n_params:
         F.sum(F.when(F.col("O") > 0, F.col("O") * F.log(F.col("E") / F.col("N")))).alias("__ll"),
         F.count(F.lit(1)).alias("possible"),
         F.sum(F.when(F.col("O") > 0, 1).otherwise(0)).alias("cells"),
-        F.sum((F.col("O") - F.col("E")) ** 2 / F.col("E")).alias("pearson_chisq"),
-        F.sum(F.col("O") / F.col("E")).alias("sum_o_over_e"))
+        F.sum(F.try_divide((F.col("O") - F.col("E")) ** 2, F.col("E"))).alias("pearson_chisq"),
+        F.sum(F.try_divide(F.col("O").cast("double"), F.col("E"))).alias("sum_o_over_e"))
     ncoh = coh.groupBy(*extra).agg(F.count(F.lit(1)).alias("cohorts"))
     sat = saturated_neg2lnl(freq, group, k, extra)
     if not extra:
