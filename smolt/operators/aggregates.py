@@ -1,6 +1,10 @@
-"""Aggregations (survey 2.5). All are hash/sort aggregates with map-side
-partial aggregation, so a hot group is reduced in every input task before
-the shuffle; only the exact median keeps per-value state (see ``stats``)."""
+"""Aggregations (survey 2.5).
+
+Counts, sums, extremes, means and variances are hash aggregates with
+map-side partial aggregation, so a hot group is reduced in every input
+task before the shuffle. Exact quantiles need order statistics; they use
+Spark's one-pass ``percentile`` only while groups are bounded and switch to
+a rank-based plan (range sort, no per-value state) for large groups."""
 
 from __future__ import annotations
 
@@ -48,6 +52,8 @@ def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 
 def quantile_method(df: DataFrame, value: str, by: Sequence[str], method: str = "auto") -> str:
+    """``hash`` while the largest group holds at most ``smolt.quantile.maxHashRows``
+    values, else ``rank`` (see ``exact_quantiles``)."""
     if method != "auto":
         return method
     limit = int(df.sparkSession.conf.get(QUANTILE_HASH_ROWS_CONF, str(QUANTILE_HASH_ROWS_DEFAULT)))
