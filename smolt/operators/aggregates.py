@@ -73,8 +73,8 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str],
       group, so it is only safe for bounded groups.
     * ``rank`` — no per-value state: a range-partitioned global row number
       over (group, value) ranks every value (a hot group is spread over
-      many tasks); each group's offset is a running count over the group
-      table; one filtered aggregate picks the two order statistics
+      many tasks); each group's offset is its smallest row number (an
+      aggregate); one filtered aggregate picks the two order statistics
       around each h.
 
     ``auto`` measures the largest group once (memoised) and uses ``hash``
@@ -92,18 +92,14 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str],
 
 def _rank_quantiles(df: DataFrame, value: str, by: Sequence[str],
                     probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    from pyspark.sql import Window
     from smolt.operators.sorting import global_row_number
     by = list(by)
     d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
-    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    if by:
-        w = Window.orderBy(*[F.col(c).asc_nulls_last() for c in by]) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        g = g.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    else:
-        g = g.withColumn("__before", F.lit(0))
     ranked = global_row_number(d, [*by, "__x"], "__rid")
+    # a group's offset is its smallest global row number minus one: an
+    # aggregate over the ranked rows (no single-task window over groups)
+    g = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"),
+                                (F.min("__rid") - 1).alias("__before"))
     if by:
         r = _join_by_keys(ranked, g, by)
     else:  # one group: its size is a scalar subquery, no join

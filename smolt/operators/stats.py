@@ -254,13 +254,11 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
     Distributed, with one shuffle of the data (the range sort):
 
-    1. n and variance per group (partial aggregate; one row per group);
-       the rows of all earlier groups in sort order give each group's
-       rank offset (a running sum over the group table).
-    2. A range-partitioned global row number over (group, value) gives
-       each value's rank i within its group (a hot group is spread over
-       many tasks); Blom scores ``m_i`` come from an Arrow-batched normal
-       quantile.
+    1. A range-partitioned global row number over (group, value) ranks
+       every value (a hot group is spread over many tasks).
+    2. One aggregate per group gives n, the variance and the group's rank
+       offset (its smallest row number); Blom scores ``m_i`` of the rank
+       within the group come from an Arrow-batched normal quantile.
     3. One aggregate per group collects sum m_i^2, sum m_i x_i over the
        middle ranks and the four extreme values; W and its p-value are
        then column expressions on the group table.
@@ -269,18 +267,17 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     refuses n > 5000; here W and p are still computed with the same
     approximation.
     """
-    from pyspark.sql import Window
     from smolt.operators.sorting import global_row_number
     user_by = list(by)
     # a single sample is one group with a constant key (no cross join)
     by = user_by or ["__all"]
     src = df if user_by else df.withColumn("__all", F.lit(0))
     d = src.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
-    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.var_samp("__x").alias("__var"))
-    order = [F.col(c).asc_nulls_last() for c in by]
-    wg = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("__before", F.coalesce(F.sum("n").over(wg), F.lit(0)))
     ranked = global_row_number(d, [*by, "__x"], "__rid")
+    # group size, variance and rank offset (smallest row number - 1) in one
+    # aggregate over the ranked rows
+    g = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.var_samp("__x").alias("__var"),
+                                (F.min("__rid") - 1).alias("__before"))
     from smolt.operators.aggregates import _join_by_keys
     r = _join_by_keys(ranked, g.select(*by, "n", "__before"), by)
     nn = F.col("n")
