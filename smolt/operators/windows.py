@@ -117,9 +117,10 @@ def _order_cols(order: str, tie: str | None) -> list[Column]:
 
 
 def _order_key(order: str, tie: str | None) -> Column:
-    # struct ordering compares field by field; NULL times are isolated in
-    # their own bucket, so field-level NULL ordering never mixes with values
-    return F.struct(F.col(order), F.col(tie)) if tie else F.struct(F.col(order))
+    # struct ordering compares field by field and puts NULL first; the
+    # leading is-null flag sends NULL times last, as ``arrange`` does
+    fields = [F.col(order).isNull(), F.col(order)] + ([F.col(tie)] if tie else [])
+    return F.struct(*fields)
 
 
 def _bucketed(df: DataFrame, by: Sequence[str], order: str, bucket_seconds: int) -> DataFrame:

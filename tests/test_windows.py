@@ -87,3 +87,10 @@ def test_auto_detects_hot_tag(spark):
         assert _rows(a, ["tie", "p"]) == _rows(b, ["tie", "p"])
     finally:
         spark.conf.unset(W.SKEW_MIN_ROWS_CONF)
+
+
+def test_first_per_group_null_time_last(spark):
+    t = dt.datetime(2024, 5, 1)
+    d = spark.createDataFrame([(1, None, 1), (1, t, 2), (2, None, 3)], "tag long, ts timestamp, tie long")
+    got = {r["tag"]: r["tie"] for r in W.first_per_group(d, ["tag"], "ts", "tie").collect()}
+    assert got == {1: 2, 2: 3}
