@@ -94,3 +94,13 @@ def test_first_per_group_null_time_last(spark):
     d = spark.createDataFrame([(1, None, 1), (1, t, 2), (2, None, 3)], "tag long, ts timestamp, tie long")
     got = {r["tag"]: r["tie"] for r in W.first_per_group(d, ["tag"], "ts", "tie").collect()}
     assert got == {1: 2, 2: 3}
+
+
+def test_row_number_bucketed_null_group(spark):
+    t = dt.datetime(2024, 5, 1)
+    rows = [(None, t + dt.timedelta(hours=h), h) for h in range(5)] + [(1, t, 10), (1, t, 11)]
+    d = spark.createDataFrame(rows, "tag long, ts timestamp, tie long")
+    a = W.sequence_row_number(d, ["tag"], "ts", "tie", bucket_seconds=3600)
+    b = W.sequence_row_number(d, ["tag"], "ts", "tie", bucket_seconds=None)
+    assert _rows(a, ["tie", "rn"]) == _rows(b, ["tie", "rn"])
+    assert W.nth_per_group(d, ["tag"], "ts", "tie", 2, bucket_seconds=3600).count() == 2
