@@ -107,3 +107,13 @@ def elapsed_since(first_events: DataFrame, anchors: DataFrame, key: str, ts: str
     """Join first events to anchors and add ``difftime(ts, anchor, units)``."""
     return first_events.join(anchors, key, "inner") \
         .withColumn(out, timediff(F.col(ts), F.col(anchor_ts), units))
+
+
+def dup_key_report(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """Keys that occur more than once (survey D13: short PIT ids repeat
+    across releases, so a join on them fans out and can pick the wrong
+    release). An aggregate with partial aggregation; one row per repeated
+    key with its count."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+              .filter(F.col("n") > 1))

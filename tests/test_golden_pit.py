@@ -53,3 +53,11 @@ def test_hemoglobin_welch_and_scale_loss(spark):
     sl = {(x["pump"], x["value"]): x["n"] for x in
           P.scale_loss_classes(final, "treatment", "scale_loss", control=["control"]).collect()}
     assert sl == G.SCALE_LOSS
+
+
+def test_dup_key_report(spark):
+    from smolt.operators.joins import dup_key_report
+    rel = spark.createDataFrame(G.RELEASES + [("2024-05-24", "12:08", "f9c3", "archimedes3")],
+                                "d string, t string, tag_id string, treatment string")
+    got = [(r["tag_id"], r["n"]) for r in dup_key_report(rel, "tag_id").collect()]
+    assert got == [("f9c3", 2)]
