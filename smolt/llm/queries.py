@@ -28,7 +28,7 @@ _STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.STOP_WORDS.value
 QUALITY_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
       FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
@@ -37,7 +37,7 @@ m AS (SELECT w.rid, doc_id, len(ws) AS n_words, length(array_to_string(ws, ''))
              len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '!')) AS n_shouts,
              len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
              coalesce(covered.n, 0) AS n_repeat_words,
-             len(list_filter(ws, x -> lower(x) IN ({_STOP}))) AS n_stop FROM w LEFT JOIN covered USING (rid)),
+             len(list_filter(ws, lambda x: lower(x) IN ({_STOP}))) AS n_stop FROM w LEFT JOIN covered USING (rid)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
