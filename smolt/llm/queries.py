@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smolt.llm import quality, sharding
+from smolt.llm import packing, quality, sharding, simhash
 from smolt.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,8 +55,21 @@ def op4_quality_rules(spark, d):
         q["kept"].alias("kept"))
 
 
+@query("op7_packing")
+def op7_packing(spark, d):
+    from public_tokenizers import path
+    p = packing.pack(documents(spark, d), path("word_bpe_49k.json"))
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query("op8_histogram_sharding")
 def op8_histogram_sharding(spark, d):
     return sharding.histogram_shards(documents(spark, d), shards=40, carry=["doc_id"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_simhash")
+def op10_simhash(spark, d):
+    return simhash.simhash_components(documents(spark, d), shingle=4, budget=4).select(
+        "doc_id", "fingerprint", F.col("component").alias("component_id"))
