@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smolt.llm import packing, quality, sharding, simhash
+from smolt.llm import language, packing, quality, sharding, simhash, toxicity
 from smolt.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark, d):
+    docs = documents(spark, d).select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels, ~toxicity.fold(F.col("doc_id")))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.fold(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark, d):
+    docs = documents(spark, d)
+    model = language.train(docs, ~language.fold(F.col("doc_id")))
+    return language.predict(docs, model).select(
+        "doc_id", language.fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.STOP_WORDS.values() for w in ws}))
 QUALITY_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
