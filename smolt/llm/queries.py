@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smolt.llm import language, packing, quality, sharding, simhash, toxicity
+from smolt.llm import language, packing, quality, sharding, simhash, suffixes, toxicity
 from smolt.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,12 @@ def op8_histogram_sharding(spark, d):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, d):
+    found = suffixes.passages(documents(spark, d))
+    return found.select(F.col("id").alias("doc_id"), F.col("h").alias("text_hash"), "spans", "cuts")
+
+
 @query("op10_simhash")
 def op10_simhash(spark, d):
     return simhash.simhash_components(documents(spark, d), shingle=4, budget=4).select(
