@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smolt.llm import language, packing, quality, sharding, simhash, suffixes, toxicity
+from smolt.llm import language, maxent, packing, quality, sharding, simhash, suffixes, toxicity
 from smolt.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_maxent")
+def op1_maxent(spark, d):
+    found = maxent.score(documents(spark, d), ~maxent.fold(F.col("doc_id")))
+    return found.select("doc_id", maxent.fold(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                        "base_score", "score")
+
+
 @query("op2_toxicity")
 def op2_toxicity(spark, d):
     docs = documents(spark, d).select("doc_id", "text")
