@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smolt.llm import language, maxent, packing, quality, sharding, simhash, suffixes, toxicity
+from smolt.llm import language, maxent, packing, pieces, quality, sharding, simhash, suffixes, topk, toxicity
 from smolt.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,35 @@ def op4_quality_rules(spark, d):
         q["kept"].alias("kept"))
 
 
+@query("op5_pieces")
+def op5_pieces(spark, d):
+    from public_tokenizers import path
+    model = path("piece_bpe_32k.model")
+    docs = documents(spark, d).select("doc_id", "text")
+    # the text's checksum is carried beside the ids, so the round trip is checked row by row
+    rows = pieces.encode(docs, model, carry={"text_crc32": F.crc32(F.col("text").cast("binary"))})
+    return pieces.decode(rows, model).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).eqNullSafe(F.col("text_crc32")).alias("lossless"))
+
+
+TOP_K_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("op6_cover_tree_topk", TOP_K_SQL)
+def op6_cover_tree_topk(spark, d):
+    from smolt.session import ship_package
+    ship_package(spark)
+    return topk.top_k(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("id") % 100 == 0, k=10)
+
+
 @query("op7_packing")
 def op7_packing(spark, d):
     from public_tokenizers import path

@@ -43,7 +43,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _inverse(base: int) -> int:
+def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
@@ -51,7 +51,7 @@ def ranges(values: np.ndarray, base: int, lo: np.ndarray, hi: np.ndarray) -> np.
     """Hash of values[lo:hi] for each pair of positions."""
     s = np.zeros(len(values) + 1, _U)
     np.cumsum(values * powers(base, len(values)), out=s[1:])
-    return mix((s[hi] - s[lo]) * powers(_inverse(base), len(values) + 1)[lo] + (hi - lo).astype(_U))
+    return mix((s[hi] - s[lo]) * powers(inverse(base), len(values) + 1)[lo] + (hi - lo).astype(_U))
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
