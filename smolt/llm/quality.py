@@ -81,7 +81,8 @@ def measured(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     d = (docs.withColumn(words, F.array_remove(F.split(t, f"[{SPACE}]+"), ""))
          .withColumn(lines, F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
          .withColumn(windows, F.sort_array(_windows(w))))
-    return d.withColumn(out, F.struct(
+    # exploding one struct keeps later filters on it from being evaluated in the expressions below
+    return d.withColumn(out, F.explode(F.array(F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -89,7 +90,7 @@ def measured(docs: DataFrame, text_col: str, out: str) -> DataFrame:
         F.size(ls).cast("long").alias("n_lines"),
         (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         _repeats(F.col(windows)).cast("long").alias("n_repeat_words"),
-        F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop_words"))).drop(words, windows, lines)
+        F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop_words"))))).drop(words, windows, lines)
 
 
 def _ratio(a: Column, b: Column) -> Column:
