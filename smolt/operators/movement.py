@@ -20,7 +20,7 @@ from smolt.operators.aggregates import summarise_stats
 
 def lag_timediff(df: DataFrame, tag: str = "tag", ts: str = "ts", tie: str = "tie",
                  out: str = "diff_time", units: str = "secs",
-                 bucket_seconds="auto") -> DataFrame:
+                 bucket_seconds: int = W.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """``difftime(ts, lag(ts), units)`` per tag (NULL on the first row)."""
     d = W.sequence_shift(df, [tag], ts, tie, lags={"__prev_ts": ts},
                          bucket_seconds=bucket_seconds)
@@ -29,7 +29,7 @@ def lag_timediff(df: DataFrame, tag: str = "tag", ts: str = "ts", tie: str = "ti
 
 def lead_timediff(df: DataFrame, tag: str = "tag", ts: str = "ts", tie: str = "tie",
                   out: str = "time_next", units: str = "secs",
-                  bucket_seconds="auto") -> DataFrame:
+                  bucket_seconds: int = W.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """``difftime(lead(ts), ts, units)`` per tag (NULL on the last row)."""
     d = W.sequence_shift(df, [tag], ts, tie, leads={"__next_ts": ts},
                          bucket_seconds=bucket_seconds)
@@ -38,7 +38,7 @@ def lead_timediff(df: DataFrame, tag: str = "tag", ts: str = "ts", tie: str = "t
 
 def gap_filter(df: DataFrame, min_gap_secs: float = 45.0, tag: str = "tag", ts: str = "ts",
                tie: str = "tie", keep_first: bool = False,
-               bucket_seconds="auto") -> DataFrame:
+               bucket_seconds: int = W.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Drop detections closer than ``min_gap_secs`` to the previous raw row
     of the same tag, then recompute the gap on the kept rows.
 
@@ -46,7 +46,6 @@ def gap_filter(df: DataFrame, min_gap_secs: float = 45.0, tag: str = "tag", ts:
     recursion. The first detection of a tag has no gap and is dropped
     unless ``keep_first`` (survey D3).
     """
-    bucket_seconds = W.resolve_bucket(df, [tag], bucket_seconds, ts)
     d = lag_timediff(df, tag, ts, tie, "__gap", bucket_seconds=bucket_seconds)
     cond = F.col("__gap") >= F.lit(float(min_gap_secs))
     if keep_first:
@@ -57,7 +56,7 @@ def gap_filter(df: DataFrame, min_gap_secs: float = 45.0, tag: str = "tag", ts:
 
 def transitions(df: DataFrame, site: str = "site", tag: str = "tag", ts: str = "ts",
                 tie: str = "tie", prev: str = "prev_site", out: str = "transition",
-                bucket_seconds="auto") -> DataFrame:
+                bucket_seconds: int = W.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """``transition = ifelse(site == lag(site), F, T)``: NULL on a tag's
     first row (R's ``ifelse`` on NA)."""
     d = W.sequence_shift(df, [tag], ts, tie, lags={prev: site}, bucket_seconds=bucket_seconds)
@@ -66,7 +65,7 @@ def transitions(df: DataFrame, site: str = "site", tag: str = "tag", ts: str = "
 
 def direction(df: DataFrame, up_sites: Sequence[str], down_sites: Sequence[str],
               site: str = "site", tag: str = "tag", ts: str = "ts", tie: str = "tie",
-              bucket_seconds="auto") -> DataFrame:
+              bucket_seconds: int = W.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """``move_dir``: UP when the current site is upstream and the previous
     one downstream, else DOWN (``%in%`` never yields NA)."""
     d = W.sequence_shift(df, [tag], ts, tie, lags={"last_loc": site},
@@ -77,7 +76,7 @@ def direction(df: DataFrame, up_sites: Sequence[str], down_sites: Sequence[str],
 
 def movement_metrics(df: DataFrame, rkm: str = "rkm", site: str = "site", tag: str = "tag",
                      ts: str = "ts", tie: str = "tie", body_length_km: float = 0.0012,
-                     bucket_seconds="auto") -> DataFrame:
+                     bucket_seconds: int = W.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Previous/next rkm, times, transition flag, distance and speeds."""
     d = W.sequence_shift(df, [tag], ts, tie,
                          lags={"__pts": ts, "prev_rkm": rkm, "__psite": site},
@@ -99,7 +98,7 @@ def movement_metrics(df: DataFrame, rkm: str = "rkm", site: str = "site", tag: s
 
 def segment_durations(df: DataFrame, upstream: Sequence[str], site: str = "site",
                       tag: str = "tag", ts: str = "ts", tie: str = "tie",
-                      bucket_seconds="auto") -> DataFrame:
+                      bucket_seconds: int = W.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Time from the first detection at one site to the first detection at
     the next site, summarised per (to, from) pair.
 
@@ -107,7 +106,6 @@ def segment_durations(df: DataFrame, upstream: Sequence[str], site: str = "site"
     statistics per pair; pairs into an upstream site or from NA/upstream
     are dropped after summarising, and the pair is labelled "from to to".
     """
-    bucket_seconds = W.resolve_bucket(df, [tag], bucket_seconds, ts)
     t = transitions(df, site, tag, ts, tie, bucket_seconds=bucket_seconds)
     t = t.filter(F.col("transition")).select(tag, site, ts, tie)
     s = W.sequence_shift(t, [tag], ts, tie, lags={"prev_location": site, "__pts": ts},

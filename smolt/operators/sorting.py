@@ -26,24 +26,31 @@ def rank_column(c: str, levels: Sequence[str], out: str) -> Column:
     return F.coalesce(F.try_element_at(m, F.col(c)), F.lit(len(levels) + 1)).alias(out)
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], out: str = "row_id",
-                      partitions: int | None = None) -> DataFrame:
+def global_row_number(df: DataFrame, order: Sequence[str], out: str = "row_id") -> DataFrame:
     """Consecutive 1..N over a total order without a single-task window.
 
-    Range-partitions on the order, numbers rows inside each partition,
-    and adds the row count of all earlier partitions (a table with one row
-    per partition, so the broadcast is bounded by the partition count).
+    ``order`` must be total (rows that tie on it are numbered arbitrarily).
+    The range-partitioned, sorted rows are written once to the session's
+    shared scratch folder with their position (task number and place in the
+    task), and both readers, the task row counts and the rows themselves,
+    read that one copy. A second run of the range exchange would sample
+    other bounds, so the two must never come from separate evaluations.
+    Partitions follow ``spark.sql.shuffle.partitions``.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    from smolt.session import scratch_dir
+    spark = df.sparkSession
     keys = [F.col(c).asc_nulls_last() for c in order]
     # after the range exchange and a local sort, monotonically_increasing_id
-    # is (partition << 33) + position: a narrow, per-partition numbering
-    r = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-           .withColumn("__mid", F.monotonically_increasing_id()))
+    # is (partition << 33) + position
+    placed = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                .withColumn("__mid", F.monotonically_increasing_id()))
+    path = scratch_dir(spark, "row-numbers")
+    placed.write.parquet(path)
+    r = spark.read.schema(placed.schema).parquet(path)
     r = r.withColumns({"__pid": F.shiftright("__mid", 33),
                        "__lrn": F.col("__mid") - F.shiftleft(F.shiftright("__mid", 33), 33) + 1})
     counts = r.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    wc = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    wc = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(wc), F.lit(0)).alias("__off"))
     j = r.join(F.broadcast(offsets), "__pid")
     return j.withColumn(out, (F.col("__off") + F.col("__lrn")).cast("long")) \

@@ -6,25 +6,20 @@ row (lag, lead) or the n-th row per group (``row_number() == n``). A plain
 tag (a fish parked beside a receiver) holds a third of all rows, that task
 holds a third of the data.
 
-Here each group is split into time buckets (``bucket_seconds``). The window
-runs per (group, bucket) and only the rows at bucket edges need a value
-from a neighbouring bucket. Those come from a per-(group, bucket) summary
-(first row, last row, row count) which has one row per bucket, is windowed
-by group (small), and is joined back on (group, bucket). The big table is
-shuffled once, on (group, bucket); the summary is computed on that same
-partitioning, so the plan has one large exchange. Results equal the plain
-window exactly (property-tested in ``tests/test_windows.py``).
-
-``bucket_seconds=None`` selects the plain single-window plan, which is
-what an unskewed input should use: chained windows on the same tag key
-share one exchange. ``bucket_seconds="auto"`` (the default) measures the
-largest group first (one partial aggregate on the key columns, two numbers
-to the driver) and switches to the bucketed plan only when one group alone
-would be ``skewedPartitionFactor`` times an average shuffle partition and
-above ``smolt.skew.minRows`` rows. A bucketed shift checkpoints its output
-to the session's shared checkpoint folder, so a chain of shifts stays
-linear (each level reads the previous level once) and survives executor
-loss without recomputing the chain.
+Here each group is split into time buckets of ``bucket_seconds``, at every
+input size. A first window runs per (group, bucket) and settles all rows
+inside a bucket. Only the first and last row of a bucket need a neighbour
+from another bucket: a second window runs over those edge rows per group,
+while all other rows stay keyed by their bucket, so it moves no hot group
+into one task. The plan is linear (no self-join, no union, no job while it
+is built) and its groups are bounded:
+
+* a (group, bucket) holds the rows of one group in ``bucket_seconds``;
+* a group has at most two edge rows per bucket, a number set by the time
+  range and not by the number of rows (five-minute buckets: 210,000 a year).
+
+A denser stream takes a smaller ``bucket_seconds``, a longer one a larger;
+results never depend on it (``tests/test_windows.py``).
 """
 
 from __future__ import annotations
@@ -36,79 +31,12 @@ from pyspark.sql import functions as F
 
 from smolt.functions.scalars import epoch_micros
 
-DEFAULT_BUCKET_SECONDS = 86400
+DEFAULT_BUCKET_SECONDS = 300
 _NULL_BUCKET = 2 ** 62  # NULL times sort last, as R's arrange does
 
 _G, _B = "__grp", "__bkt"
 
 
-SKEW_MIN_ROWS_CONF = "smolt.skew.minRows"
-SKEW_MIN_ROWS_DEFAULT = 4_000_000
-
-
-_DECISIONS: dict = {}
-
-
-BUCKET_ROWS_CONF = "smolt.skew.bucketRows"
-BUCKET_ROWS_DEFAULT = 2_000_000
-
-
-def resolve_bucket(df: DataFrame, by: Sequence[str], bucket_seconds="auto",
-                   order: str | None = None):
-    """Bucket width to use for ``df`` grouped by ``by`` (None = plain).
-
-    With ``order`` (the sequence clock) the width is sized to the hottest
-    group's density: about ``smolt.skew.bucketRows`` rows per (group,
-    bucket), between one second and one day. The decision is remembered
-    per session for the same key projection (semantic hash of the plan):
-    pipelines over one table measure it once. Both plans return identical
-    rows, so a stale decision can only cost time, never change a result.
-    """
-    if bucket_seconds != "auto":
-        return bucket_seconds
-    spark = df.sparkSession
-    cols = list(by) + ([order] if order and order not in by else [])
-    keyed = df.select(*cols)
-    memo = (id(spark), keyed.semanticHash(), tuple(by), order,
-            spark.conf.get(SKEW_MIN_ROWS_CONF, ""), spark.conf.get(BUCKET_ROWS_CONF, ""),
-            spark.conf.get("spark.sql.shuffle.partitions", ""))
-    if memo not in _DECISIONS:
-        _DECISIONS[memo] = _measure_bucket(spark, keyed, list(by), order)
-    return _DECISIONS[memo]
-
-
-def _measure_bucket(spark, df: DataFrame, by: Sequence[str], order: str | None):
-    """One partial aggregate per group (count, time span); the hottest
-    group and the total come back to the driver (two rows of numbers)."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    factor = float(spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "5"))
-    min_rows = int(spark.conf.get(SKEW_MIN_ROWS_CONF, str(SKEW_MIN_ROWS_DEFAULT)))
-    per_bucket = int(spark.conf.get(BUCKET_ROWS_CONF, str(BUCKET_ROWS_DEFAULT)))
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    if order:
-        aggs += [F.min(epoch_micros(order)).alias("__t0"), F.max(epoch_micros(order)).alias("__t1")]
-    g = df.groupBy(*by).agg(*aggs)
-    row = g.agg(F.sum("__n").alias("tot"),
-                F.max_by(F.struct(*[c for c in g.columns if c.startswith("__")]), "__n").alias("top")
-                ).first()
-    tot, top = (row["tot"] or 0), row["top"]
-    mx = top["__n"] if top else 0
-    if mx <= max(min_rows, factor * tot / max(parts, 1)):
-        return None
-    if not order or top["__t0"] is None:
-        return DEFAULT_BUCKET_SECONDS
-    span_s = max((top["__t1"] - top["__t0"]) / 1e6, 1.0)
-    width = int(span_s * per_bucket / mx)
-    return max(1, min(DEFAULT_BUCKET_SECONDS, width))
-
-
-def _materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder."""
-    from smolt.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _order_cols(order: str, tie: str | None) -> list[Column]:
     cols = [F.col(order).asc_nulls_last()]
     if tie:
@@ -133,69 +61,56 @@ def _bucketed(df: DataFrame, by: Sequence[str], order: str, bucket_seconds: int)
     })
 
 
+def _edge_window(edge: Column, order: str, tie: str | None):
+    """Edge rows per group in (bucket, order) order; every other row stays
+    with its own bucket."""
+    own = F.when(edge, F.lit(None)).otherwise(F.col(_B))
+    return Window.partitionBy(_G, own).orderBy(F.col(_B), *_order_cols(order, tie))
+
+
 def sequence_shift(df: DataFrame, by: Sequence[str], order: str, tie: str | None,
                    lags: Mapping[str, str] | None = None,
                    leads: Mapping[str, str] | None = None,
-                   bucket_seconds="auto") -> DataFrame:
+                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Add ``lag``/``lead`` columns per group ordered by (order, tie).
 
     ``lags`` / ``leads`` map output column -> source column.
     """
     lags, leads = dict(lags or {}), dict(leads or {})
-    bucket_seconds = resolve_bucket(df, by, bucket_seconds, order)
-    if bucket_seconds is None:
-        w = Window.partitionBy(*by).orderBy(*_order_cols(order, tie))
-        return df.withColumns({**{o: F.lag(s).over(w) for o, s in lags.items()},
-                               **{o: F.lead(s).over(w) for o, s in leads.items()}})
     d = _bucketed(df, by, order, bucket_seconds)
     w = Window.partitionBy(_G, _B).orderBy(*_order_cols(order, tie))
-    tmp = {"__is_first": F.lag(F.lit(1)).over(w).isNull(),
-           "__is_last": F.lead(F.lit(1)).over(w).isNull()}
-    tmp.update({f"__lag_{o}": F.lag(s).over(w) for o, s in lags.items()})
-    tmp.update({f"__lead_{o}": F.lead(s).over(w) for o, s in leads.items()})
-    d = d.withColumns(tmp)
-    edge = F.col("__is_first") | F.col("__is_last")
-    keep = [c for c in df.columns if c not in lags and c not in leads]
-    # rows inside a bucket: the per-bucket window value is already final
-    inner = d.filter(~edge).select(
-        *keep, *[F.col(f"__lag_{o}").alias(o) for o in lags],
-        *[F.col(f"__lead_{o}").alias(o) for o in leads])
-    # bucket edge rows (at most two per bucket): in (bucket, order) order the
-    # row before a bucket's first row is the previous bucket's last row and
-    # the row after a bucket's last row is the next bucket's first row
-    w2 = Window.partitionBy(_G).orderBy(F.col(_B), *_order_cols(order, tie))
-    ends = d.filter(edge).select(
+    d = d.withColumns({
+        "__is_first": F.lag(F.lit(1)).over(w).isNull(), "__is_last": F.lead(F.lit(1)).over(w).isNull(),
+        **{f"__lag_{o}": F.lag(s).over(w) for o, s in lags.items()},
+        **{f"__lead_{o}": F.lead(s).over(w) for o, s in leads.items()}})
+    # among the edge rows the one before a bucket's first row is the last row
+    # of the bucket before, and the one after a last row the next first row
+    w2 = _edge_window(F.col("__is_first") | F.col("__is_last"), order, tie)
+    keep = [F.col(c) for c in df.columns if c not in lags and c not in leads]
+    return d.select(
         *keep,
-        *[F.when(F.col("__is_first"), F.lag(s).over(w2))
-           .otherwise(F.col(f"__lag_{o}")).alias(o) for o, s in lags.items()],
-        *[F.when(F.col("__is_last"), F.lead(s).over(w2))
-           .otherwise(F.col(f"__lead_{o}")).alias(o) for o, s in leads.items()])
-    return _materialize(inner.unionByName(ends))
+        *[F.when(F.col("__is_first"), F.lag(s).over(w2)).otherwise(F.col(f"__lag_{o}")).alias(o) for o, s in lags.items()],
+        *[F.when(F.col("__is_last"), F.lead(s).over(w2)).otherwise(F.col(f"__lead_{o}")).alias(o) for o, s in leads.items()])
 
 
 def sequence_row_number(df: DataFrame, by: Sequence[str], order: str, tie: str | None,
                         out: str = "rn",
-                        bucket_seconds="auto") -> DataFrame:
+                        bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """``row_number()`` per group in (order, tie) order, skew-bounded.
 
-    Local rank within (group, bucket) plus the number of rows in earlier
-    buckets of the group (a running sum over the small bucket summary).
+    Rank within (group, bucket) plus the number of rows in earlier buckets
+    of the group: a running sum over the buckets' first rows, handed to the
+    bucket's other rows.
     """
-    bucket_seconds = resolve_bucket(df, by, bucket_seconds, order)
-    if bucket_seconds is None:
-        w = Window.partitionBy(*by).orderBy(*_order_cols(order, tie))
-        return df.withColumn(out, F.row_number().over(w))
     d = _bucketed(df, by, order, bucket_seconds)
-    w = Window.partitionBy(_G, _B).orderBy(*_order_cols(order, tie))
-    d = d.withColumn("__lrn", F.row_number().over(w))
-    counts = d.groupBy(_G, _B).agg(F.count(F.lit(1)).alias("__n"))
-    ws = (Window.partitionBy(_G).orderBy(_B)
-          .rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col(_G).alias("__eg"), F.col(_B).alias("__eb"),
-                           F.coalesce(F.sum("__n").over(ws), F.lit(0)).alias("__before"))
-    j = d.join(counts, (d[_G] == counts["__eg"]) & (d[_B] == counts["__eb"]), "left")
+    own = Window.partitionBy(_G, _B)
+    d = d.withColumns({"__lrn": F.row_number().over(own.orderBy(*_order_cols(order, tie))),
+                       "__n": F.count(F.lit(1)).over(own)})
+    before = _edge_window(F.col("__lrn") == 1, order, tie).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__before", F.when(F.col("__lrn") == 1, F.coalesce(F.sum("__n").over(before), F.lit(0))))
+    d = d.withColumn("__before", F.max("__before").over(own))
     keep = [c for c in df.columns if c != out]
-    return _materialize(j.select(*keep, (F.col("__before") + F.col("__lrn")).cast("int").alias(out)))
+    return d.select(*keep, (F.col("__before") + F.col("__lrn")).cast("int").alias(out))
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], order: str, tie: str | None,
@@ -212,7 +127,7 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: str, tie: str | Non
 
 
 def nth_per_group(df: DataFrame, by: Sequence[str], order: str, tie: str | None, n: int,
-                  bucket_seconds="auto") -> DataFrame:
+                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """``filter(row_number() == n)`` per group.
 
     The global n-th row of a group is among the first n rows of its
@@ -221,10 +136,6 @@ def nth_per_group(df: DataFrame, by: Sequence[str], order: str, tie: str | None,
     """
     if n == 1:
         return first_per_group(df, by, order, tie)
-    bucket_seconds = resolve_bucket(df, by, bucket_seconds, order)
-    if bucket_seconds is None:
-        rn = sequence_row_number(df, by, order, tie, "__rn", None)
-        return rn.filter(F.col("__rn") == n).drop("__rn")
     d = _bucketed(df, by, order, bucket_seconds)
     w = Window.partitionBy(_G, _B).orderBy(*_order_cols(order, tie))
     cand = d.withColumn("__lrn", F.row_number().over(w)).filter(F.col("__lrn") <= n)

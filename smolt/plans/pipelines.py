@@ -70,7 +70,7 @@ def tag_release_meta(tags: DataFrame, events: DataFrame, keys: Sequence[str],
 def detection_clean(det: DataFrame, study_tags: DataFrame, releases: DataFrame,
                     sites: DataFrame, fish: DataFrame, bench_sites: Sequence[str] = (),
                     floodgate_sites: Sequence[str] = (), min_gap_secs: float = 45.0,
-                    bucket_seconds="auto") -> DataFrame:
+                    bucket_seconds: int = W.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Cleaned detections (reference order of steps): study tags only, bench
     receivers out, after the tag's own release; one-pass gap filter and
     recomputed gap; site metadata and release group joined; floodgate

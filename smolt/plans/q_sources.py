@@ -110,16 +110,13 @@ def inline_dim(spark, d):
     return A.count_rows(j, ["site", "rkm"])
 
 
-@query("sink_csv", f"""
-SELECT CAST(row_number() OVER (ORDER BY tag) AS BIGINT) AS row_id, tag, n
-FROM (SELECT tag, CAST(count(*) AS BIGINT) AS n FROM ({DET}) GROUP BY tag)""")
+@query("sink_csv", """
+SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS row_id, o_orderkey, o_custkey, o_totalprice FROM orders""")
 def sink_csv(spark, d):
-    path = scratch_dir(spark, "tag-counts")
-    counts = A.count_rows(TB.detections(spark, d), ["tag"])
-    K.sink_csv(counts, path, order=["tag"], row_number=True)
-    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("tag", T.LongType()),
-                           T.StructField("n", T.LongType())])
-    return C.scan_csv(spark, path, schema)
+    path = scratch_dir(spark, "orders")
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    K.sink_csv(orders, path, order=["o_orderkey"], row_number=True)
+    return C.scan_csv(spark, path, T.StructType([T.StructField("row_id", T.LongType()), *orders.schema.fields]))
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

@@ -94,14 +94,12 @@ SELECT tag, site, ts, tie, rkm, round(tp, 6) AS time_prev,
 FROM b""")
 def win_recompute_after_filter(spark, d):
     x = _det_rkm(spark, d)
-    b = W.resolve_bucket(x, ["tag"], order="ts")
-    a = W.sequence_shift(x, ["tag"], "ts", "tie", lags={"prev_rkm": "rkm", "prev_site": "site"},
-                         bucket_seconds=b)
+    a = W.sequence_shift(x, ["tag"], "ts", "tie", lags={"prev_rkm": "rkm", "prev_site": "site"})
     a = a.withColumn("transition", N.if_else(F.col("site") == F.col("prev_site"), False, True))
     # keep downstream moves, plus the release rows, then recompute
     kept = a.filter(((F.col("rkm") < F.col("prev_rkm")) & F.col("transition"))
                     | (F.col("site") == T.RELEASE_SITE)).select("tag", "site", "ts", "tie", "rkm")
-    return rounded(M.movement_metrics(kept, bucket_seconds=b), _RECOMP_COLS)
+    return rounded(M.movement_metrics(kept), _RECOMP_COLS)
 
 
 @query("win_direction", f"""

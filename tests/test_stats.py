@@ -89,22 +89,40 @@ def test_shapiro_small_groups(spark):
     assert 0 < got["five"]["W"] <= 1 and 0 < got["five"]["p_value"] <= 1
 
 
-def test_quantile_plans_agree(spark):
+def test_quantiles_are_exact(spark):
     from smolt.operators.aggregates import exact_quantiles
     rng = np.random.default_rng(3)
-    rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.normal(0, 1, 101)] + \
-           [("c", 1.0), ("c", None), ("d", None)]
+    values = {"a": rng.normal(0, 1, 101), "b": rng.integers(-3, 3, 1000) * 1.0, None: rng.lognormal(0, 9, 500),
+              "e": np.full(7, 2.5), "f": 1e5 + rng.normal(0, 1e-3, 333), "g": np.array([-1e300, 1e-300, 0.0, -0.0, 5e-324])}
+    rows = [(g, float(v)) for g, x in values.items() for v in x] + [("c", 1.0), ("c", None), ("d", None)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(4)
-    probs, names = [0.25, 0.5, 0.75], ["q1", "q2", "q3"]
-    h = {r["g"]: (r["q1"], r["q2"], r["q3"]) for r in
-         exact_quantiles(df, "x", ["g"], probs, names, method="hash").collect()}
-    k = {r["g"]: (r["q1"], r["q2"], r["q3"]) for r in
-         exact_quantiles(df, "x", ["g"], probs, names, method="rank").collect()}
-    assert h.keys() == k.keys() == {"a", "b", None, "c"}
-    for g in h:
-        assert h[g] == pytest.approx(k[g], abs=1e-12)
-    vals = [v for gg, v in rows if gg == "a"]
-    assert k["a"] == pytest.approx(tuple(np.quantile(vals, probs)), abs=1e-12)
+    probs, names = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0], list("uvwxyz")
+    got = {r["g"]: [r[n] for n in names] for r in exact_quantiles(df, "x", ["g"], probs, names).collect()}
+    assert got.keys() == {*values, "c"}
+    for g, x in {**values, "c": [1.0]}.items():
+        s, want = np.sort(x), []
+        for p in probs:
+            h = (len(s) - 1) * p + 1
+            lo = int(np.floor(h))
+            hi = min(lo + 1, len(s))
+            want.append(s[lo - 1] + (h - lo) * (s[hi - 1] - s[lo - 1]))
+        assert got[g] == want, g
+    one = exact_quantiles(df.filter("g = 'b'"), "x", [], [0.5], ["m"]).collect()
+    assert [r["m"] for r in one] == [float(np.median(values["b"]))]
+
+
+def test_row_numbers_with_a_payload(spark):
+    """Numbers are 1..N in order, for rows wider than the key, with exchange
+    reuse off."""
+    from smolt.operators.sorting import global_row_number
+    n = 2_000_000
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        d = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pay"))
+        r = global_row_number(d, ["k"], "row_id")
+        assert r.filter(F.col("row_id") != F.col("k") + 1).count() == 0 and r.count() == n
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
 
 
 def test_shapiro_single_sample(spark):

@@ -1,4 +1,4 @@
-"""Bucketed sequence windows equal the plain single-window plan."""
+"""Bucketed sequence windows equal one window per group."""
 
 import datetime as dt
 
@@ -6,9 +6,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
+from pyspark.sql import Window
 from smolt.operators import windows as W
 
 
+def plain_shift(d, by, lags=None, leads=None):
+    """One window per group: the definition."""
+    w = Window.partitionBy(*by).orderBy(F.col("ts").asc_nulls_last(), F.col("tie").asc_nulls_last())
+    return d.withColumns({**{o: F.lag(c).over(w) for o, c in (lags or {}).items()},
+                          **{o: F.lead(c).over(w) for o, c in (leads or {}).items()}})
+
+
+def plain_row_number(d, by):
+    w = Window.partitionBy(*by).orderBy(F.col("ts").asc_nulls_last(), F.col("tie").asc_nulls_last())
+    return d.withColumn("rn", F.row_number().over(w))
+
+
 def _det(spark):
     return (spark.read.parquet(f"{SF001}/events.parquet")
             .select(F.col("user_id").alias("tag"), F.col("event_type").alias("site"),
@@ -23,7 +36,7 @@ def _rows(df, cols):
 def test_shift_matches_plain(spark, bucket):
     d = _det(spark)
     kw = dict(lags={"prev_ts": "ts", "prev_site": "site"}, leads={"next_ts": "ts"})
-    a = W.sequence_shift(d, ["tag"], "ts", "tie", bucket_seconds=None, **kw)
+    a = plain_shift(d, ["tag"], **kw)
     b = W.sequence_shift(d, ["tag"], "ts", "tie", bucket_seconds=bucket, **kw)
     cols = ["tie", "prev_ts", "prev_site", "next_ts"]
     assert _rows(a, cols) == _rows(b, cols)
@@ -31,7 +44,7 @@ def test_shift_matches_plain(spark, bucket):
 
 def test_row_number_matches_plain(spark):
     d = _det(spark)
-    a = W.sequence_row_number(d, ["tag", "site"], "ts", "tie", bucket_seconds=None)
+    a = plain_row_number(d, ["tag", "site"])
     b = W.sequence_row_number(d, ["tag", "site"], "ts", "tie", bucket_seconds=3600)
     assert _rows(a, ["tie", "rn"]) == _rows(b, ["tie", "rn"])
 
@@ -50,43 +63,50 @@ def test_null_group_and_time(spark):
 def test_first_and_nth(spark):
     d = _det(spark)
     first = W.first_per_group(d, ["tag", "site"], "ts", "tie")
-    plain = W.sequence_row_number(d, ["tag", "site"], "ts", "tie", bucket_seconds=None)
+    plain = plain_row_number(d, ["tag", "site"])
     assert _rows(first, ["tie"]) == _rows(plain.filter("rn = 1"), ["tie"])
     second = W.nth_per_group(d, ["tag", "site"], "ts", "tie", 2, bucket_seconds=3600)
     assert _rows(second, ["tie"]) == _rows(plain.filter("rn = 2"), ["tie"])
 
 
-def test_chained_pipeline_same_both_plans(spark):
+def test_chained_pipeline_same_at_every_width(spark):
     from smolt.operators import movement as M
     det = _det(spark).select("tag", "site", "ts", "tie")
     out = {}
-    for b in (None, 6 * 3600):
+    for b in (30 * 86400, 7):
         kept = M.gap_filter(det, 45.0, bucket_seconds=b)
         seg = M.segment_durations(kept, ["signup"], bucket_seconds=b)
         out[b] = sorted((r["location_site"], r["prev_location"], r["n"], round(r["mean"] or -1, 9))
                         for r in seg.collect())
-    assert out[None] == out[6 * 3600] and len(out[None]) > 0
-
-
-def test_auto_detects_hot_tag(spark):
-    t0 = dt.datetime(2024, 5, 1)
-    hot = [(1, t0 + dt.timedelta(minutes=i), i) for i in range(600)]
-    cold = [(k, t0 + dt.timedelta(hours=k), 1000 + k) for k in range(2, 50)]
-    d = spark.createDataFrame(hot + cold, "tag long, ts timestamp, tie long")
-    spark.conf.set(W.SKEW_MIN_ROWS_CONF, "100")
+    assert out[30 * 86400] == out[7] and len(out[7]) > 0
+
+
+def test_burst_of_one_tag_is_split(spark):
+    """A million rows of one tag in one hour: no task gets more than a
+    bucket's share in any window of the plan."""
+    n = 1_000_000
+    d = spark.range(n).select(F.lit(1).cast("long").alias("tag"), F.col("id").alias("tie"),
+                              F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 3600).alias("ts"))
+    out = W.sequence_shift(d, ["tag"], "ts", "tie", lags={"p": "tie"}, leads={"q": "tie"}, bucket_seconds=60)
+    got = out.agg(F.count("p"), F.count("q"), F.max(F.abs(F.col("tie") - F.col("p") - 1)), F.max(F.abs(F.col("q") - F.col("tie") - 1))).first()
+    assert tuple(got) == (n - 1, n - 1, 0, 0)
+    buckets = W._bucketed(d, ["tag"], "ts", 60).groupBy(W._G, W._B).count().agg(F.max("count"), F.count("*")).first()
+    assert buckets[0] <= 20_000 and 2 * buckets[1] <= 200
+    rn = W.sequence_row_number(d, ["tag"], "ts", "tie", bucket_seconds=60)
+    assert rn.filter(F.col("rn") != F.col("tie") + 1).count() == 0
+
+
+def test_building_a_window_query_runs_no_window_job(spark):
+    """Only the files' footers are read before an action."""
+    d = _det(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "build only")
     try:
-        assert W.resolve_bucket(d, ["tag"]) == W.DEFAULT_BUCKET_SECONDS
-        assert W.resolve_bucket(d.filter("tag <> 1"), ["tag"]) is None
-        # sized to the hot tag's density: 600 rows over 599 minutes and
-        # 100 rows per bucket -> buckets of about 100 minutes
-        spark.conf.set(W.BUCKET_ROWS_CONF, "100")
-        assert 5900 <= W.resolve_bucket(d, ["tag"], order="ts") <= 6000
-        spark.conf.unset(W.BUCKET_ROWS_CONF)
-        a = W.sequence_shift(d, ["tag"], "ts", "tie", lags={"p": "tie"}, bucket_seconds=3600)
-        b = W.sequence_shift(d, ["tag"], "ts", "tie", lags={"p": "tie"}, bucket_seconds=None)
-        assert _rows(a, ["tie", "p"]) == _rows(b, ["tie", "p"])
+        W.sequence_shift(d, ["tag"], "ts", "tie", lags={"p": "tie"})
+        W.nth_per_group(d, ["tag"], "ts", "tie", 2)
+        assert list(tracker.getJobIdsForGroup("build")) == []
     finally:
-        spark.conf.unset(W.SKEW_MIN_ROWS_CONF)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_first_per_group_null_time_last(spark):
@@ -101,6 +121,6 @@ def test_row_number_bucketed_null_group(spark):
     rows = [(None, t + dt.timedelta(hours=h), h) for h in range(5)] + [(1, t, 10), (1, t, 11)]
     d = spark.createDataFrame(rows, "tag long, ts timestamp, tie long")
     a = W.sequence_row_number(d, ["tag"], "ts", "tie", bucket_seconds=3600)
-    b = W.sequence_row_number(d, ["tag"], "ts", "tie", bucket_seconds=None)
+    b = plain_row_number(d, ["tag"])
     assert _rows(a, ["tie", "rn"]) == _rows(b, ["tie", "rn"])
     assert W.nth_per_group(d, ["tag"], "ts", "tie", 2, bucket_seconds=3600).count() == 2
