@@ -40,12 +40,8 @@ def deny_pairs(df: DataFrame, from_col: str, to_col: str,
     """Drop rows whose (from, to) pair is listed.
 
     ``!paste(from, to) %in% deny``: a row with a NULL end is kept (its
-    pasted text contains "NA" and matches no listed pair). The pair list is
-    a literal of bounded size, so it is broadcast in a left-anti join.
+    pasted text contains "NA" and matches no listed pair). The literal list
+    is a set lookup in the scan's stage: no join.
     """
-    spark = df.sparkSession
-    deny = spark.createDataFrame(list(dict.fromkeys(pairs)),
-                                 f"`__df` string, `__dt` string")
-    cond = (F.col(from_col) == F.col("__df")) & (F.col(to_col) == F.col("__dt"))
-    from smolt.operators.joins import checked_broadcast
-    return df.join(checked_broadcast(deny), cond, "left_anti")
+    listed = F.struct(F.col(from_col), F.col(to_col)).isin([F.struct(F.lit(a), F.lit(b)) for a, b in dict.fromkeys(pairs)])
+    return df.filter(F.col(from_col).isNull() | F.col(to_col).isNull() | ~listed)

@@ -17,24 +17,15 @@ from pyspark.sql import functions as F
 from smolt.functions.scalars import timediff
 
 
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
 def checked_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Broadcast hint only when the optimizer's size estimate of ``df`` is
-    within ``max_bytes`` (default: ``spark.sql.autoBroadcastJoinThreshold``
-    if positive, else 64 MiB). The estimate needs no job; it is exact for
-    literal tables and file-size based for scans. Above the limit the
-    plain join is returned and AQE chooses at run time from measured
-    sizes."""
+    within ``max_bytes`` (default: the session's
+    ``spark.sql.autoBroadcastJoinThreshold``; a disabled broadcast gives no
+    hint). The estimate needs no job; it is exact for literal relations and
+    file-size based for scans. Above the limit the plain join is returned
+    and AQE chooses at run time from measured sizes."""
     if max_bytes is None:
-        conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        try:
-            max_bytes = int(str(conf).lower().rstrip("b"))
-        except ValueError:
-            max_bytes = DEFAULT_BROADCAST_BYTES
-        if max_bytes <= 0:
-            max_bytes = DEFAULT_BROADCAST_BYTES
+        max_bytes = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= max_bytes else df
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from smolt.functions.nullsafe import not_in_safe
+from smolt.functions.nullsafe import sum_strict, not_in_safe
 from smolt.operators import aggregates as A
 from smolt.operators import movement as M
 from smolt.plans.common import STATS, rounded, stats_sql
@@ -114,23 +114,26 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 @query("pivot_count_distinct", f"""
-SELECT d.site, {', '.join(f"CAST(count(DISTINCT CASE WHEN t.release_group = '{s}' THEN d.tag END) AS BIGINT) AS {s}" for s in SEGMENTS)}
-FROM ({DET}) d JOIN ({TAGS}) t ON d.tag = t.tag GROUP BY d.site""")
+SELECT d.site, {', '.join(f"CAST(NULLIF(count(DISTINCT CASE WHEN t.release_group = '{s}' THEN d.tag END), 0) AS BIGINT) AS {s}" for s in SEGMENTS)}
+FROM ({DET}) d JOIN ({TAGS}) t ON d.tag = t.tag WHERE d.value > 99.7 GROUP BY d.site""")
 def pivot_count_distinct(spark, d):
-    j = T.detections(spark, d).join(T.tags(spark, d), "tag")
+    # few enough detections that some (site, group) cells are empty
+    j = T.detections(spark, d).filter(F.col("value") > 99.7).join(T.tags(spark, d), "tag")
     p = A.pivot_agg(j, ["site"], "release_group", SEGMENTS, F.count_distinct("tag"))
-    # spread(): a (site, group) cell with no tag is NULL in R; count_distinct
-    # over an empty pivot cell is 0 in Spark — both engines give 0 here
-    return p.select("site", *[F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s) for s in SEGMENTS])
+    # spread(): a cell without a tag is NULL, not 0
+    return p.select("site", *[F.when(F.col(s) > 0, F.col(s)).cast("long").alias(s) for s in SEGMENTS])
 
 
 @query("pivot_sum", """
-SELECT l_returnflag, round(sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END), 6) AS F,
-       round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 6) AS O FROM lineitem GROUP BY l_returnflag""")
+WITH l AS (SELECT l_orderkey, l_linestatus, NULLIF(l_quantity, 50) AS q FROM lineitem)
+SELECT l_orderkey,
+       round(CASE WHEN count(CASE WHEN l_linestatus = 'F' AND q IS NULL THEN 1 END) = 0 THEN sum(CASE WHEN l_linestatus = 'F' THEN q END) END, 6) AS F,
+       round(CASE WHEN count(CASE WHEN l_linestatus = 'O' AND q IS NULL THEN 1 END) = 0 THEN sum(CASE WHEN l_linestatus = 'O' THEN q END) END, 6) AS O
+FROM l GROUP BY l_orderkey""")
 def pivot_sum(spark, d):
-    li = T.table(spark, d, "lineitem")
-    return rounded(A.pivot_agg(li, ["l_returnflag"], "l_linestatus", ["F", "O"], F.sum("l_quantity")),
-                   ["F", "O"])
+    # a NULL among the summed values makes the cell NULL (no na.rm)
+    li = T.table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", F.nullif("l_quantity", F.lit(50.0)).alias("q"))
+    return rounded(A.pivot_agg(li, ["l_orderkey"], "l_linestatus", ["F", "O"], sum_strict("q")), ["F", "O"])
 
 
 @query("two_level_agg", f"""

@@ -75,13 +75,13 @@ def unpivot_months(spark, d):
 
 
 @query("pivot_wide", """
-SELECT l_returnflag, CAST(count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS BIGINT) AS F,
-       CAST(count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS BIGINT) AS O FROM lineitem GROUP BY l_returnflag""")
+SELECT l_returnflag, CAST(NULLIF(count(CASE WHEN l_linestatus = 'F' THEN 1 END), 0) AS BIGINT) AS F,
+       CAST(NULLIF(count(CASE WHEN l_linestatus = 'O' THEN 1 END), 0) AS BIGINT) AS O FROM lineitem GROUP BY l_returnflag""")
 def pivot_wide(spark, d):
+    # flags A and R have no open lines: those cells stay NULL
     li = T.table(spark, d, "lineitem")
     c = li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    w = c.groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.first("n"))
-    return w.fillna(0, subset=["F", "O"])
+    return c.groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.first("n"))
 
 
 IND_SQL = (f"SELECT tag, grp, "

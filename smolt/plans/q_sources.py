@@ -56,20 +56,21 @@ def scan_csv_names(spark, d):
 
 LI_COLS = {"l_orderkey": T.LongType(), "l_linenumber": T.IntegerType(),
            "l_quantity": T.DoubleType(), "l_returnflag": T.StringType()}
-ORDERS_BY_FLAG = {"A": ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"],
-                  "N": ["l_returnflag", "l_quantity", "l_orderkey", "l_linenumber"],
-                  "R": ["l_quantity", "l_linenumber", "l_returnflag", "l_orderkey"]}
+#: Column orders of the directory's files.
+LAYOUTS = [["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"],
+           ["l_returnflag", "l_quantity", "l_orderkey", "l_linenumber"],
+           ["l_quantity", "l_linenumber", "l_returnflag", "l_orderkey"]]
 
 
 @query("scan_csv_dir_by_name", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
 def scan_csv_dir_by_name(spark, d):
     base = scratch_dir(spark, "release-dir")
     li = TB.table(spark, d, "lineitem").select(*LI_COLS)
-    # one folder per return flag, each with its own column order, plus a
-    # file the name pattern must skip
-    for flag, cols in ORDERS_BY_FLAG.items():
-        li.filter(F.col("l_returnflag") == flag).select(*cols) \
-          .write.option("header", True).csv(f"{base}/flag_{flag}")
+    # every row goes to one folder, each folder with its own column order,
+    # beside a file that the name pattern must skip
+    place = F.pmod(F.hash("l_orderkey", "l_linenumber"), F.lit(len(LAYOUTS)))
+    for k, cols in enumerate(LAYOUTS):
+        li.filter(place == k).select(*cols).write.option("header", True).csv(f"{base}/layout_{k}")
     li.limit(1).select(F.lit("not a release file").alias("value")).write.text(f"{base}/notes")
     schema = T.StructType([T.StructField(c, t) for c, t in LI_COLS.items()])
     return C.scan_csv_dir_by_name(spark, base, r"\.csv$", schema, with_file=False) \
@@ -79,15 +80,6 @@ def scan_csv_dir_by_name(spark, d):
 LOG_FULL = ["Date and Time (UTC)", "Receiver", "Transmitter", "Transmitter Name",
             "Transmitter Serial", "Sensor Value", "Sensor Unit", "Station Name", "Latitude",
             "Longitude", "Transmitter Type", "Sensor Precision"]
-LOG_SCHEMA = T.StructType(
-    [T.StructField("ts_text", T.StringType()), T.StructField("receiver", T.StringType()),
-     T.StructField("transmitter", T.StringType()), T.StructField("transmitter_name", T.StringType()),
-     T.StructField("transmitter_serial", T.StringType()), T.StructField("sensor_value", T.DoubleType()),
-     T.StructField("sensor_unit", T.StringType()), T.StructField("station_name", T.StringType()),
-     T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()),
-     T.StructField("transmitter_type", T.StringType()), T.StructField("sensor_precision", T.StringType())])
-
-
 @query("scan_csv_bom", f"""
 SELECT ts, 'VR2W-' || site AS receiver, 'A69-1604-' || CAST(tag AS VARCHAR) AS transmitter,
        CAST(NULL AS DOUBLE) AS sensor_value, CAST(NULL AS VARCHAR) AS station_name FROM ({DET})""")
@@ -98,7 +90,7 @@ def scan_csv_bom(spark, d):
     header = C.BOM + ",".join(LOG_FULL)
     log.select(F.concat_ws(",", *[F.col(f"`{c}`") for c in LOG_HEADER]).alias(header)) \
        .write.option("header", True).option("sep", "\t").csv(path)
-    df = C.scan_csv_bom(spark, path, LOG_SCHEMA)
+    df = C.scan_csv_bom(spark, path, C.RECEIVER_LOG_SCHEMA)
     return df.select(F.to_timestamp_ntz("ts_text", F.lit(TS_FMT)).alias("ts"), "receiver",
                      "transmitter", "sensor_value", "station_name")
 

@@ -75,38 +75,45 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
     A cluster names a shared (distributed) folder in ``spark.checkpoint.dir``;
-    it is read from the session and never overridden. Only when nothing is
-    set (local tests) is a private scratch folder created.
+    it is read from the session and never overridden. Only a local session
+    without one gets a private folder; on any other master an unset folder
+    is an error, since executors could not see each other's files.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir()
+    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = sc.getConf().get("spark.checkpoint.dir", None)
-        if not d:
-            d = tempfile.mkdtemp(prefix="smolt-ckpt-")
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="smolt-ckpt-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-        d = sc.getCheckpointDir() or d
-    return d
+    return sc.getCheckpointDir() or d
+
+
+_scratch: list[str] = []
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique sub-folder of the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique sub-folder of the shared checkpoint folder; it lives
+    until ``clean_scratch``."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _scratch.append(path)
+    return path
 
 
-def materialize(df):
-    """Reliable checkpoint of a (small, reused) intermediate into the
-    shared checkpoint folder: later consumers read it instead of
-    recomputing its lineage, and it survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders that this process made. Frames that read
+    them must not be used afterwards."""
+    while _scratch:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def reuse_small(df):
-    """Keep a small, bounded intermediate that a plan reads several times
-    (e.g. a history frequency table feeding fits, sample sizes and
-    goodness of fit): computed once on first use, then read from the
-    block store. Lost blocks are recomputed from lineage."""
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A small, bounded intermediate that a plan reads several times (e.g. a
+    history frequency table feeding fits, sample sizes and goodness of
+    fit): written once to the scratch folder and read from there, so later
+    queries do not find it cached and lost executors cost nothing."""
+    path = scratch_dir(df.sparkSession, "reused")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

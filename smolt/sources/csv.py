@@ -8,15 +8,19 @@ fewer values than header names. Schemas are declared, never inferred.
 
 from __future__ import annotations
 
+import csv
 import re
 from collections import OrderedDict
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BOM = "﻿"
+#: Header lines that the driver reads at the same time.
+HEADER_READERS = 32
 
 
 def r_names(names: Sequence[str]) -> list[str]:
@@ -102,20 +106,21 @@ def scan_csv_dir_by_name(spark: SparkSession, directory: str, pattern: str,
     file's order); each group is one parallel scan whose schema follows
     the group's header, and the groups are unioned by name with missing
     columns as NULL. Only file names and header lines are read by the
-    driver (metadata, as for any file listing).
+    driver (metadata, as for any file listing), many files at a time.
     """
     files = _list_files(spark, directory, pattern)
     if not files:
         raise FileNotFoundError(f"no file matching {pattern!r} under {directory}")
     groups: OrderedDict[str, list[str]] = OrderedDict()
-    for f in files:
-        header = _first_line(spark, f)
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        headers = list(pool.map(lambda f: _first_line(spark, f), files))
+    for f, header in zip(files, headers):
         if header:  # an empty part file has no header and no rows
             groups.setdefault(header, []).append(f)
     by_name = {fld.name: fld for fld in schema.fields}
     parts = []
     for header, members in groups.items():
-        cols = [c.strip().strip('"') for c in header.split(",")]
+        cols = [c.strip() for c in next(csv.reader([header]))]
         sch = T.StructType([by_name.get(c, T.StructField(c, T.StringType())) for c in cols])
         df = scan_csv(spark, members, sch)
         if with_file:

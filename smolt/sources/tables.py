@@ -50,8 +50,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sites(spark: SparkSession) -> DataFrame:
-    """Inline site -> rkm dimension (five rows; always broadcast)."""
-    return spark.createDataFrame(SITE_RKM, "site string, rkm double")
+    """Inline site -> rkm dimension: a literal relation, so its size is known
+    to the planner and it is the broadcast side of every join."""
+    rows = ", ".join(f"('{s}', {float(r)!r}D)" for s, r in SITE_RKM)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS sites(site, rkm)")
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:

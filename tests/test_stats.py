@@ -136,11 +136,18 @@ def test_shapiro_single_sample(spark):
 
 
 def test_checked_broadcast(spark):
-    from smolt.operators.joins import checked_broadcast
-    small = spark.createDataFrame([("a", 1.0)], "site string, rkm double")
-    big = spark.range(10).withColumn("site", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
-    plan = big.join(checked_broadcast(small), "site")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    # above the limit no hint is added
+    from smolt.operators.joins import checked_broadcast, join_dim
+    from smolt.sources.tables import sites
+    dim = sites(spark)
+    big = spark.range(10 ** 9).select(F.when(F.col("id") % 2 == 0, "view").otherwise("click").alias("site"), "id")
+    plan = join_dim(big, dim, "site")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan
+    # above the limit, or with broadcasts off, no hint is added
     huge = spark.range(10 ** 9)
     assert checked_broadcast(huge, max_bytes=1024) is huge
+    for value, hinted in (("-1", False), ("10MB", True)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
+        try:
+            assert (checked_broadcast(dim) is not dim) == hinted
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
