@@ -36,13 +36,26 @@ class Node:
         self.norm = float(np.sqrt(centre @ centre))
 
 
-def cover_tree(x: np.ndarray, members: np.ndarray, first: int, dist: np.ndarray) -> Node:
-    """The tree over ``x[members]`` with centre ``x[first]``; ``dist`` are
-    the members' distances from it."""
-    radius = float(dist.max(initial=0.0))
-    if len(members) <= LEAF or radius == 0.0:
-        return Node(x[first], radius, members, [])
-    reach, children, single = radius / SHRINK, [], []
+class Points:
+    """Vectors with their squared norms: distances take one product."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.square = x, (x * x).sum(axis=1)
+        # rounding of very long vectors: radii are widened by this much
+        self.slack = 1e-7 * float(np.sqrt(self.square.max(initial=0.0)))
+
+    def distances(self, members: np.ndarray, centre: int) -> np.ndarray:
+        d = self.square[members] + self.square[centre] - 2 * (self.x[members] @ self.x[centre])
+        return np.sqrt(np.maximum(d, 0.0))
+
+
+def cover_tree(p: Points, members: np.ndarray, first: int, dist: np.ndarray) -> Node:
+    """The tree over ``members`` with centre ``first``; ``dist`` are the
+    members' distances from it."""
+    far = float(dist.max(initial=0.0))
+    if len(members) <= LEAF or far == 0.0:
+        return Node(p.x[first], far + p.slack, members, [])
+    reach, children, single = far / SHRINK, [], []
     centre, left, d = first, members, dist
     while True:
         near = d <= reach
@@ -50,21 +63,21 @@ def cover_tree(x: np.ndarray, members: np.ndarray, first: int, dist: np.ndarray)
         if len(own) == 1:
             single.append(int(own[0]))
         else:
-            children.append(cover_tree(x, own, centre, d[near]))
+            children.append(cover_tree(p, own, centre, d[near]))
         left = left[~near]
         if not len(left):
             break
         centre = int(left[0])
-        d = np.sqrt(((x[left] - x[centre]) ** 2).sum(axis=1))
+        d = p.distances(left, centre)
     for i in range(0, len(single), LEAF):  # children without children share leaves
         part = np.array(single[i:i + LEAF])
-        mid = x[part[0]]
-        children.append(Node(mid, float(np.sqrt(((x[part] - mid) ** 2).sum(axis=1)).max()), part, []))
-    return Node(x[first], radius, members, children)
+        children.append(Node(p.x[part[0]], float(p.distances(part, int(part[0])).max()) + p.slack, part, []))
+    return Node(p.x[first], far + p.slack, members, children)
 
 
 def tree_of(x: np.ndarray) -> Node:
-    return cover_tree(x, np.arange(len(x)), 0, np.sqrt(((x - x[0]) ** 2).sum(axis=1)))
+    p, every = Points(x), np.arange(len(x))
+    return cover_tree(p, every, 0, p.distances(every, 0))
 
 
 def _exact_products(a: list, b: list) -> np.ndarray:
@@ -79,14 +92,13 @@ def dual_search(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarr
     worst = np.full(len(q), -np.inf)
     size = max(float(np.abs(q).max(initial=0)), float(np.abs(x).max(initial=0)))
     exact = size * size * max(1, q.shape[1]) < EXACT
-    counted: list[int] = [0, 0]
 
     def leaf(a: Node, b: Node) -> None:
         s = q[a.members] @ x[b.members].T if exact else _exact_products(
             [[int(v) for v in r] for r in q[a.members]], [[int(v) for v in r] for r in x[b.members]])
-        counted[0] += s.size
-        for i, row in zip(a.members, s):
-            # the block's best may tie with the kth: all that reach it stay for the tie on the id
+        able = np.flatnonzero(s.max(axis=1) >= worst[a.members]) if exact else np.arange(len(s))
+        for i, row in zip(a.members[able], s[able]):
+            # a tie with the kth stays: the smaller id wins it
             hit = np.flatnonzero(row >= worst[i]) if exact else np.arange(len(row))
             if exact and len(hit) > 4 * k:
                 hit = hit[row[hit] >= np.partition(row[hit], -(k + 1))[-(k + 1)]]
@@ -104,8 +116,8 @@ def dual_search(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarr
     while stack:
         a, b = stack.pop()
         if bound(a, b) < worst[a.members].min():
-            counted[1] += 1
-        elif not a.children and not b.children:
+            continue
+        if not a.children and not b.children:
             leaf(a, b)
         elif a.children and (not b.children or a.radius > b.radius):
             stack += sorted(((c, b) for c in a.children), key=lambda p: bound(*p))
