@@ -1,9 +1,9 @@
 """Encounter histories and their sufficient statistics (survey 2.11).
 
 A history is a fixed-length 0/1 string per tag over an explicit, ordered
-occasion list. It is built as an aggregate: ``bit_or(1 << occasion)`` per
-tag has fixed-size state, so a tag with millions of detections costs one
-long per input task before the shuffle. Everything downstream works on
+occasion list. It is built as an aggregate: the set of a tag's occasions holds at
+most K numbers, so a tag with millions of detections costs one small set
+per input task before the shuffle, and K has no limit. Everything downstream works on
 the frequency table (history x group -> count), whose size is bounded by
 ``2**K * groups`` whatever the number of animals.
 """
@@ -16,12 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def history_string(bits: Column, k: int) -> Column:
-    """Render a bit mask (bit i = occasion i) as a K-digit 0/1 string."""
-    # bit i -> digit i + 1; (bits / 2**i) mod 2 keeps to column arithmetic
+def history_string(occasions: Column, k: int) -> Column:
+    """Render a set of 0-based occasions as a K-digit 0/1 string."""
     digits = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                         lambda i: F.pmod(F.floor(bits / F.pow(F.lit(2), i)), F.lit(2))
-                         .cast("int").cast("string"))
+                         lambda i: F.when(F.array_contains(occasions, i), F.lit("1")).otherwise(F.lit("0")))
     return F.array_join(digits, "")
 
 
@@ -31,16 +29,19 @@ def encounter_history(sightings: DataFrame, tag: str, group: str, occ: str, k: i
 
     ``min_count`` > 1 marks an occasion only when the tag was seen there at
     least that many times (the "no single detections" table); tags left
-    with no occasion vanish, as in the reference. Occasions outside
-    ``[0, k)`` are not part of the declared list and are ignored.
+    with no occasion vanish, as in the reference. A NULL occasion is no
+    sighting. An occasion outside ``[0, k)`` is not in the declared list
+    and raises an error when the rows are computed.
     """
-    s = sightings.filter((F.col(occ) >= 0) & (F.col(occ) < k))
+    o = F.col(occ)
+    known = F.when((o >= 0) & (o < k), o.cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit(f"occasion outside 0..{k - 1}: "), o.cast("string"))).cast("int"))
+    s = sightings.filter(o.isNotNull()).withColumn(occ, known)
     if min_count > 1:
         s = (s.groupBy(tag, group, occ).agg(F.count(F.lit(1)).alias("__n"))
               .filter(F.col("__n") >= min_count))
-    bits = s.groupBy(tag, group).agg(
-        F.bit_or(F.pow(F.lit(2), F.col(occ)).cast("long")).alias("__bits"))
-    return bits.select(tag, group, history_string(F.col("__bits"), k).alias("ch"))
+    seen = s.groupBy(tag, group).agg(F.collect_set(occ).alias("__occ"))
+    return seen.select(tag, group, history_string(F.col("__occ"), k).alias("ch"))
 
 
 def history_frequency(hist: DataFrame, group: str, extra: Sequence[str] = ()) -> DataFrame:

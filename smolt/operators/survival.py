@@ -3,8 +3,8 @@
 Spark does the data work: histories are reduced to (dataset, group, ch, n)
 cells, models are a (dataset x model) product of small tables, and each
 fit runs in ``groupBy(dataset, model).applyInPandas``. A fit's input is
-one dataset's frequency table, bounded by ``2**K * groups`` rows however
-many animals were tagged, so the per-group pandas frame is bounded too.
+one dataset's sufficient statistics, ``4 * groups * K`` numbers however
+many animals or histories there are.
 Many datasets (sites, years, bootstrap replicates) fit in parallel.
 
 Likelihood (Lebreton et al. 1992): for a history first seen at f and last
@@ -27,10 +27,13 @@ from smolt.operators.histories import first_last_occ
 # Formula kinds the reference fits: ``~1``, ``~release`` (group), ``~time``.
 KINDS = ("dot", "group", "time")
 Z95 = 1.96  # the listing's 95% interval multiplier
+#: Betas beyond this are boundary estimates (a rate within 0.0001 of 0 or 1);
+#: curvature below this share of the largest is not estimable.
+BOUND, FLAT = 9.21, 1e-5
 
 FIT_SCHEMA = ("dataset string, model string, param string, beta_index int, label string, "
               "estimate double, se double, lcl double, ucl double, neg2lnl double, "
-              "k int, n_betas int, converged boolean, iterations int, levels string")
+              "k int, n_betas int, converged boolean, iterations int, levels string, at_bound boolean")
 
 
 # ------------------------------------------------------------ design
@@ -152,38 +155,27 @@ def cjs_expected(freq: DataFrame, params: DataFrame, group: str, k: int,
                     (F.col("cohort_n") * F.exp(ll)).alias("expected"))
 
 
-def possible_histories(cohort_tbl: DataFrame, group: str, k: int,
-                       extra: Sequence[str] = ()) -> DataFrame:
-    """Every history a cohort (group, first occasion f) can produce:
-    '0'*(f-1) + '1' + any of the 2**(K-f) tails. Bounded by 2**K per cohort."""
-    tails = F.explode(F.expr(f"sequence(0L, shiftleft(1L, {k} - first_occ) - 1)"))
-    x = cohort_tbl.select(*extra, group, "first_occ", "N", tails.alias("__t"))
-    # binary of (2**w + t) has w + 1 digits and a leading 1: drop it
-    ch = F.expr(f"concat(repeat('0', first_occ - 1), '1', "
-                f"substring(conv(cast(shiftleft(1L, {k} - first_occ) + __t as string), 10, 2), 2))")
-    return x.select(*extra, group, "first_occ", "N", ch.alias("ch"))
-
-
 def gof_stats(freq: DataFrame, params: DataFrame, group: str, k: int, n_params: DataFrame,
               extra: Sequence[str] = ()) -> DataFrame:
     """Deviance, Pearson chi-square, c-hat, s-bar and Fletcher c-hat.
 
-    ``n_params`` gives k (estimable parameters) per dataset. Observed cells
-    are outer-joined to every possible history of every cohort.
+    ``n_params`` gives k (estimable parameters) per dataset. Only observed
+    histories are evaluated: a cohort of N animals first seen at occasion f
+    has 2^(K-f) possible histories whose expected counts sum to N, so the
+    unobserved ones add N less the observed expectations to Pearson's sum.
     """
     from smolt.operators.histories import cohorts as _cohorts, saturated_neg2lnl
     coh = _cohorts(freq, group, k, extra)
-    poss = possible_histories(coh, group, k, extra).join(params, [*extra, group])
-    ll = loglik_column(F.col("ch"), F.col("phi"), F.col("p"), k)
-    poss = poss.withColumn("E", F.col("N") * F.exp(ll))
-    obs = freq.select(*extra, group, "ch", F.col("n").alias("O"))
-    cells = poss.join(obs, [*extra, group, "ch"], "left").fillna(0, subset=["O"])
-    agg = cells.groupBy(*extra).agg(
-        F.sum(F.when(F.col("O") > 0, F.col("O") * F.log(F.col("E") / F.col("N")))).alias("__ll"),
-        F.count(F.lit(1)).alias("possible"),
-        F.sum(F.when(F.col("O") > 0, 1).otherwise(0)).alias("cells"),
-        F.sum(F.try_divide((F.col("O") - F.col("E")) ** 2, F.col("E"))).alias("pearson_chisq"),
+    obs = cjs_expected(freq, params, group, k, extra).select(
+        *extra, F.col("n").alias("O"), F.col("cohort_n").alias("N"), F.col("expected").alias("E"))
+    seen = obs.groupBy(*extra).agg(
+        F.sum(F.col("O") * F.log(F.col("E") / F.col("N"))).alias("__ll"),
+        F.count(F.lit(1)).alias("cells"),
+        F.sum(F.try_divide((F.col("O") - F.col("E")) ** 2, F.col("E"))).alias("__chi"),
+        F.sum("E").alias("__e"),
         F.sum(F.try_divide(F.col("O").cast("double"), F.col("E"))).alias("sum_o_over_e"))
+    all_ = coh.groupBy(*extra).agg(F.sum("N").alias("__n"), F.sum(F.pow(F.lit(2.0), F.lit(k) - F.col("first_occ"))).alias("possible"))
+    agg = seen.join(all_, list(extra)).withColumn("pearson_chisq", F.col("__chi") + F.col("__n") - F.col("__e"))
     ncoh = coh.groupBy(*extra).agg(F.count(F.lit(1)).alias("cohorts"))
     sat = saturated_neg2lnl(freq, group, k, extra)
     if not extra:
@@ -204,36 +196,55 @@ def gof_stats(freq: DataFrame, params: DataFrame, group: str, k: int, n_params:
 
 # ------------------------------------------------------------ numpy fitter
 
+STATS = ("s_phi", "s_p1", "s_p0", "w")
+
+
+def sufficient_stats(freq: DataFrame, group: str, k: int, extra: Sequence[str] = ()) -> DataFrame:
+    """What a likelihood needs of a frequency table, per (group, occasion):
+    survival intervals, detections and misses after first capture, and
+    animals last seen there. At most K rows per group, however many
+    histories there are; an aggregate with map-side combine."""
+    first, last = first_last_occ(F.col("ch"), k)
+    j = F.col("occ")
+    seen = F.substring(F.col("ch"), j, F.lit(1)) == F.lit("1")
+    span = (j > F.col("__f")) & (j <= F.col("__l"))
+    x = (freq.withColumns({"__f": first, "__l": last})
+             .select(*extra, group, "ch", "n", "__f", "__l", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("occ")))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0)))
+    return x.groupBy(*extra, group, "occ").agg(
+        total((j >= F.col("__f")) & (j < F.col("__l"))).alias("s_phi"), total(span & seen).alias("s_p1"),
+        total(span & ~seen).alias("s_p0"), total(j == F.col("__l")).alias("w"))
+
+
+def stats_of(pdf: pd.DataFrame, group: str, k: int) -> pd.DataFrame:
+    """``sufficient_stats`` of a small local frequency table."""
+    rows = []
+    for ch, g, n in zip(pdf["ch"].astype(str), pdf[group], pdf["n"]):
+        f, l_ = ch.index("1") + 1, ch.rindex("1") + 1
+        for j in range(1, k + 1):
+            span, seen = f < j <= l_, ch[j - 1] == "1"
+            rows.append((g, j, n * (f <= j < l_), n * (span and seen), n * (span and not seen), n * (j == l_)))
+    out = pd.DataFrame(rows, columns=[group, "occ", *STATS])
+    return out.groupby([group, "occ"], as_index=False).sum()
+
+
 class _Data:
-    """One dataset's frequency table reduced to sufficient statistics.
+    """Sufficient statistics of one dataset as (group, occasion) arrays.
 
-    The log-likelihood is linear in counts per (group, occasion):
-    S_phi[g, j] survival intervals, S_p1 / S_p0 detections / misses and
-    W[g, l] animals last seen at l (which enter through ln chi_l). The
-    optimiser then works on O(groups * K) numbers, not on histories.
+    The log-likelihood is linear in them: S_phi[g, j] survival intervals,
+    S_p1 / S_p0 detections / misses and W[g, l] animals last seen at l
+    (which enter through ln chi_l). The optimiser works on at most
+    4 * groups * K numbers, never on histories.
     """
 
-    def __init__(self, pdf: pd.DataFrame, group: str, levels: Sequence[str], k: int):
-        ch = pdf["ch"].astype(str).to_numpy()
+    def __init__(self, stats: pd.DataFrame, group: str, levels: Sequence[str], k: int):
         self.k = k
-        H = np.array([[c == "1" for c in s] for s in ch], dtype=bool).reshape(len(ch), k)
-        n = pdf["n"].to_numpy(dtype=float)
         lv = {g: i for i, g in enumerate(levels)}
-        g = np.array([lv[x] for x in pdf[group]], dtype=int)
-        G = len(levels)
-        first = H.argmax(axis=1)
-        last = k - 1 - H[:, ::-1].argmax(axis=1)
-        j = np.arange(k)
-        a_phi = ((j >= first[:, None]) & (j < last[:, None]))[:, : k - 1]
-        span = (j > first[:, None]) & (j <= last[:, None])
-        self.S_phi = np.zeros((G, k - 1))
-        self.S_p1 = np.zeros((G, k))
-        self.S_p0 = np.zeros((G, k))
-        self.W = np.zeros((G, k))
-        np.add.at(self.S_phi, g, a_phi * n[:, None])
-        np.add.at(self.S_p1, g, (span & H) * n[:, None])
-        np.add.at(self.S_p0, g, (span & ~H) * n[:, None])
-        np.add.at(self.W, (g, last), n)
+        at = ([lv[x] for x in stats[group]], stats["occ"].to_numpy() - 1)
+        full = {c: np.zeros((len(levels), k)) for c in STATS}
+        for c in STATS:
+            np.add.at(full[c], at, stats[c].to_numpy(dtype=float))
+        self.S_phi, self.S_p1, self.S_p0, self.W = full["s_phi"][:, :k - 1], full["s_p1"], full["s_p0"], full["w"]
 
 
 def _real(beta, d: _Data, Xphi, Xp, G):
@@ -293,7 +304,7 @@ def _hessian(grad, x, h=1e-5):
     return (H + H.T) / 2
 
 
-def fit_cjs(pdf: pd.DataFrame, group: str, levels: Sequence[str], k: int,
+def fit_cjs(stats: pd.DataFrame, group: str, levels: Sequence[str], k: int,
             phi_kind: str, p_kind: str, max_iter: int = 500, cap: float = 25.0,
             ftol: float = 1e-10):
     """Maximum likelihood by damped Newton from zero betas.
@@ -302,10 +313,11 @@ def fit_cjs(pdf: pd.DataFrame, group: str, levels: Sequence[str], k: int,
     Analytic gradient, Hessian by central differences of the gradient.
     Non-identifiable betas make the Hessian singular: the step uses the
     eigen-decomposition with small eigenvalues floored, and k counts the
-    eigenvalues above a relative threshold. Betas are capped at +-``cap``
-    (a boundary estimate such as Phi = 1 stops there).
+    eigenvalues above ``FLAT`` times the largest, so neither confounded
+    betas nor boundary estimates (Phi = 1) count. Betas are capped at
+    +-``cap``; fits with a boundary estimate are flagged ``at_bound``.
     """
-    d = _Data(pdf, group, levels, k)
+    d = _Data(stats, group, levels, k)
     lphi, rphi = design_rows(phi_kind, "Phi", levels, k)
     lp, rp = design_rows(p_kind, "p", levels, k)
     Xphi = np.array([x for _, _, x in rphi])
@@ -340,7 +352,7 @@ def fit_cjs(pdf: pd.DataFrame, group: str, levels: Sequence[str], k: int,
             break
     H = _hessian(g, beta)
     w, V = np.linalg.eigh(H)
-    tol = 1e-7 * max(np.abs(w).max(), 1e-12)
+    tol = FLAT * max(np.abs(w).max(), 1e-12)
     keep = w > tol
     kest = int(keep.sum())
     cov = (V[:, keep] / w[keep]) @ V[:, keep].T
@@ -354,17 +366,23 @@ def fit_models(freq: DataFrame, group: str, levels: Sequence[str], k: int,
 
     ``freq`` has (dataset, group, ch, n). The (dataset x model) product is
     formed by exploding a literal model array (no join), then one
-    ``applyInPandas`` task per (dataset, model) fits its bounded table.
+    ``applyInPandas`` task per (dataset, model) fits its sufficient
+    statistics: at most K rows per group. A group level that is not declared
+    in ``levels`` is an error.
     """
     names = [f"Phi(~{a})p(~{b})" for a, b in models]
     spec = F.explode(F.array(*[F.lit(n) for n in names])).alias("model")
-    x = freq.select(F.col(dataset).cast("string").alias("dataset"), group, "ch", "n", spec)
+    stats = sufficient_stats(freq.withColumn("dataset", F.col(dataset).cast("string")), group, k, ["dataset"])
+    x = stats.select("dataset", group, "occ", *STATS, spec)
     lv = [str(v) for v in levels]
     kinds = dict(zip(names, models))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ds, model = pdf["dataset"].iloc[0], pdf["model"].iloc[0]
         a, b = kinds[model]
+        unknown = set(pdf[group].astype(str)) - set(lv)
+        if unknown:
+            raise ValueError(f"undeclared group levels: {sorted(unknown)}")
         present = [v for v in lv if v in set(pdf[group].astype(str))]
         labels, beta, se, n2, kest, conv, it = fit_cjs(
             pdf.assign(**{group: pdf[group].astype(str)}), group, present, k, a, b)
@@ -375,7 +393,8 @@ def fit_models(freq: DataFrame, group: str, levels: Sequence[str], k: int,
             "label": labels, "estimate": beta, "se": se,
             "lcl": beta - Z95 * se, "ucl": beta + Z95 * se,
             "neg2lnl": n2, "k": np.int32(kest), "n_betas": np.int32(len(labels)),
-            "converged": conv, "iterations": np.int32(it), "levels": "|".join(present)})
+            "converged": conv, "iterations": np.int32(it), "levels": "|".join(present),
+            "at_bound": bool(np.abs(beta).max() > BOUND)})
 
     # the table is tiny, so AQE would coalesce it into one task and run the
     # fits one after another; an explicit partition count spreads the

@@ -7,8 +7,6 @@ customer's nation (five datasets fitted in parallel).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from smolt.operators import histories as H
@@ -23,10 +21,6 @@ K = len(T.OCCASIONS)
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 MODELS = [("dot", "dot"), ("group", "dot"), ("time", "dot"),
           ("dot", "time"), ("group", "time"), ("time", "time")]
-# parameters of the fixed-parameter likelihood keys (many decimals, so that
-# no probability lands exactly on a rounding boundary)
-PHI0, P0 = 0.7373369, 0.6895947
-
 HIST_SQL = (f"SELECT tag, grp, " + " || ".join(
     f"CAST(max(CASE WHEN occ = {i} THEN 1 ELSE 0 END) AS VARCHAR)" for i in range(K))
     + f" AS ch FROM ({OCC}) WHERE occ BETWEEN 0 AND {K - 1} GROUP BY tag, grp")
@@ -117,21 +111,23 @@ def design_data(spark, d):
     return S.design_data(frequencies(spark, d), "grp", K)
 
 
-def _design_sql():
-    rows = []
-    for kind in S.KINDS:
-        for param in ("Phi", "p"):
-            labels, drows = S.design_rows(kind, param, SEGMENTS, K)
-            for g, t, x in drows:
-                for lab, v in zip(labels, x):
-                    rows.append(f"('{kind}', '{param}', '{g}', {t}, '{lab}', {float(v)!r})")
-    return rows
+_LEVELS = ", ".join(f"('{g}', {i})" for i, g in enumerate(SEGMENTS))
 
 
 @query("design_matrix", f"""
-WITH dm AS (SELECT * FROM (VALUES {', '.join(_design_sql())}) AS t(formula, param, grp, occasion, beta, x))
-SELECT formula, param, dm.grp, CAST(occasion AS INTEGER) AS occasion, beta, CAST(x AS DOUBLE) AS x
-FROM dm JOIN (SELECT DISTINCT grp FROM ({FREQ_SQL})) g ON dm.grp = g.grp""")
+WITH g AS (SELECT * FROM (VALUES {_LEVELS}) AS t(grp, gi) WHERE grp IN (SELECT grp FROM ({FREQ_SQL}))),
+r AS (SELECT 'Phi' AS param, grp, gi, CAST(o AS INTEGER) AS occasion, 1 AS base FROM g, range(1, {K}) s(o)
+      UNION ALL SELECT 'p', grp, gi, CAST(o AS INTEGER), 2 FROM g, range(2, {K + 1}) s(o)),
+one AS (SELECT f AS formula, param, grp, occasion, param || ':(Intercept)' AS beta, 1.0 AS x
+        FROM r, (VALUES ('dot'), ('group'), ('time')) AS k(f)),
+grps AS (SELECT 'group' AS formula, param, r.grp, occasion, param || ':group' || v.grp AS beta,
+                CASE WHEN r.gi = v.i THEN 1.0 ELSE 0.0 END AS x
+         FROM r, (VALUES {_LEVELS}) AS v(grp, i) WHERE v.i > 0),
+tms AS (SELECT 'time' AS formula, param, grp, occasion, param || ':time' || t AS beta,
+               CASE WHEN occasion = t THEN 1.0 ELSE 0.0 END AS x
+        FROM r, range(2, {K + 1}) s(t) WHERE t > base AND t < base + {K - 1})
+SELECT formula, param, grp, occasion, beta, CAST(x AS DOUBLE) AS x
+FROM (SELECT * FROM one UNION ALL SELECT * FROM grps UNION ALL SELECT * FROM tms)""")
 def design_matrix(spark, d):
     """Design rows of the three formula kinds for the groups in the data."""
     dm = S.design_matrix(spark, SEGMENTS, K)
@@ -139,43 +135,64 @@ def design_matrix(spark, d):
     return dm.join(groups, "grp")
 
 
-def _loglik_sql():
-    """ln P(h) for constant Phi, p: closed sums over the history string."""
-    lp, lq, lf = math.log(P0), math.log(1 - P0), math.log(PHI0)
-    # chi_l for constant parameters, l = 1..K (recursion unrolled)
-    chi = [1.0] * (K + 1)
+LL_BASE = (f"SELECT dataset, ch, grp, n, instr(ch, '1') AS f, {K} + 1 - instr(reverse(ch), '1') AS l FROM ({FREQ_DS_SQL})")
+
+
+def _rate_sql(a, step, occ):
+    """Inverse logit of a + step * occasion + 0.07 * (position of the group)."""
+    return f"1 / (1 + exp(-({a!r} + {step!r} * {occ} + 0.07 * gi)))"
+
+
+# parameters that differ by occasion and group, so an index shifted by one shows
+PHI_A, PHI_STEP, P_A, P_STEP = 0.3131, 0.1717, 1.1919, -0.1313
+
+
+def _loglik_cte():
+    """CTEs up to ``ll``: ln P(history) at the parameters above, from the definition."""
+    par = ", ".join([f"{_rate_sql(PHI_A, PHI_STEP, j)} AS phi{j}" for j in range(1, K)]
+                    + [f"{_rate_sql(P_A, P_STEP, j)} AS p{j}" for j in range(2, K + 1)])
+    chi = f"SELECT *, 1.0 AS chi{K} FROM par"
     for j in range(K - 1, 0, -1):
-        chi[j] = 1 - PHI0 + PHI0 * (1 - P0) * chi[j + 1]
-    chi_case = "CASE l " + " ".join(f"WHEN {l} THEN {math.log(chi[l])!r}" for l in range(1, K + 1)) + " END"
-    ones = "(length(replace(substr(ch, f + 1, l - f), '0', '')))"
-    return (f"((l - f) * {lf!r} + {ones} * {lp!r} + ((l - f) - {ones}) * {lq!r} + {chi_case})")
+        chi = f"SELECT *, 1 - phi{j} + phi{j} * (1 - p{j + 1}) * chi{j + 1} AS chi{j} FROM ({chi})"
+    live = " + ".join(f"CASE WHEN {j} >= f AND {j} < l THEN ln(phi{j}) ELSE 0 END" for j in range(1, K))
+    seen = " + ".join(f"CASE WHEN {j} > f AND {j} <= l THEN CASE WHEN substr(ch, {j}, 1) = '1' THEN ln(p{j}) ELSE ln(1 - p{j}) END ELSE 0 END"
+                      for j in range(2, K + 1))
+    last = "CASE l " + " ".join(f"WHEN {j} THEN ln(chi{j})" for j in range(1, K + 1)) + " END"
+    return (f"lv AS (SELECT * FROM (VALUES {_LEVELS}) AS t(grp, gi)), par AS (SELECT *, {par} FROM lv), pc AS ({chi})", f"{live} + {seen} + {last}")
+
 
+LL_CTE, LL_EXPR = _loglik_cte()
 
-LL_BASE = (f"SELECT ch, grp, n, instr(ch, '1') AS f, {K} + 1 - instr(reverse(ch), '1') AS l FROM ({FREQ_SQL})")
+
+def fixed_params(freq, extra=()):
+    """The parameters above as arrays per (extra, group)."""
+    pos = F.create_map(*[F.lit(x) for i, g in enumerate(SEGMENTS) for x in (g, i)])
+    rate = lambda a, step: lambda j: 1 / (1 + F.exp(-(a + step * j + 0.07 * F.element_at(pos, F.col("grp")))))
+    none = F.array(F.lit(None).cast("double"))
+    return freq.select(*extra, "grp").distinct().select(
+        *extra, "grp", F.transform(F.sequence(F.lit(1), F.lit(K - 1)), rate(PHI_A, PHI_STEP)).alias("phi"),
+        F.concat(none, F.transform(F.sequence(F.lit(2), F.lit(K)), rate(P_A, P_STEP))).alias("p"))
 
 
 @query("cjs_loglik", f"""
-SELECT grp, round(sum(n * {_loglik_sql()}), 6) AS loglik FROM ({LL_BASE}) GROUP BY grp""")
+WITH {LL_CTE}, b AS ({LL_BASE})
+SELECT grp, round(sum(n * ({LL_EXPR})), 6) AS loglik FROM b JOIN pc USING (grp) GROUP BY grp""")
 def cjs_loglik(spark, d):
     f = frequencies(spark, d)
-    params = S.constant_params(f, "grp", K, PHI0, P0)
-    return rounded(S.cjs_loglik(f, params, "grp", K), ["loglik"])
+    return rounded(S.cjs_loglik(f, fixed_params(f), "grp", K), ["loglik"])
 
 
 @query("cjs_expected", f"""
-WITH b AS (SELECT *, exp({_loglik_sql()}) AS pr FROM ({LL_BASE})),
+WITH {LL_CTE}, b AS (SELECT ch, grp, f, l, sum(n) AS n FROM ({LL_BASE}) GROUP BY ch, grp, f, l),
 t AS (SELECT grp AS tg, f AS tf, sum(n) AS cohort_n FROM b GROUP BY grp, f)
-SELECT b.grp, b.ch, b.n, CAST(t.cohort_n AS BIGINT) AS cohort_n, round(t.cohort_n * b.pr, 6) AS expected
-FROM b JOIN t ON b.grp = t.tg AND b.f = t.tf""")
+SELECT b.grp, b.ch, CAST(b.n AS BIGINT) AS n, CAST(t.cohort_n AS BIGINT) AS cohort_n, round(t.cohort_n * exp({LL_EXPR}), 6) AS expected
+FROM b JOIN pc USING (grp) JOIN t ON b.grp = t.tg AND b.f = t.tf""")
 def cjs_expected(spark, d):
     f = frequencies(spark, d)
-    params = S.constant_params(f, "grp", K, PHI0, P0)
-    out = S.cjs_expected(f, params, "grp", K).withColumn("cohort_n", F.col("cohort_n").cast("long"))
+    out = S.cjs_expected(f, fixed_params(f), "grp", K).withColumn("cohort_n", F.col("cohort_n").cast("long"))
     return rounded(out, ["expected"])
 
 
-
-
 @query("cjs_closed_form", f"""
 WITH f AS ({FREQ_SQL}),
 pos AS (SELECT f.ch, f.n, CAST(i AS INTEGER) AS i FROM f, range(1, {K}) r(i) WHERE substr(f.ch, CAST(i AS INTEGER), 1) = '1'),
@@ -216,26 +233,74 @@ def model_grid(spark, d):
     return _fits(spark, d, MODELS)
 
 
-@query("model_rank")
-def model_rank(spark, d):
-    # the bounded frequency table feeds the fits and the sample sizes:
-    # computed once from the orders, read twice
-    freq = reuse_small(dataset_frequencies(spark, d))
-    fits = S.fit_models(freq, "grp", SEGMENTS, K, MODELS)
-    ess = H.effective_sample_size(freq, K, ["dataset"])
-    return S.model_table(fits, ess)
+RANKED = [("m1", 2, 1.0), ("m2", 5, 0.97), ("m3", 9, 0.95)]  # name, parameters, share of -2 ln L
+_RANKED_SQL = ", ".join(f"('{m}', {k}, {x!r})" for m, k, x in RANKED)
 
 
-@query("real_estimates")
+@query("model_rank", f"""
+WITH {LL_CTE}, b AS ({LL_BASE}),
+x AS (SELECT dataset, -2 * sum(n * ({LL_EXPR})) AS dev, CAST(sum(n * length(replace(substr(ch, 1, {K - 1}), '0', ''))) AS BIGINT) AS ess
+      FROM b JOIN pc USING (grp) GROUP BY dataset),
+m AS (SELECT dataset, model, dev * share AS neg2lnl, CAST(k AS INTEGER) AS k, ess FROM x, (VALUES {_RANKED_SQL}) AS r(model, k, share)),
+c AS (SELECT *, neg2lnl + 2 * k AS aic, neg2lnl + 2 * k + 2 * k * (k + 1) / CAST(NULLIF(ess - k - 1, 0) AS DOUBLE) AS aicc,
+             neg2lnl + k * ln(ess) AS bic FROM m),
+e AS (SELECT *, aicc - min(aicc) OVER (PARTITION BY dataset) AS delta_aicc FROM c)
+SELECT dataset, model, round(neg2lnl, 6) AS neg2lnl, k, ess, round(aic, 6) AS aic, round(aicc, 6) AS aicc, round(bic, 6) AS bic,
+       round(delta_aicc, 6) AS delta_aicc,
+       round(exp(-delta_aicc / 2) / sum(exp(-delta_aicc / 2)) OVER (PARTITION BY dataset), 6) AS weight FROM e""")
+def model_rank(spark, d):
+    """Ranking of three models per region, on deviances at fixed parameters."""
+    freq = dataset_frequencies(spark, d)
+    dev = S.cjs_loglik(freq, fixed_params(freq, ["dataset"]), "grp", K, ["dataset"]).groupBy("dataset").agg((-2 * F.sum("loglik")).alias("dev"))
+    spec = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k"), F.lit(x).alias("share")) for m, k, x in RANKED]))
+    fits = dev.select("dataset", "dev", spec.alias("s")).select(
+        "dataset", "s.model", (F.col("dev") * F.col("s.share")).alias("neg2lnl"), "s.k")
+    t = S.model_table(fits, H.effective_sample_size(freq, K, ["dataset"]))
+    return rounded(t, ["neg2lnl", "aic", "aicc", "bic", "delta_aicc", "weight"])
+
+
+@query("real_estimates", f"""
+WITH r AS (SELECT DISTINCT dataset FROM ({FREQ_DS_SQL})),
+b AS (SELECT * FROM (VALUES (1, 'Phi:(Intercept)', 0.9, 0.11), (2, 'Phi:groupX', -1.7, 0.45), (3, 'p:(Intercept)', 2.3, 0.08)) AS t(i, label, b, se))
+SELECT dataset, 'Phi(~group)p(~dot)' AS model, split_part(label, ':', 1) AS param, CAST(i AS INTEGER) AS beta_index, label,
+       CAST(b AS DOUBLE) AS estimate, CAST(se AS DOUBLE) AS se, round(1 / (1 + exp(-b)), 6) AS real,
+       round(1 / (1 + exp(-(b - {S.Z95} * se))), 6) AS real_lcl, round(1 / (1 + exp(-(b + {S.Z95} * se))), 6) AS real_ucl
+FROM r, b""")
 def real_estimates(spark, d):
-    return S.real_estimates(_fits(spark, d, [("group", "dot")]))
-
-
-@query("gof_stats")
+    """Betas through the inverse logit, at fixed betas for every region."""
+    beta = [(1, "Phi:(Intercept)", 0.9, 0.11), (2, "Phi:groupX", -1.7, 0.45), (3, "p:(Intercept)", 2.3, 0.08)]
+    spec = F.explode(F.array(*[F.struct(F.lit(i).alias("beta_index"), F.lit(n).alias("label"), F.lit(b).alias("estimate"),
+                                        F.lit(e).alias("se")) for i, n, b, e in beta]))
+    fits = (dataset_frequencies(spark, d).select("dataset").distinct().select("dataset", F.lit("Phi(~group)p(~dot)").alias("model"), spec.alias("s"))
+            .select("dataset", "model", F.split("s.label", ":")[0].alias("param"), "s.*"))
+    fits = fits.withColumns({"lcl": F.col("estimate") - S.Z95 * F.col("se"), "ucl": F.col("estimate") + S.Z95 * F.col("se")})
+    return rounded(S.real_estimates(fits), ["real", "real_lcl", "real_ucl"])
+
+
+# independent of the operator: every possible history of every cohort is listed
+@query("gof_stats", f"""
+WITH {LL_CTE}, b AS ({LL_BASE}),
+coh AS (SELECT dataset, grp, f, sum(n) AS N FROM b GROUP BY dataset, grp, f),
+poss AS (SELECT dataset, grp, f, N, repeat('0', CAST(f AS INTEGER) - 1) || '1'
+                || CASE WHEN f = {K} THEN '' ELSE lpad(bin(t), {K} - CAST(f AS INTEGER), '0') END AS ch
+         FROM coh, range(0, {2 ** (K - 1)}) r(t) WHERE t < pow(2, {K} - f)),
+pl AS (SELECT *, {K} + 1 - instr(reverse(ch), '1') AS l FROM poss),
+cell AS (SELECT pl.dataset, pl.grp, pl.f, pl.N, pl.ch, pl.N * exp({LL_EXPR}) AS E FROM pl JOIN pc USING (grp)),
+o AS (SELECT c.*, coalesce(b.n, 0) AS O FROM cell c LEFT JOIN b ON b.dataset = c.dataset AND b.grp = c.grp AND b.ch = c.ch),
+a AS (SELECT dataset, -2 * sum(CASE WHEN O > 0 THEN O * ln(E / N) ELSE 0 END) AS neg2lnl, CAST(count(*) AS DOUBLE) AS possible,
+             sum(CASE WHEN O > 0 THEN 1 ELSE 0 END) AS cells, sum((O - E) ** 2 / E) AS pearson, sum(O / E) AS ratio,
+             -2 * sum(CASE WHEN O > 0 THEN O * ln(O / N) ELSE 0 END) AS sat FROM o GROUP BY dataset),
+k AS (SELECT a.*, q.cohorts, neg2lnl - sat AS dev, cells - q.cohorts - 12 AS ddf, possible - q.cohorts - 12 AS pdf,
+             (ratio - possible) / (possible - q.cohorts) AS sbar
+      FROM a JOIN (SELECT dataset, count(*) AS cohorts FROM coh GROUP BY dataset) q USING (dataset))
+SELECT dataset, round(neg2lnl, 6) AS neg2lnl, round(dev, 6) AS deviance, CAST(ddf AS BIGINT) AS deviance_df, round(dev / NULLIF(ddf, 0), 6) AS c_hat,
+       round(pearson, 5) AS pearson_chisq, possible, pdf AS pearson_df, round(pearson / pdf, 6) AS pearson_chat, round(sbar, 6) AS s_bar,
+       round(pearson / pdf / (1 + sbar), 6) AS fletcher_chat FROM k""")
 def gof_stats(spark, d):
-    """Goodness of fit of Phi(~1)p(~1) per region at the fitted values."""
+    """Goodness of fit per region at fixed parameters that differ by
+    occasion and group (12 counted as estimated)."""
     freq = reuse_small(dataset_frequencies(spark, d))
-    fits = reuse_small(S.fit_models(freq, "grp", SEGMENTS, K, [("dot", "dot")]))
-    params = S.fitted_params(fits, K).drop("model")
-    kk = fits.groupBy("dataset").agg(F.first("k").alias("k"))
-    return S.gof_stats(freq, params, "grp", K, kk, ["dataset"])
+    kk = freq.select("dataset").distinct().withColumn("k", F.lit(12))
+    g = S.gof_stats(freq, fixed_params(freq, ["dataset"]), "grp", K, kk, ["dataset"])
+    return rounded(rounded(g, ["neg2lnl", "deviance", "c_hat", "pearson_chat", "s_bar", "fletcher_chat"]).withColumn(
+        "pearson_chisq", F.round("pearson_chisq", 5)), [])

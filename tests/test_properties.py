@@ -51,7 +51,7 @@ def test_fit_recovers_known_parameters():
     phi, p, k = 0.8, 0.6, 7
     ch = _simulate(phi, p, k, 400, rng)
     pdf = pd.DataFrame({"ch": ch, "grp": "g"}).groupby(["ch", "grp"]).size().reset_index(name="n")
-    labels, beta, se, n2, kest, conv, _ = S.fit_cjs(pdf, "grp", ["g"], k, "dot", "dot")
+    labels, beta, se, n2, kest, conv, _ = S.fit_cjs(S.stats_of(pdf, "grp", k), "grp", ["g"], k, "dot", "dot")
     logit = lambda x: np.log(x / (1 - x))
     assert conv and kest == 2
     for b, s, true in zip(beta, se, (logit(phi), logit(p))):
@@ -62,12 +62,12 @@ def test_loglik_column_equals_numpy(spark):
     rng = np.random.default_rng(9)
     ch = _simulate(0.7, 0.5, 6, 60, rng)
     pdf = pd.DataFrame({"ch": ch, "grp": "g"}).groupby(["ch", "grp"]).size().reset_index(name="n")
-    labels, beta, *_ = S.fit_cjs(pdf, "grp", ["g"], 6, "dot", "dot")
+    labels, beta, *_ = S.fit_cjs(S.stats_of(pdf, "grp", 6), "grp", ["g"], 6, "dot", "dot")
     il = lambda x: 1 / (1 + np.exp(-x))
     f = spark.createDataFrame(pdf).withColumn("n", F.col("n").cast("long"))
     params = S.constant_params(f, "grp", 6, float(il(beta[0])), float(il(beta[1])))
     ll = S.cjs_loglik(f, params, "grp", 6).first()["loglik"]
-    d = S._Data(pdf, "grp", ["g"], 6)
+    d = S._Data(S.stats_of(pdf, "grp", 6), "grp", ["g"], 6)
     lp, rp = S.design_rows("dot", "Phi", ["g"], 6)[1], S.design_rows("dot", "p", ["g"], 6)[1]
     ref = -S._neg_loglik(np.array(beta), d, np.array([x for *_, x in lp]), np.array([x for *_, x in rp]), 1)
     assert ll == pytest.approx(ref, rel=1e-9)

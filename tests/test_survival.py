@@ -1,5 +1,6 @@
 """CJS likelihood, fit and goodness of fit against the recorded listing."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def freq(spark):
 
 def test_fit_dot_matches_listing():
     pdf = pd.DataFrame(m018_long(), columns=["ch", "grp", "n"])
-    labels, beta, se, n2, kest, conv, _ = S.fit_cjs(pdf, "grp", list(M018_GROUPS), K, "dot", "dot")
+    labels, beta, se, n2, kest, conv, _ = S.fit_cjs(S.stats_of(pdf, "grp", K), "grp", list(M018_GROUPS), K, "dot", "dot")
     assert conv and kest == 2
     assert beta == pytest.approx(M018_DOT["beta"], abs=1e-5)
     assert se == pytest.approx(M018_DOT["se"], abs=1e-5)
@@ -28,7 +29,7 @@ def test_fit_dot_matches_listing():
 
 def test_fit_group_matches_listing():
     pdf = pd.DataFrame(m018_long(), columns=["ch", "grp", "n"])
-    labels, beta, se, n2, kest, conv, _ = S.fit_cjs(pdf, "grp", list(M018_GROUPS), K, "group", "dot")
+    labels, beta, se, n2, kest, conv, _ = S.fit_cjs(S.stats_of(pdf, "grp", K), "grp", list(M018_GROUPS), K, "group", "dot")
     assert beta == pytest.approx(M018_GROUP["beta"], abs=1e-4)
     assert n2 == pytest.approx(M018_GROUP["neg2lnl"], abs=1e-3)
 
@@ -88,14 +89,64 @@ def test_closed_form_m003(spark):
 def test_time_model_boundary_neg2lnl():
     from golden import M003_NEG2LNL, m001_long
     pdf = pd.DataFrame(m001_long(), columns=["ch", "grp", "n"])
-    *_, n2, kest, conv, _ = S.fit_cjs(pdf, "grp", ["g1", "g2"], 7, "time", "time")
+    *_, n2, kest, conv, _ = S.fit_cjs(S.stats_of(pdf, "grp", 7), "grp", ["g1", "g2"], 7, "time", "time")
     assert n2 == pytest.approx(M003_NEG2LNL, abs=1e-2)
+    assert kest == 9 and _aicc(n2, kest, 555) == pytest.approx(759.14460, abs=1e-2)
+
+
+def _aicc(n2, k, n):
+    return n2 + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+
+
+@pytest.mark.parametrize("phi,p,k,n2,aicc", [  # fixed values: recorded fits M002, M014, M015
+    ("group", "time", 7, 871.28235, 885.48711), ("group", "group", 4, 1051.4385, 1059.5113), ("group", "dot", 3, 1053.2493, 1059.2929)])
+def test_recorded_fits(phi, p, k, n2, aicc):
+    from golden import m001_long
+    pdf = pd.DataFrame(m001_long(), columns=["ch", "grp", "n"])
+    *_, got, kest, conv, _ = S.fit_cjs(S.stats_of(pdf, "grp", 7), "grp", ["g1", "g2"], 7, phi, p)
+    assert conv and kest == k and got == pytest.approx(n2, abs=1e-3) and _aicc(got, kest, 555) == pytest.approx(aicc, abs=1e-3)
+
+
+def test_boundary_fits_are_flagged(spark):
+    from golden import m001_long
+    f = spark.createDataFrame(m001_long(), "ch string, grp string, n long").withColumn("dataset", F.lit("a"))
+    fits = S.fit_models(f, "grp", ["g1", "g2"], 7, [("time", "time"), ("dot", "dot")]).select("model", "k", "at_bound").distinct().collect()
+    assert {(r["model"], r["k"], r["at_bound"]) for r in fits} == {("Phi(~time)p(~time)", 9, True), ("Phi(~dot)p(~dot)", 2, False)}
+
+
+@pytest.mark.parametrize("k", [56, 60, 80])
+def test_many_occasions(spark, k):
+    """No limit on the number of occasions, from sightings to a fit."""
+    rng = np.random.default_rng(k)
+    rows, want = [], {}
+    for tag in range(60):
+        seen = sorted(set((rng.integers(0, k) * rng.random(8)).astype(int).tolist()))
+        rows += [(tag, "g", o) for o in seen]
+        want[tag] = "".join("1" if j in seen else "0" for j in range(k))
+    s = spark.createDataFrame(rows + [(999, "g", None)], "tag long, grp string, occ int")
+    h = Hst.encounter_history(s, "tag", "grp", "occ", k)
+    assert {r["tag"]: r["ch"] for r in h.collect()} == want
+    f = Hst.history_frequency(h, "grp").withColumn("dataset", F.lit("a"))
+    fits = S.fit_models(f, "grp", ["g"], k, [("dot", "dot")]).collect()
+    assert fits[0]["converged"] and fits[0]["k"] == 2
+    params = S.constant_params(f, "grp", k, 0.9, 0.2, ["dataset"])
+    g = S.gof_stats(f, params, "grp", k, spark.createDataFrame([("a", 2)], "dataset string, k int"), ["dataset"]).collect()[0]
+    assert g["possible"] == pytest.approx(sum(2.0 ** (k - 1 - f) for f in {w.index("1") for w in want.values()}))
+
+
+def test_unknown_occasions_and_groups_are_errors(spark):
+    s = spark.createDataFrame([(1, "g", 0), (1, "g", 7)], "tag long, grp string, occ int")
+    with pytest.raises(Exception, match="occasion outside"):
+        Hst.encounter_history(s, "tag", "grp", "occ", 7).collect()
+    f = spark.createDataFrame([("a", "101", "x", 3)], "dataset string, ch string, grp string, n long")
+    with pytest.raises(Exception, match="undeclared group"):
+        S.fit_models(f, "grp", ["g"], 3, [("dot", "dot")]).collect()
 
 
 def test_m001_gof_dot(spark):
     from golden import M001_DOT, m001_long
     pdf = pd.DataFrame(m001_long(), columns=["ch", "grp", "n"])
-    labels, beta, se, n2, kest, conv, _ = S.fit_cjs(pdf, "grp", ["g1", "g2"], 7, "dot", "dot")
+    labels, beta, se, n2, kest, conv, _ = S.fit_cjs(S.stats_of(pdf, "grp", 7), "grp", ["g1", "g2"], 7, "dot", "dot")
     assert n2 == pytest.approx(M001_DOT["neg2lnl"], abs=1e-3)
     f = spark.createDataFrame(m001_long(), "ch string, grp string, n long").withColumn("dataset", F.lit("a"))
     il = lambda x: 1 / (1 + __import__("math").exp(-x))
