@@ -27,7 +27,9 @@ def welch_t_test(df: DataFrame, value: str, group: str, first: str, second: str,
     """Two-sided Welch two-sample t test of ``value`` between two groups.
 
     ``t = (m1 - m2) / sqrt(v1/n1 + v2/n2)`` with Welch-Satterthwaite df;
-    NULL values are dropped (``drop_na``). One aggregate pass, one row out.
+    NULL values are dropped (``drop_na``). One aggregate pass, one row out;
+    ``estimate`` is the difference of the means, and ``with_p`` adds the
+    p-value and the 95% interval of the difference.
     """
     d = df.filter(F.col(value).isNotNull() & F.col(group).isin(first, second))
     g = d.groupBy().agg(*[e for lvl, tag in ((first, "a"), (second, "b")) for e in (
@@ -42,10 +44,13 @@ def welch_t_test(df: DataFrame, value: str, group: str, first: str, second: str,
                        F.try_divide(se2a ** 2, (F.col("n_a") - 1).cast("double"))
                        + F.try_divide(se2b ** 2, (F.col("n_b") - 1).cast("double")))
     out = g.select(F.lit(first).alias("group_a"), F.lit(second).alias("group_b"),
-                   "n_a", "n_b", "mean_a", "mean_b", t.alias("t"), dof.alias("df"))
+                   "n_a", "n_b", "mean_a", "mean_b", (F.col("mean_a") - F.col("mean_b")).alias("estimate"),
+                   t.alias("t"), dof.alias("df"), F.sqrt(se2a + se2b).alias("__se"))
     if with_p:
-        out = out.withColumn("p_value", t_two_sided_p(F.col("t"), F.col("df")))
-    return out
+        reach = _t_reach_udf(F.col("df")) * F.col("__se")
+        out = out.withColumns({"p_value": t_two_sided_p(F.col("t"), F.col("df")),
+                               "conf_low": F.col("estimate") - reach, "conf_high": F.col("estimate") + reach})
+    return out.drop("__se")
 
 
 def _betacf(a, b, x, iters=300):
@@ -124,6 +129,27 @@ def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
 _t_p_udf = _lazy_pandas_udf(_t_p, "double")
 
 
+def t_quantile(dof: np.ndarray, level: float = 0.95) -> np.ndarray:
+    """|t| beyond which a share ``1 - level`` of Student's t lies (bisection)."""
+    lo, hi = np.zeros_like(dof), np.full_like(dof, 1e6)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        over = t_sf_two_sided(mid, dof) > 1 - level
+        lo, hi = np.where(over, mid, lo), np.where(over, hi, mid)
+    return (lo + hi) / 2
+
+
+def _t_reach(dof: pd.Series) -> pd.Series:
+    out = pd.Series(np.nan, index=dof.index)
+    ok = dof.notna()
+    if ok.any():
+        out[ok] = t_quantile(dof[ok].to_numpy(dtype=float))
+    return out
+
+
+_t_reach_udf = _lazy_pandas_udf(_t_reach, "double")
+
+
 def t_two_sided_p(t: Column, dof: Column) -> Column:
     return _t_p_udf(t, dof)
 

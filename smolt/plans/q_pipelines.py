@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from smolt.operators import movement as M
+from smolt.operators import reshape as R
 from smolt.operators import windows as W
 from smolt.plans.common import STATS, rounded, stats_sql
 from smolt.plans.registry import query
@@ -210,10 +211,17 @@ MOVE_COLS = ["time_prev", "prev_rkm", "next_rkm", "time_next", "dist_traveled",
              "speed_bodyL_secs", "time_diff_days", "speed_km_day"]
 
 
+RELEASE_RKM = 120.5  # fixed value: river km given to the release rows
+
+
 @query("movement_metrics", f"""
-WITH b AS (SELECT tag, site, ts, tie, rkm, CAST(epoch_us(ts) - epoch_us(LAG(ts) {W_TAG}) AS DOUBLE) / 1e6 AS tp,
+WITH a AS (SELECT tag, site, ts, tie, rkm, LAG(site) {W_TAG} AS ps, LAG(rkm) {W_TAG} AS pr FROM ({CLEAN_SQL})),
+k AS (SELECT tag, site, ts, tie, rkm FROM a WHERE rkm < pr AND site <> ps
+      UNION ALL SELECT tag, 'release', release_ts, -1, {RELEASE_RKM} FROM ({REL})
+      WHERE tag IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')),
+b AS (SELECT tag, site, ts, tie, rkm, CAST(epoch_us(ts) - epoch_us(LAG(ts) {W_TAG}) AS DOUBLE) / 1e6 AS tp,
              LAG(site) {W_TAG} AS ps, LAG(rkm) {W_TAG} AS prev_rkm, LEAD(rkm) {W_TAG} AS next_rkm,
-             CAST(epoch_us(LEAD(ts) {W_TAG}) - epoch_us(ts) AS DOUBLE) / 1e6 AS tn FROM ({CLEAN_SQL}))
+             CAST(epoch_us(LEAD(ts) {W_TAG}) - epoch_us(ts) AS DOUBLE) / 1e6 AS tn FROM k)
 SELECT tag, site, ts, tie, rkm, round(tp, 6) AS time_prev,
        CASE WHEN ps IS NULL THEN NULL WHEN site = ps THEN false ELSE true END AS transition,
        round(prev_rkm, 6) AS prev_rkm, round(next_rkm, 6) AS next_rkm, round(tn, 6) AS time_next,
@@ -223,7 +231,14 @@ SELECT tag, site, ts, tie, rkm, round(tp, 6) AS time_prev,
        round(CASE WHEN tp / 86400.0 = 0 THEN NULL ELSE (prev_rkm - rkm) / (tp / 86400.0) END, 6) AS speed_km_day
 FROM b""")
 def movement_metrics(spark, d):
+    """Both passes: metrics of the cleaned detections, then again over the
+    downstream transitions with the release rows put back."""
     c = _clean(spark, d).select("tag", "site", "ts", "tie", "rkm")
+    first = M.movement_metrics(c)
+    down = first.filter((F.col("rkm") < F.col("prev_rkm")) & F.col("transition")).select("tag", "site", "ts", "tie", "rkm")
+    released = T.releases(spark, d).join(_study(spark, d), "tag", "left_semi")
+    c = R.add_event_rows(down, released, "tag", "ts", "release_ts",
+                         {"site": "release", "tie": F.lit(-1).cast("long"), "rkm": F.lit(RELEASE_RKM)})
     return rounded(M.movement_metrics(c), MOVE_COLS)
 
 

@@ -14,7 +14,7 @@ from smolt.plans.registry import query
 from smolt.plans.sqlparts import DET, SITES
 from smolt.sources import tables as T
 
-WELCH_COLS = ["mean_a", "mean_b", "t", "df"]
+WELCH_COLS = ["mean_a", "mean_b", "estimate", "t", "df"]
 
 
 @query("welch_t_test", """
@@ -24,7 +24,7 @@ WITH s AS (SELECT count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n_a, avg(CA
                   var_samp(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS var_b
            FROM orders WHERE o_totalprice IS NOT NULL AND o_orderstatus IN ('F', 'O'))
 SELECT 'F' AS group_a, 'O' AS group_b, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b,
-       round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
+       round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_a - mean_b, 6) AS estimate,
        round((mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b), 6) AS t,
        round(pow(var_a / n_a + var_b / n_b, 2) / (pow(var_a / n_a, 2) / (n_a - 1) + pow(var_b / n_b, 2) / (n_b - 1)), 6) AS df
 FROM s""")
@@ -35,7 +35,8 @@ def welch_t_test(spark, d):
 
 @query("welch_t_test_p")
 def welch_t_test_p(spark, d):
-    """Same test with the two-sided p-value (t distribution, Arrow UDF)."""
+    """Same test with the two-sided p-value and the interval of the difference
+    (t distribution, Arrow UDF)."""
     o = T.table(spark, d, "orders")
     return St.welch_t_test(o, "o_totalprice", "o_orderstatus", "F", "O", with_p=True)
 

@@ -151,3 +151,20 @@ def test_checked_broadcast(spark):
             assert (checked_broadcast(dim) is not dim) == hinted
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_welch_interval(spark):
+    """Against the interval's definition: the t test of the difference less
+    either end gives p = 0.05."""
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(5, 2, 40), rng.normal(6, 3, 25)
+    df = spark.createDataFrame([("a", float(x)) for x in a] + [("b", float(x)) for x in b], "g string, x double")
+    r = St.welch_t_test(df, "x", "g", "a", "b", with_p=True).collect()[0]
+    assert r["estimate"] == pytest.approx(a.mean() - b.mean())
+    se = r["estimate"] / r["t"]
+    for end in (r["conf_low"], r["conf_high"]):
+        t = np.array([(r["estimate"] - end) / se])
+        assert St.t_sf_two_sided(t, np.array([r["df"]]))[0] == pytest.approx(0.05, abs=1e-9)
+    assert (r["conf_low"] < 0 < r["conf_high"]) == (r["p_value"] > 0.05)
+    # fixed value: the 97.5% point of t with 10 degrees of freedom
+    assert St.t_quantile(np.array([10.0]))[0] == pytest.approx(2.2281388520, abs=1e-8)
