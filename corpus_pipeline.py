@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smolt.llm import packing, quality, simhash, suffixes, toxicity
-from smolt.llm.common import fresh, written
-from smolt.session import ship_package
+from smolt.llm.common import fresh, prepare, written
 
 #: Bits by which near-duplicates may differ, words of a shingle, words of a repeated passage.
 BITS, SHINGLE, PASSAGE = 4, 4, 50
@@ -30,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below 0.5, with a model learnt
     from the labelled ones among ``docs``. Null and empty texts stay."""
-    ship_package(spark)
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, ~toxicity.fold(F.col("doc_id")))
     score, = fresh(docs, "_toxicity")
@@ -40,21 +39,21 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash class (null ids
     last, then the first row)."""
-    ship_package(spark)
+    prepare(spark)
     return simhash.keep_one(docs, SHINGLE, BITS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with passages of 50 words or more cut wherever they
     occur a second time; n_chars counts the text that is left."""
-    ship_package(spark)
+    prepare(spark)
     return suffixes.remove_repeats(docs, PASSAGE, chars_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full sequences of 2048 tokens, with their ids."""
     from public_tokenizers import path
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs, path("word_bpe_49k.json"))
 
 

@@ -246,7 +246,7 @@ def encode(docs: DataFrame, model_file: str, power: float = 1.0, seed: int = 0,
         pieces = load(model_file, power)
         for b in batches:
             texts, seeds = b.column(2).to_pylist(), b.column(1).to_numpy().view(np.uint64)
-            for lo, hi in chunks([t or "" for t in texts], 1 << 20):
+            for lo, hi in chunks([t or "" for t in texts], 1 << 18):
                 found = sample_batch(pieces, [t or "" for t in texts[lo:hi]], seeds[lo:hi])
                 ids = [None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts[lo:hi], found)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()),

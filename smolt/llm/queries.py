@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smolt.llm import language, maxent, packing, pieces, quality, sharding, simhash, suffixes, topk, toxicity
-from smolt.llm.common import documents
+from smolt.llm.common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,8 +104,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 
 @query("op6_cover_tree_topk", TOP_K_SQL)
 def op6_cover_tree_topk(spark, d):
-    from smolt.session import ship_package
-    ship_package(spark)
+    prepare(spark)
     return topk.top_k(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("id") % 100 == 0, k=10)
 
 
