@@ -122,10 +122,28 @@ def op8_histogram_sharding(spark, d):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op9_suffix_dedup")
+# all windows of 50 words, without suffixes: independent of the operator
+PASSAGES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS s FROM d WHERE len(ws) >= 50),
+w AS (SELECT doc_id, s, md5(array_to_string(ws[s + 1:s + 50], ' ')) AS g FROM p),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1 AS earlier, count(*) OVER (PARTITION BY g) AS n FROM w),
+t AS (SELECT doc_id, s, earlier FROM r WHERE n > 1),
+i AS (SELECT doc_id, s, earlier, sum(CASE WHEN s - q <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island
+      FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS q FROM t)),
+c AS (SELECT doc_id, island, count(DISTINCT j) AS n FROM (SELECT doc_id, island, unnest(range(s, s + 50)) AS j FROM i WHERE earlier) GROUP BY doc_id, island)
+SELECT doc_id, min(s)::INTEGER AS start, (max(s) + 50 - min(s))::INTEGER AS length, coalesce(any_value(c.n), 0)::BIGINT AS cut_words
+FROM i LEFT JOIN c USING (doc_id, island) GROUP BY doc_id, island"""
+
+
+@query("op9_suffix_dedup", PASSAGES_SQL)
 def op9_suffix_dedup(spark, d):
-    found = suffixes.passages(documents(spark, d))
-    return found.select(F.col("id").alias("doc_id"), F.col("h").alias("text_hash"), "spans", "cuts")
+    """One row per repeated span (in words); cut_words of it occur earlier."""
+    found = suffixes.passages(documents(spark, d)).select(F.col("id").alias("doc_id"), F.explode("spans").alias("s"), "cuts")
+    end = lambda x: x["start"] + x["length"]
+    cut = F.aggregate("cuts", F.lit(0).cast("long"), lambda n, c: n + F.greatest(
+        F.lit(0), F.least(end(c), end(F.col("s"))) - F.greatest(c["start"], F.col("s")["start"])))
+    return found.select("doc_id", F.col("s.start").alias("start"), F.col("s.length").alias("length"), cut.alias("cut_words"))
 
 
 @query("op10_simhash")
