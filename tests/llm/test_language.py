@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from smolt.llm import language as L
+from llm_fixtures import odd, table  # noqa: F401
 
 
 def brute_grams(text, n):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smolt.llm import maxent as M
+from llm_fixtures import odd, table  # noqa: F401
 
 
 def tokens(text):

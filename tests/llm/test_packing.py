@@ -6,6 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 
 from smolt.llm import packing
+from llm_fixtures import odd, table  # noqa: F401
 
 VOCAB = path("word_bpe_49k.json")
 

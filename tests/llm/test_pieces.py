@@ -7,6 +7,7 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 
 from smolt.llm import pieces as P
+from llm_fixtures import odd, table  # noqa: F401
 
 MODEL = path("piece_bpe_32k.model")
 

@@ -5,6 +5,7 @@ import corpus_pipeline as C
 from test_packing import check
 from test_simhash import expected as simhash_classes
 from test_suffixes import brute
+from llm_fixtures import odd, table  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smolt.llm import sharding as S
+from llm_fixtures import odd, table  # noqa: F401
 
 
 def check(rows, docs, shards, slack):

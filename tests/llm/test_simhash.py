@@ -3,6 +3,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from smolt.llm import simhash
+from llm_fixtures import odd, table  # noqa: F401
 
 
 def fingerprint(text, k):

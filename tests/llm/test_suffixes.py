@@ -7,6 +7,7 @@ import pytest
 
 from smolt.llm import suffixes as S
 from smolt.llm.tokens import Words, bytes_of
+from llm_fixtures import odd, table  # noqa: F401
 
 
 def brute(rows, least):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smolt.llm import toxicity as X
+from llm_fixtures import odd, table  # noqa: F401
 
 WORDS = "the cat sat on a mat and the dog ran to a stupid person idiot moron scum trash people read books every day".split()
 
