@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from smolt.session import scratch_dir, ship_package
 
 #: Characters that separate words, as a character class.
 SPACE = r"\x20\x09-\x0D"
-WORD = rf"[^{SPACE}]+"
 
 
 #: Rows of an Arrow batch: texts of a few KB then take some 10 MB in a Python worker.
@@ -42,8 +40,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(text)
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: the worker stays
+    for later tasks, beside the JVM of its executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

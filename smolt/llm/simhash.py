@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smolt.llm.common import fresh, written
+from smolt.llm.common import fresh, give_back, written
 from smolt.llm.graph import Forest, components
 from smolt.llm.packing import chunks
 
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
             fps = [fingerprints_of(texts[lo:hi], shingle) for lo, hi in chunks(texts, 1 << 20)]
             fp = np.concatenate(fps) if fps else np.zeros(0, _U)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(
@@ -203,7 +204,8 @@ def links(fps: DataFrame, budget: int, cell: int = CELL) -> DataFrame:
         out = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": pa.array(x[out].view(np.int64)), "b": pa.array(x[label[out]].view(np.int64))})
 
-    return (fps.select("fp").mapInArrow(deal, "pair int, side int, fps binary")
+    # a stated number of partitions: few bytes a pair, but much work, so pairs must not be merged into few tasks
+    return (fps.select("fp").mapInArrow(deal, "pair int, side int, fps binary").repartition(len(pairs), "pair")
             .groupBy("pair").applyInArrow(join, "a long, b long"))
 
 
