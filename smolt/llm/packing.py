@@ -23,9 +23,9 @@ from smolt.llm.common import written
 #: Tokens of a full sequence, and the id that ends each document.
 WINDOW, END_ID = 2048, 1
 #: Words whose ids one worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 #: Bytes of text tokenized at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 class WordIds:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from smolt.llm.common import fresh, written
+from smolt.llm.common import fresh, give_back, written
 from smolt.llm.tokens import Words, bytes_of, text_chunks
 
 LEAST = 50
@@ -131,6 +131,7 @@ def retained(docs: DataFrame, least: int, window: int, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[p].view(np.int64)), b.column(0).take(take), b.column(1).take(take),
                      pa.array((p - w.row[text]).astype(np.int32))], ["key", "id", "h", "p"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return _scan(docs, id_col, text_col).mapInArrow(run, f"key long, id {kind}, h long, p int")

@@ -91,7 +91,7 @@ class Words:
         return ranges(self.hash, GRAM_BASE, lo, lo + n)
 
 
-def text_chunks(at: np.ndarray, most: int = 2 << 20):
+def text_chunks(at: np.ndarray, most: int = 1 << 19):
     """(lo, hi) of consecutive texts with about ``most`` bytes together."""
     lo, n = 0, len(at) - 1
     while lo < n:

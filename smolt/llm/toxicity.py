@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from smolt.llm.common import remainder, written
+from smolt.llm.common import give_back, remainder, written
 
 # What a character may stand for, besides itself.
 LEET = {
@@ -142,7 +142,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 class Restorer:
     """Restored words of texts; each distinct word is decoded once."""
 
-    def __init__(self, counts: dict[str, int], most: int = 500_000):
+    def __init__(self, counts: dict[str, int], most: int = 200_000):
         self.model, self.most, self.known = CharModel(counts), most, {}
 
     def word(self, raw: str) -> str:
@@ -305,6 +305,8 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "toxi
         for texts in batches:
             x = np.array([restore.features(t or "", weights, seen) for t in texts]).reshape(-1, len(theta))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ theta, -30, 30))), dtype="float64")
+        del restore, seen
+        give_back()
 
     return docs.withColumn(out, scored(F.col(text_col).cast("string")))
 
