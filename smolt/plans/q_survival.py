@@ -277,6 +277,13 @@ def real_estimates(spark, d):
     return rounded(S.real_estimates(fits), ["real", "real_lcl", "real_ucl"])
 
 
+@query("real_estimates_fitted")
+def real_estimates_fitted(spark, d):
+    """Real-scale estimates of the fitted Phi(~group)p(~1) per region; the
+    key without the suffix maps fixed betas, as its SQL states them."""
+    return S.real_estimates(_fits(spark, d, [("group", "dot")]))
+
+
 # independent of the operator: every possible history of every cohort is listed
 @query("gof_stats", f"""
 WITH {LL_CTE}, b AS ({LL_BASE}),
