@@ -259,6 +259,16 @@ def model_rank(spark, d):
     return rounded(t, ["neg2lnl", "aic", "aicc", "bic", "delta_aicc", "weight"])
 
 
+@query("model_rank_fitted")
+def model_rank_fitted(spark, d):
+    """Ranking of the six fitted models of every region; the key without the
+    suffix ranks one deviance at fixed parameters, as its SQL states it."""
+    # the bounded frequency table feeds the fits and the sample sizes
+    freq = reuse_small(dataset_frequencies(spark, d))
+    fits = S.fit_models(freq, "grp", SEGMENTS, K, MODELS)
+    return S.model_table(fits, H.effective_sample_size(freq, K, ["dataset"]))
+
+
 @query("real_estimates", f"""
 WITH r AS (SELECT DISTINCT dataset FROM ({FREQ_DS_SQL})),
 b AS (SELECT * FROM (VALUES (1, 'Phi:(Intercept)', 0.9, 0.11), (2, 'Phi:groupX', -1.7, 0.45), (3, 'p:(Intercept)', 2.3, 0.08)) AS t(i, label, b, se))

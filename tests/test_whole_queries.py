@@ -33,3 +33,15 @@ def test_real_estimates_are_fitted_per_region(spark, fitted):
         assert r["estimate"] == pytest.approx(beta[i], abs=1e-4) and r["se"] == pytest.approx(se[i], rel=1e-2, abs=1e-3)
     first = {r["dataset"]: r["estimate"] for r in rows if r["beta_index"] == 1}
     assert len(set(first.values())) == len(first)
+
+
+def test_model_rank_ranks_the_fitted_grid(spark, fitted):
+    rows = run(spark, "model_rank_fitted")
+    assert {(r["dataset"], r["model"]) for r in rows} == set(fitted) and len(rows) == len(fitted)
+    for r in rows:
+        n2, k = fitted[r["dataset"], r["model"]][3:5]
+        assert r["neg2lnl"] == pytest.approx(n2, abs=1e-3) and r["k"] == k
+        assert r["aicc"] == pytest.approx(n2 + 2 * k + 2 * k * (k + 1) / (r["ess"] - k - 1), abs=1e-3)
+    for ds in {r["dataset"] for r in rows}:
+        own = [r for r in rows if r["dataset"] == ds]
+        assert min(r["delta_aicc"] for r in own) == 0 and sum(r["weight"] for r in own) == pytest.approx(1)
