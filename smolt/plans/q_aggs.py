@@ -124,6 +124,21 @@ def pivot_count_distinct(spark, d):
     return p.select("site", *[F.when(F.col(s) > 0, F.col(s)).cast("long").alias(s) for s in SEGMENTS])
 
 
+@query("pivot_count_distinct_all", f"""
+SELECT d.site, {', '.join(f"CAST(NULLIF(count(DISTINCT CASE WHEN t.release_group = '{s}' THEN d.tag END), 0) AS BIGINT) AS {s}" for s in SEGMENTS)}
+FROM ({DET}) d JOIN ({TAGS}) t ON d.tag = t.tag GROUP BY d.site""")
+def pivot_count_distinct_all(spark, d):
+    """Over all detections; the key without the suffix keeps those above 99.7
+    alone, as its SQL states."""
+    return _distinct_tags(T.detections(spark, d).join(T.tags(spark, d), "tag"))
+
+
+def _distinct_tags(j):
+    """Distinct tags by site x release group; a cell without a tag is NULL, not 0."""
+    p = A.pivot_agg(j, ["site"], "release_group", SEGMENTS, F.count_distinct("tag"))
+    return p.select("site", *[F.when(F.col(s) > 0, F.col(s)).cast("long").alias(s) for s in SEGMENTS])
+
+
 @query("pivot_sum", """
 WITH l AS (SELECT l_orderkey, l_linestatus, NULLIF(l_quantity, 50) AS q FROM lineitem)
 SELECT l_orderkey,

@@ -5,7 +5,9 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF001
 from smolt.operators import survival as S
+from smolt.plans import q_aggs
 from smolt.plans import q_survival as Q
+from smolt.sources import tables as T
 
 
 def run(spark, key):
@@ -45,3 +47,21 @@ def test_model_rank_ranks_the_fitted_grid(spark, fitted):
     for ds in {r["dataset"] for r in rows}:
         own = [r for r in rows if r["dataset"] == ds]
         assert min(r["delta_aicc"] for r in own) == 0 and sum(r["weight"] for r in own) == pytest.approx(1)
+
+
+def test_pivot_counts_the_tags_of_all_detections(spark):
+    group = {r["tag"]: r["release_group"] for r in T.tags(spark, SF001).collect()}
+    cells = {}
+    for r in T.detections(spark, SF001).select("site", "tag").collect():
+        if r["tag"] in group:
+            cells.setdefault(r["site"], {}).setdefault(group[r["tag"]], set()).add(r["tag"])
+    got = {r.pop("site"): r for r in run(spark, "pivot_count_distinct_all")}
+    assert got == {site: {s: len(c[s]) if s in c else None for s in q_aggs.SEGMENTS} for site, c in cells.items()}
+
+
+def test_pivot_cell_without_a_tag_is_null(spark):
+    seen = [("a", "x", "BUILDING"), ("a", "x", "BUILDING"), ("a", "y", "BUILDING"), ("b", "x", "MACHINERY")]
+    got = {r["site"]: r.asDict() for r in q_aggs._distinct_tags(
+        spark.createDataFrame(seen, "site string, tag string, release_group string")).collect()}
+    assert got["a"]["BUILDING"] == 2 and got["a"]["MACHINERY"] is None
+    assert got["b"]["MACHINERY"] == 1 and got["b"]["BUILDING"] is None
