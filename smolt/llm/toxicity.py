@@ -38,7 +38,9 @@ KEEP, STAND_IN, DROP, OTHER = math.log(0.9), math.log(0.2), math.log(0.3), math.
 ORDER = 4
 _EDGE = "\"'`.,;:?!*#%&()[]{}<>=~-_/\\|^"
 _LEFT = _EDGE.replace("!", "").replace("|", "")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£])(?:[ \t]+(?:[^\W_]|[@$!|+(€£])){2,}(?!\S)")
+# a single character with marks around it: a letter or digit, or else a stand-in
+_SINGLE = r"(?:(?:[^\w\s]|_)*+[^\W_](?:[^\w\s]|_)*+(?!\S)|(?:[^\w\s@$!|+(€£]|_)*+\(?[@$!|+(€£](?:[^\w\s]|_)*+(?!\S))"
+_SPACED = re.compile(rf"(?<!\S){_SINGLE}(?:[ \t]+{_SINGLE}){{2,}}")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _GAPPED = re.compile(r"^(?:[^\W_]|[@$!|+(€£]){1,2}(?:[-._*~'`^/\\,]+(?:[^\W_]|[@$!|+(€£]){1,2}){2,}$")
 
@@ -74,31 +76,47 @@ def grams(word: str) -> Iterator[str]:
             yield w[i - n + 1:i + 1]
 
 
-def decode(span: str, model: CharModel) -> str:
+def decode(span: str, model: CharModel, breaks: bool = False) -> str:
     """The likeliest word behind ``span``: Viterbi over (last letters) states.
 
     Each character keeps, becomes a stand-in's letter, or is dropped (a gap,
-    or a repeat of the letter before it in a run of three or more).
+    or a repeat of the letter before it in a run of three or more). With
+    ``breaks`` a gap may also end a word: the likeliest words, set apart by
+    blanks. Paths are shared, so the cost is linear in the length.
     """
     runs, at = [1] * len(span), 0
     for i in range(1, len(span) + 1):
         if i == len(span) or span[i] != span[at]:
             runs[at:i] = [i - at] * (i - at)
             at = i
-    best: dict[str, tuple[float, str]] = {"\x02": (0.0, "")}
+    best: dict[str, tuple[float, tuple | None]] = {"\x02": (0.0, None)}
     for i, c in enumerate(span):
         outs = [(c, KEEP if c.isalpha() else OTHER)] + [(x, STAND_IN) for x in LEET.get(c, "")]
-        after: dict[str, tuple[float, str]] = {}
+        after: dict[str, tuple[float, tuple | None]] = {}
         for h, (p, word) in best.items():
-            steps = [(h[-(ORDER - 2):] + x, p + q + model.logp(h, x), word + x) for x, q in outs]
+            steps = [(h[-(ORDER - 2):] + x, p + q + model.logp(h, x), (word, x)) for x, q in outs]
             repeat = i and span[i - 1] == c and runs[i] > 2
-            if c in GAPS or c.isspace() or repeat:
+            gap = c in GAPS or c.isspace()
+            if gap or repeat:
                 steps.append((h, p + DROP, word))
+            if breaks and gap and h != "\x02":
+                steps.append(("\x02", p + DROP + model.logp(h, "\x03"), (word, " ")))
             for s, q, w in steps:
                 if s not in after or q > after[s][0]:
                     after[s] = (q, w)
         best = after
-    return max((p + model.logp(h, "\x03"), w) for h, (p, w) in best.items())[1]
+    # with breaks, a path may end with a break: its last word is complete
+    ends = [(p + (0.0 if breaks and h == "\x02" else model.logp(h, "\x03")), w) for h, (p, w) in best.items()]
+    top = max(p for p, _ in ends)
+    return max(_letters(w) for p, w in ends if p == top)
+
+
+def _letters(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def disguised(word: str) -> bool:
@@ -110,8 +128,14 @@ def disguised(word: str) -> bool:
 
 
 def spaced(text: str) -> list[str]:
-    """Spans of three or more single characters set apart by blanks."""
-    return [m[0] for m in _SPACED.finditer(text)]
+    """Spans of three or more single characters set apart by blanks, without
+    the marks around them."""
+    return [" ".join(_single(t) for t in m[0].split()) for m in _SPACED.finditer(text)]
+
+
+def _single(token: str) -> str:
+    """The letter or digit of a token of ``_SPACED``, or else its stand-in."""
+    return next((c for c in token if c.isalnum()), None) or next((c for c in token if c in "@$!|+€£"), "(")
 
 
 def entries(word: str) -> list[str]:
@@ -123,6 +147,12 @@ def best(word: str, weights: dict[str, float]) -> float:
     return max(weights.get(e, 0.0) for e in entries(word))
 
 
+def inside(word: str, weights: dict[str, float], longest: int) -> float:
+    """The strongest entry that stands anywhere in ``word``, of three letters or more."""
+    return max((weights[e] for i in range(len(word)) for j in range(i + 3, min(len(word), i + longest) + 1)
+                if (e := word[i:j]) in weights), default=0.0)
+
+
 def features(hits: list[float], n_words: int) -> list[float]:
     """What the curve sees of a text: its hits' weights and its length."""
     return [1.0, max(hits, default=0.0), min(sum(hits), 40.0), math.log1p(len(hits)), math.log1p(n_words)]
@@ -143,7 +173,7 @@ class Restorer:
     """Restored words of texts; each distinct word is decoded once."""
 
     def __init__(self, counts: dict[str, int], most: int = 200_000):
-        self.model, self.most, self.known = CharModel(counts), most, {}
+        self.model, self.most, self.known, self.longest = CharModel(counts), most, {}, 0
 
     def word(self, raw: str) -> str:
         if raw not in self.known:
@@ -155,10 +185,28 @@ class Restorer:
             self.known[raw] = decode(w, self.model) if disguised(w) else w
         return self.known[raw]
 
+    def span(self, s: str) -> list[str]:
+        """The words of a spaced span, then the span read as one word."""
+        whole = decode(s, self.model)
+        words = decode(s, self.model, True).split() if any(c.isalpha() for c in s) else []
+        return [*(words if words != [whole] else []), whole]
+
     def words(self, text: str) -> list[str]:
         """The restored text's words: in order, then those of spaced spans."""
         text = text.lower()
-        return [self.word(w) for w in text.split()] + [decode(s, self.model) for s in spaced(text)]
+        return [self.word(w) for w in text.split()] + [w for s in spaced(text) for w in self.span(s)]
+
+    def span_hits(self, s: str, weights: dict[str, float]) -> list[float]:
+        """Weights of a spaced span's words; of the span as one word, or of an
+        entry anywhere in it, where that is stronger. Spans mostly of digits
+        are not searched for entries: tables of digits would hit by chance."""
+        *words, whole = self.span(s)
+        hits = [p for w in words if (p := best(w, weights))]
+        other = best(whole, weights)
+        if sum(c.isalpha() for c in s) * 2 > len(s.split()):
+            self.longest = self.longest or max(map(len, weights), default=1)
+            other = max(other, inside(whole, weights, self.longest), inside("".join(words), weights, self.longest))
+        return [*hits, other] if other > max(hits, default=0.0) else hits
 
     def features(self, text: str, weights: dict[str, float], seen: dict[str, float]) -> list[float]:
         """``features`` of a text; ``seen`` remembers raw words' weights."""
@@ -172,7 +220,7 @@ class Restorer:
                 p = seen[w] = best(self.word(w), weights)
             if p:
                 hits.append(p)
-        hits += [p for s in set(spaced(text)) if (p := best(decode(s, self.model), weights))]
+        hits += [p for s in set(spaced(text)) for p in self.span_hits(s, weights)]
         return features(hits, len(raw))
 
 

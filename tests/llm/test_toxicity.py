@@ -31,6 +31,33 @@ def test_spaced_spans(grams):
     assert X.spaced("a cat is on a mat") == []
 
 
+@pytest.mark.parametrize("text,word", [
+    ("you are a l o s e r today", "loser"), ("eres y s t u p i d o", "stupido"), ("y o u a r e s t u p i d", "stupid"),
+    ('"s t u p i d"', "stupid"), ("such s t u p i d, yes", "stupid")])
+def test_spaced_words_beside_single_characters_and_marks(grams, text, word):
+    """The word's weight is found, however its neighbours are written."""
+    weights = {word: 3.0}
+    got = X.Restorer(grams).features(text, weights, {})
+    assert got[:3] == [1.0, 3.0, 3.0]
+
+
+def test_spaced_spans_are_split_into_words():
+    words = "you are a stupid person loser and the dog ran".split() * 20
+    grams = {}
+    for w in words:
+        for g in X.grams(w):
+            grams[g] = grams.get(g, 0) + 1
+    got = X.Restorer(grams).words('they said: "y o u a r e 5 t u p 1 d", and a l o s e r.')
+    assert {"you", "are", "stupid", "loser"} <= set(got)
+    assert X.spaced('(c u n) ! d !0 "x, 5 7') == ["c u n ! d 0 x 5 7"]
+    assert X.spaced("(. a b") == ["( a b"]
+    assert X.spaced("!" * 20_000 + " a b") == ["! a b"]
+
+
+def test_long_spans_cost_in_proportion(grams):
+    assert len(X.Restorer(grams).span(" ".join("stupid" * 5_000))[-1]) > 10_000
+
+
 def test_viterbi_is_the_best_path(grams):
     """Against every reading of the lattice."""
     m = X.CharModel(grams)
