@@ -42,6 +42,10 @@ _LEFT = _EDGE.replace("!", "").replace("|", "")
 _SINGLE = r"(?:(?:[^\w\s]|_)*+[^\W_](?:[^\w\s]|_)*+(?!\S)|(?:[^\w\s@$!|+(€£]|_)*+\(?[@$!|+(€£](?:[^\w\s]|_)*+(?!\S))"
 _SPACED = re.compile(rf"(?<!\S){_SINGLE}(?:[ \t]+{_SINGLE}){{2,}}")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
+_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+# marks between words: all, and those that stand for no letter
+_MARK = re.compile(r"[\W_]+")
+_GLUE = re.compile(r"(?:[^\w@$!|+(€£¡]|_)+")
 _GAPPED = re.compile(r"^(?:[^\W_]|[@$!|+(€£]){1,2}(?:[-._*~'`^/\\,]+(?:[^\W_]|[@$!|+(€£]){1,2}){2,}$")
 
 
@@ -120,11 +124,16 @@ def _letters(path: tuple | None) -> str:
 
 
 def disguised(word: str) -> bool:
-    """Whether a trimmed word mixes letters with stand-ins, stretches a
-    letter, or sets its letters apart."""
+    """Whether a trimmed word of any length mixes letters with stand-ins,
+    stretches a letter, or sets its letters apart."""
     if word.isalpha():
         return bool(_STRETCHED.search(word))
-    return len(word) <= 40 and (bool(_GAPPED.match(word)) or any(c.isalpha() for c in word) and any(c in LEET for c in word))
+    return bool(_GAPPED.match(word)) or any(c.isalpha() for c in word) and any(c in LEET for c in word)
+
+
+def collapsed(word: str) -> str:
+    """``word`` with runs of one character cut to three, which decode alike."""
+    return _RUN.sub(r"\1\1\1", word)
 
 
 def spaced(text: str) -> list[str]:
@@ -173,18 +182,37 @@ class Restorer:
     """Restored words of texts; each distinct word is decoded once."""
 
     def __init__(self, counts: dict[str, int], most: int = 200_000):
-        self.model, self.most, self.known, self.longest = CharModel(counts), most, {}, 0
+        self.model, self.most, self.known, self.glued, self.longest = CharModel(counts), most, {}, {}, 0
 
     def word(self, raw: str) -> str:
         if raw not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
+                self.glued.clear()
             w = raw if raw.isalpha() else raw.rstrip(_EDGE).lstrip(_LEFT)
             if w.endswith("$$$"):
                 w = w.rstrip("$")
-            self.known[raw] = decode(w, self.model) if disguised(w) else w
+            self.known[raw] = self._read(w)
+            if _MARK.search(w) and disguised(w) and (glued := self._split(w, self.known[raw])):
+                self.glued[raw] = glued
         return self.known[raw]
 
+    def _read(self, w: str) -> str:
+        return decode(collapsed(w), self.model) if disguised(w) else w
+
+    def _split(self, w: str, word: str) -> list[str]:
+        """Words that marks glue together in ``w``: read with word ends at
+        gaps, and, unless its letters are set apart, mark by mark."""
+        found = _MARK.split(decode(collapsed(w), self.model, True))
+        if not _GAPPED.match(w):
+            found += [self._read(x) for x in _GLUE.split(w)]
+        return [x for x in dict.fromkeys(found) if x and x != word]
+
+    def parts(self, raw: str) -> list[str]:
+        """The restored word, then the words that marks glue together in it."""
+        word = self.word(raw)
+        return [word, *self.glued.get(raw, ())]
+
     def span(self, s: str) -> list[str]:
         """The words of a spaced span, then the span read as one word."""
         whole = decode(s, self.model)
@@ -194,7 +222,7 @@ class Restorer:
     def words(self, text: str) -> list[str]:
         """The restored text's words: in order, then those of spaced spans."""
         text = text.lower()
-        return [self.word(w) for w in text.split()] + [w for s in spaced(text) for w in self.span(s)]
+        return [x for w in text.split() for x in self.parts(w)] + [w for s in spaced(text) for w in self.span(s)]
 
     def span_hits(self, s: str, weights: dict[str, float]) -> list[float]:
         """Weights of a spaced span's words; of the span as one word, or of an
@@ -217,7 +245,7 @@ class Restorer:
             if p is None:
                 if len(seen) >= self.most:
                     seen.clear()
-                p = seen[w] = best(self.word(w), weights)
+                p = seen[w] = max(best(x, weights) for x in self.parts(w))
             if p:
                 hits.append(p)
         hits += [p for s in set(spaced(text)) for p in self.span_hits(s, weights)]

@@ -54,6 +54,18 @@ def test_spaced_spans_are_split_into_words():
     assert X.spaced("!" * 20_000 + " a b") == ["! a b"]
 
 
+@pytest.mark.parametrize("seen", [
+    "1d10" + "0" * 40 + "t", "1" + "-" * 10 + "d" + "-" * 10 + "1" + "_" * 12 + "0" + "." * 15 + "t",
+    "the-people-read-books/every-day/1d10t/and-the-dog-ran-to-a-mat", "people=the:dog;1d10t=every:day?books=person&people=the"])
+def test_long_tokens_are_decoded(grams, seen):
+    assert len(seen) > 40 and X.Restorer(grams).features(seen, {"idiot": 3.0}, {})[1] == 3.0
+
+
+def test_long_tokens_cost_in_proportion(grams):
+    assert X.Restorer(grams).words("a1-b2/" * 5_000)
+    assert X.Restorer(grams).word("1d10" + "0" * 1_000_000 + "t") == "idiot"
+
+
 def test_long_spans_cost_in_proportion(grams):
     assert len(X.Restorer(grams).span(" ".join("stupid" * 5_000))[-1]) > 10_000
 
