@@ -321,3 +321,13 @@ def gof_stats(spark, d):
     g = S.gof_stats(freq, fixed_params(freq, ["dataset"]), "grp", K, kk, ["dataset"])
     return rounded(rounded(g, ["neg2lnl", "deviance", "c_hat", "pearson_chat", "s_bar", "fletcher_chat"]).withColumn(
         "pearson_chisq", F.round("pearson_chisq", 5)), [])
+
+
+@query("gof_stats_fitted")
+def gof_stats_fitted(spark, d):
+    """Goodness of fit of Phi(~1)p(~1) per region at the fitted values; the
+    key without the suffix takes fixed parameters, as its SQL states them."""
+    freq = reuse_small(dataset_frequencies(spark, d))
+    fits = reuse_small(S.fit_models(freq, "grp", SEGMENTS, K, [("dot", "dot")]))
+    kk = fits.groupBy("dataset").agg(F.first("k").alias("k"))
+    return S.gof_stats(freq, S.fitted_params(fits, K).drop("model"), "grp", K, kk, ["dataset"])

@@ -65,3 +65,16 @@ def test_pivot_cell_without_a_tag_is_null(spark):
         spark.createDataFrame(seen, "site string, tag string, release_group string")).collect()}
     assert got["a"]["BUILDING"] == 2 and got["a"]["MACHINERY"] is None
     assert got["b"]["MACHINERY"] == 1 and got["b"]["BUILDING"] is None
+
+
+def test_goodness_of_fit_is_that_of_the_fitted_model(spark, fitted):
+    freq = Q.dataset_frequencies(spark, SF001).toPandas()
+    rows = run(spark, "gof_stats_fitted")
+    assert {r["dataset"] for r in rows} == {ds for ds, _ in fitted} and len(rows) == len(set(r["dataset"] for r in rows))
+    for r in rows:
+        n2, k = fitted[r["dataset"], "Phi(~dot)p(~dot)"][3:5]
+        own = freq[freq["dataset"] == r["dataset"]]
+        cohorts = len(set(zip(own["grp"], own["ch"].str.index("1"))))
+        assert r["neg2lnl"] == pytest.approx(n2, abs=1e-3)
+        assert r["deviance_df"] == len(own) - cohorts - k
+        assert r["c_hat"] == pytest.approx(r["deviance"] / r["deviance_df"])
