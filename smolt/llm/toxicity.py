@@ -260,13 +260,26 @@ def _counts(c: Counter, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names)
 
 
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of words, weighted by the words' counts."""
+    for b in batches:
+        c: Counter = Counter()
+        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            w = w.strip(_EDGE)
+            if len(w) <= 20 and w.isalpha() and not _STRETCHED.search(w):
+                for g in grams(w):
+                    c[g] += n
+        yield _counts(c, ["e", "n"])
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
           rows: int = 20_000, entries_most: int = 50_000, grams_most: int = 200_000) -> dict:
     """Fit the character model, the entries' weights and the curve.
 
     ``learn`` tells of a label row's id whether it may be used. Bounds: at
     most about ``rows`` labelled rows of each class (chosen by a hash of the
-    id), ``entries_most`` entries and ``grams_most`` character n-grams. Rows
+    id), ``entries_most`` entries and ``grams_most`` character n-grams, the
+    most frequent over the texts of all ``docs``, labelled or not. Rows
     with a null id, label or text teach nothing; an id with several labels
     counts as toxic if one of them says so. A quarter of the sample (equal
     texts together) only fits the curve, on entries that the rest chose. An
@@ -288,17 +301,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = size.get(1, 0), sum(v for k, v in size.items() if k != 1)
 
-    def count_grams(batches):
-        c: Counter = Counter()
-        for b in batches:
-            for t in _texts(b, 0):
-                for w in set(t.lower().split()):
-                    w = w.strip(_EDGE)
-                    if len(w) <= 20 and w.isalpha() and not _STRETCHED.search(w):
-                        c.update(grams(w))
-        yield _counts(c, ["e", "n"])
-
-    found = (sample.select("text").mapInArrow(count_grams, "e string, n long").groupBy("e").agg(F.sum("n").alias("n"))
+    # each word of the corpus is cut into n-grams once, with the number of its texts
+    text = F.lower(F.col(text_col).cast("string"))
+    words = docs.select(F.explode(F.array_distinct(F.split(text, r"[\s\x1C-\x1F\x85\p{Z}]+"))).alias("w")).groupBy("w").count()
+    found = (words.mapInArrow(_word_grams, "e string, n long").groupBy("e").agg(F.sum("n").alias("n"))
              .orderBy(F.desc("n"), "e").limit(grams_most).collect())
     model = {r["e"]: r["n"] for r in found}
     # without hits: the classes' odds; replaced by the fitted curve below

@@ -105,6 +105,18 @@ def test_held_out_accuracy(spark):
     assert sum(r["predicted"] and not r["toxic"] for r in held) <= 0.03 * len(held)
 
 
+def test_the_character_model_counts_all_documents(spark, table):
+    """Also texts without a label, and a word once for each text."""
+    texts = ["the cat sat", "the zebra and the zebra", None, "a qu1ck walk, zebra."]
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    got = X.train(table(list(enumerate(texts))), labels, F.lit(True))["grams"]
+    want = {}
+    for w in ["the", "cat", "sat", "the", "zebra", "and", "a", "walk", "zebra"]:
+        for g in X.grams(w):
+            want[g] = want.get(g, 0) + 1
+    assert got == want
+
+
 def test_odd_tables(spark, table, odd):
     docs = table(odd)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
