@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smolt.llm import language, maxent, packing, pieces, quality, sharding, simhash, suffixes, topk, toxicity
+from smolt.llm import language, maxent, merkle, packing, pieces, quality, sharding, simhash, suffixes, topk, toxicity
 from smolt.llm.common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,44 @@ def op9_suffix_dedup(spark, d):
 def op10_simhash(spark, d):
     return simhash.simhash_components(documents(spark, d), shingle=4, budget=4).select(
         "doc_id", "fingerprint", F.col("component").alias("component_id"))
+
+
+# level by level, one recursive step each; crc32 bit by bit
+MERKLE_SQL = r"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, n_chars,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS tail,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) % 7 = 0 AS tampered FROM documents),
+h AS (SELECT *, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+  sha256(head || coalesce(strlen((n_chars + CASE WHEN tampered THEN 1 ELSE 0 END)::VARCHAR) || ':' || (n_chars + CASE WHEN tampered THEN 1 ELSE 0 END), '-') || tail) AS held FROM l),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM h),
+node AS (SELECT g, 0 AS h, pos, n, leaf AS d FROM o
+  UNION ALL SELECT g, h + 1, pos // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY g, h, pos // 2, n),
+sub AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+top AS (SELECT 0 AS h, pos, n, d FROM sub
+  UNION ALL SELECT h + 1, pos // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY h, pos // 2, n),
+way AS (SELECT doc_id, leaf, g, 0 AS h, pos, n, pos AS own, held AS fold, '' AS proof FROM o
+  UNION ALL SELECT w.doc_id, w.leaf, w.g, w.h + 1, w.pos // 2, (w.n + 1) // 2, own,
+    sha256(CASE WHEN w.pos % 2 = 1 THEN s.d || fold ELSE fold || coalesce(s.d, '') END), proof || coalesce(s.d, '')
+  FROM way w LEFT JOIN node s ON s.g = w.g AND s.h = w.h AND s.pos = xor(w.pos, 1) WHERE w.n > 1),
+up AS (SELECT w.doc_id, w.leaf, w.g, 0 AS h, s.pos, s.n, own, fold, proof, s.d AS subroot FROM way w JOIN sub s USING (g) WHERE w.n = 1
+  UNION ALL SELECT u.doc_id, u.leaf, u.g, u.h + 1, u.pos // 2, (u.n + 1) // 2, own,
+    sha256(CASE WHEN u.pos % 2 = 1 THEN s.d || fold ELSE fold || coalesce(s.d, '') END), proof || coalesce(s.d, ''), subroot
+  FROM up u LEFT JOIN top s ON s.h = u.h AND s.pos = xor(u.pos, 1) WHERE u.n > 1)
+SELECT doc_id, leaf, subroot, (SELECT d FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+       fold = (SELECT d FROM top WHERE n = 1) AS verified FROM up WHERE n = 1"""
+
+
+@query("op12_merkle", MERKLE_SQL)
+def op12_merkle(spark, d):
+    docs = documents(spark, d)
+    cols = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    held = merkle.leaf(*{**cols, "n_chars": F.col("n_chars") + 1}.values())
+    found = merkle.manifest(docs, merkle.leaf(*cols.values()), cols["lang"], cols["doc_id"], F.when(tampered, held))
+    text = lambda c: F.lower(F.hex(c))
+    return found.select(F.col("key").alias("doc_id"), *[text(c).alias(c) for c in ("leaf", "subroot", "root")],
+                        F.sha2(text("siblings"), 256).alias("proof_sha256"), text("folded").alias("folded_root"),
+                        (F.col("folded") == F.col("root")).alias("verified"))
