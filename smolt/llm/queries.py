@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smolt.llm import language, maxent, merkle, packing, pieces, quality, sharding, simhash, suffixes, topk, toxicity
+from smolt.llm import collocations, language, maxent, merkle, packing, pieces, quality, sharding, simhash, suffixes, topk, toxicity
 from smolt.llm.common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,33 @@ def op12_merkle(spark, d):
     return found.select(F.col("key").alias("doc_id"), *[text(c).alias(c) for c in ("leaf", "subroot", "root")],
                         F.sha2(text("siblings"), 256).alias("proof_sha256"), text("folded").alias("folded_root"),
                         (F.col("folded") == F.col("root")).alias("verified"))
+
+
+# phrases of one to three words counted by themselves; products in 128 bits
+PHRASE_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+q AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f1 AS (SELECT lang, w1, count(*) AS a FROM (SELECT lang, unnest(w) AS w1 FROM q) GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS a FROM (SELECT lang, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM q))
+       GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS a FROM (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3
+         FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM q)) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.a, 1 AS k, x.a AS l, y.a AS r FROM f2
+        JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+        WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.a >= 50 * f2.a)
+          AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.a >= 50 * f2.a)
+      UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.a, 1, x.a, y.a FROM f3
+        JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+      UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.a, 2, x.a, y.a FROM f3
+        JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+s AS (SELECT *, 1000000::HUGEINT * a * a // (l::HUGEINT * r) AS score FROM c),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM o JOIN (SELECT lang, sum(a) AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_collocations", PHRASE_SQL)
+def op13_collocations(spark, d):
+    return collocations.mine(documents(spark, d), F.col("text"), F.col("lang")).withColumnRenamed("g", "lang")
