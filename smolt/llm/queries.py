@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smolt.llm import collocations, language, maxent, merkle, packing, pieces, quality, sharding, simhash, suffixes, topk, toxicity
+from smolt.llm import collocations, language, maxent, merkle, packing, pieces, quality, sharding, simhash, subspaces, suffixes, topk, toxicity
 from smolt.llm.common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,27 @@ def op10_simhash(spark, d):
         "doc_id", "fingerprint", F.col("component").alias("component_id"))
 
 
+# all pairs of a label
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+e AS (SELECT * FROM r WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(v, lambda x: x <> 0)) > 0),
+k AS (SELECT a.rid, b.rid AS other, b.vec_id FROM e a JOIN e b ON a.label = b.label AND a.rid <> b.rid AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+w AS (SELECT rid, rid AS other FROM r UNION SELECT w.rid, k.other FROM w JOIN k ON k.rid = w.other),
+c AS (SELECT w.rid, min(r.vec_id) AS component_id FROM w JOIN r ON r.rid = w.other GROUP BY w.rid)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM r JOIN c USING (rid) LEFT JOIN (SELECT rid, count(*) AS n FROM k GROUP BY rid) USING (rid)"""
+
+
+@query("op11_subspaces", NEAR_VECTORS_SQL)
+def op11_subspaces(spark, d):
+    prepare(spark)
+    found = subspaces.near_duplicates(spark.read.parquet(f"{d}/embeddings.parquet"), 0.93)
+    return found.select(F.col("id").alias("vec_id"), F.col("links").alias("n_links"), F.col("component").alias("component_id"),
+                        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 # level by level, one recursive step each; crc32 bit by bit
 MERKLE_SQL = r"""
 WITH RECURSIVE l AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, n_chars,
