@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 
 from smolt.operators.histories import first_last_occ
 
-# Formula kinds the reference fits: ``~1``, ``~release`` (group), ``~time``.
+#: Formula kinds: whether it has an intercept, and its factor. With an
+#: intercept a factor's first level is the reference (treatment coding);
+#: without one every level has a column (cell means).
+TERMS = {"dot": (True, None), "group": (True, "group"), "time": (True, "time"),
+         "-1+group": (False, "group"), "-1+time": (False, "time")}
 KINDS = ("dot", "group", "time")
 Z95 = 1.96  # the listing's 95% interval multiplier
 #: Betas beyond this are boundary estimates (a rate within 0.0001 of 0 or 1);
@@ -33,37 +37,32 @@ BOUND, FLAT = 9.21, 1e-5
 
 FIT_SCHEMA = ("dataset string, model string, param string, beta_index int, label string, "
               "estimate double, se double, lcl double, ucl double, neg2lnl double, "
-              "k int, n_betas int, converged boolean, iterations int, levels string, at_bound boolean")
+              "k int, n_betas int, converged boolean, iterations int, levels string, at_bound boolean, vcov array<double>")
 
 
 # ------------------------------------------------------------ design
 
-def design_rows(kind: str, param: str, levels: Sequence[str], k: int):
-    """Labels and design matrix rows for one parameter.
+def occasions(param: str, k: int) -> list[int]:
+    """Phi of interval j -> j+1 for j = 1..K-1, p of occasions 2..K."""
+    return list(range(1, k)) if param == "Phi" else list(range(2, k + 1))
 
-    Rows are ordered (group, occasion): Phi occasions 1..K-1 (interval
-    j -> j+1), p occasions 2..K. Treatment contrasts, first level as
-    reference (R's default).
-    """
-    occs = list(range(1, k)) if param == "Phi" else list(range(2, k + 1))
-    if kind == "dot":
-        labels = [f"{param}:(Intercept)"]
-    elif kind == "group":
-        labels = [f"{param}:(Intercept)"] + [f"{param}:group{g}" for g in levels[1:]]
-    elif kind == "time":
-        labels = [f"{param}:(Intercept)"] + [f"{param}:time{t}" for t in occs[1:]]
-    else:
+
+def design_terms(kind: str, levels: Sequence[str], occs: Sequence[int]) -> list[tuple]:
+    """Columns of a formula kind: (name, factor or None, level)."""
+    if kind not in TERMS:
         raise ValueError(f"unknown formula kind {kind!r}")
-    rows = []
-    for gi, g in enumerate(levels):
-        for t in occs:
-            x = [1.0]
-            if kind == "group":
-                x += [1.0 if gi == j else 0.0 for j in range(1, len(levels))]
-            elif kind == "time":
-                x += [1.0 if t == o else 0.0 for o in occs[1:]]
-            rows.append((g, t, x))
-    return labels, rows
+    intercept, factor = TERMS[kind]
+    values = {"group": levels, "time": occs}.get(factor, [])
+    return ([("(Intercept)", None, None)] if intercept else []) + [(f"{factor}{v}", factor, v) for v in values[int(intercept):]]
+
+
+def design_rows(kind: str, param: str, levels: Sequence[str], k: int):
+    """Labels and design matrix rows (group, occasion, x) for one parameter,
+    ordered by group and occasion."""
+    occs = occasions(param, k)
+    terms = design_terms(kind, levels, occs)
+    rows = [(g, t, [1.0 if f is None or {"group": g, "time": t}[f] == v else 0.0 for _, f, v in terms]) for g in levels for t in occs]
+    return [f"{param}:{name}" for name, _, _ in terms], rows
 
 
 def design_data(freq: DataFrame, group: str, k: int, extra: Sequence[str] = ()) -> DataFrame:
@@ -84,19 +83,6 @@ def design_data(freq: DataFrame, group: str, k: int, extra: Sequence[str] = ())
     return out.withColumn("age", (F.col("occasion") - F.col("cohort")).cast("int"))
 
 
-def design_matrix(spark, levels: Sequence[str], k: int, kinds: Sequence[str] = KINDS) -> DataFrame:
-    """Long design matrix: (formula, param, group, occasion, beta, x)."""
-    rows = []
-    for kind in kinds:
-        for param in ("Phi", "p"):
-            labels, drows = design_rows(kind, param, list(levels), k)
-            for g, t, x in drows:
-                for lab, v in zip(labels, x):
-                    rows.append((kind, param, g, t, lab, float(v)))
-    return spark.createDataFrame(
-        rows, "formula string, param string, grp string, occasion int, beta string, x double")
-
-
 # ------------------------------------------------------------ likelihood as columns
 
 def loglik_column(ch: Column, phi: Column, p: Column, k: int) -> Column:
@@ -307,9 +293,19 @@ def _hessian(grad, x, h=1e-5):
 def fit_cjs(stats: pd.DataFrame, group: str, levels: Sequence[str], k: int,
             phi_kind: str, p_kind: str, max_iter: int = 500, cap: float = 25.0,
             ftol: float = 1e-10):
+    """``fit_cov`` without the covariances: (labels, beta, se, neg2lnl,
+    k_estimable, converged, iterations)."""
+    labels, beta, cov, *rest = fit_cov(stats, group, levels, k, phi_kind, p_kind, max_iter, cap, ftol)
+    return labels, beta, np.sqrt(np.clip(np.diag(cov), 0, None)), *rest
+
+
+def fit_cov(stats: pd.DataFrame, group: str, levels: Sequence[str], k: int,
+            phi_kind: str, p_kind: str, max_iter: int = 500, cap: float = 25.0,
+            ftol: float = 1e-10):
     """Maximum likelihood by damped Newton from zero betas.
 
-    Returns (labels, beta, se, neg2lnl, k_estimable, converged, iterations).
+    Returns (labels, beta, covariances, neg2lnl, k_estimable, converged,
+    iterations).
     Analytic gradient, Hessian by central differences of the gradient.
     Non-identifiable betas make the Hessian singular: the step uses the
     eigen-decomposition with small eigenvalues floored, and k counts the
@@ -356,8 +352,7 @@ def fit_cjs(stats: pd.DataFrame, group: str, levels: Sequence[str], k: int,
     keep = w > tol
     kest = int(keep.sum())
     cov = (V[:, keep] / w[keep]) @ V[:, keep].T
-    se = np.sqrt(np.clip(np.diag(cov), 0, None))
-    return lphi + lp, beta, se, 2.0 * f(beta), kest, converged, it
+    return lphi + lp, beta, cov, 2.0 * f(beta), kest, converged, it
 
 
 def fit_models(freq: DataFrame, group: str, levels: Sequence[str], k: int,
@@ -384,8 +379,9 @@ def fit_models(freq: DataFrame, group: str, levels: Sequence[str], k: int,
         if unknown:
             raise ValueError(f"undeclared group levels: {sorted(unknown)}")
         present = [v for v in lv if v in set(pdf[group].astype(str))]
-        labels, beta, se, n2, kest, conv, it = fit_cjs(
+        labels, beta, cov, n2, kest, conv, it = fit_cov(
             pdf.assign(**{group: pdf[group].astype(str)}), group, present, k, a, b)
+        se = np.sqrt(np.clip(np.diag(cov), 0, None))
         return pd.DataFrame({
             "dataset": ds, "model": model,
             "param": [lab.split(":")[0] for lab in labels],
@@ -394,7 +390,7 @@ def fit_models(freq: DataFrame, group: str, levels: Sequence[str], k: int,
             "lcl": beta - Z95 * se, "ucl": beta + Z95 * se,
             "neg2lnl": n2, "k": np.int32(kest), "n_betas": np.int32(len(labels)),
             "converged": conv, "iterations": np.int32(it), "levels": "|".join(present),
-            "at_bound": bool(np.abs(beta).max() > BOUND)})
+            "at_bound": bool(np.abs(beta).max() > BOUND), "vcov": cov.tolist()})
 
     # the table is tiny, so AQE would coalesce it into one task and run the
     # fits one after another; an explicit partition count spreads the

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from smolt.operators import designs as D
 from smolt.operators import histories as H
+from smolt.operators import scores as C
 from smolt.operators import survival as S
 from smolt.plans.common import rounded
 from smolt.plans.registry import query
@@ -130,9 +132,49 @@ SELECT formula, param, grp, occasion, beta, CAST(x AS DOUBLE) AS x
 FROM (SELECT * FROM one UNION ALL SELECT * FROM grps UNION ALL SELECT * FROM tms)""")
 def design_matrix(spark, d):
     """Design rows of the three formula kinds for the groups in the data."""
-    dm = S.design_matrix(spark, SEGMENTS, K)
-    groups = frequencies(spark, d).select("grp").distinct()
-    return dm.join(groups, "grp")
+    return _design(frequencies(spark, d), S.KINDS)
+
+
+def _design(freq, kinds):
+    """Every kind for both parameters, a row for each of its columns."""
+    long = D.design_long(D.design_table(freq, "grp", K, [(kind, kind) for kind in kinds]))
+    formula = F.regexp_extract("model", r"p\(~(.*)\)$", 1)
+    return long.where(F.col("beta").startswith(F.concat("param", F.lit(":")))).select(formula.alias("formula"), "param", "grp", "occasion", "beta", "x")
+
+
+@query("design_cell_means", f"""
+WITH g AS (SELECT DISTINCT grp FROM ({FREQ_SQL})),
+r AS (SELECT 'Phi' AS param, grp, CAST(o AS INTEGER) AS occasion FROM g, range(1, {K}) s(o)
+      UNION ALL SELECT 'p', grp, CAST(o AS INTEGER) FROM g, range(2, {K + 1}) s(o))
+SELECT '-1+group' AS formula, param, r.grp, occasion, param || ':group' || g.grp AS beta, CASE WHEN r.grp = g.grp THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM r, g
+UNION ALL
+SELECT '-1+time', r.param, r.grp, r.occasion, r.param || ':time' || t.occasion, CASE WHEN r.occasion = t.occasion THEN 1.0 ELSE 0.0 END::DOUBLE
+FROM r JOIN (SELECT DISTINCT param, occasion FROM r) t ON r.param = t.param""")
+def design_cell_means(spark, d):
+    """Cell-means coding: a column for every level, no intercept."""
+    return _design(frequencies(spark, d), ("-1+group", "-1+time"))
+
+
+INDEXED = [("dot", "dot"), ("group", "dot"), ("group", "group"), ("time", "time"), ("group", "-1+time"), ("-1+group", "-1+time")]
+_INDEXED_SQL = ", ".join(f"('{D.model_name(a, b)}', '{a[-5:]}', '{b[-5:]}')" for a, b in INDEXED)
+
+
+# cells numbered by a window; a design is named by the level of its factor (all kinds have full rank)
+@query("parameter_index", f"""
+WITH g AS (SELECT DISTINCT dataset, grp FROM ({FREQ_DS_SQL})),
+c AS (SELECT dataset, grp, CAST(c AS INTEGER) AS cohort, param, q, CAST(o AS INTEGER) AS occasion
+      FROM g, range(1, {K}) r(c), range(1, {K + 1}) s(o), (VALUES ('Phi', 0), ('p', 1)) AS t(param, q)
+      WHERE o >= c + q AND o < {K} + q),
+n AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY q, grp, cohort, occasion) AS different FROM c),
+m AS (SELECT n.*, model, param || ' ' || CASE CASE q WHEN 0 THEN fphi ELSE fp END WHEN 'group' THEN grp WHEN '+time' THEN occasion::VARCHAR
+        WHEN 'time' THEN occasion::VARCHAR ELSE '' END AS design FROM n, (VALUES {_INDEXED_SQL}) AS f(model, fphi, fp)),
+s AS (SELECT *, min(different) OVER (PARTITION BY dataset, model, design) AS opened FROM m)
+SELECT dataset, model, param, grp, cohort, occasion, CAST(occasion - cohort AS INTEGER) AS age, CAST(different AS INTEGER) AS different,
+       CAST(dense_rank() OVER (PARTITION BY dataset, model ORDER BY opened) AS INTEGER) AS simple FROM s""")
+def parameter_index(spark, d):
+    """Triangular index matrices of every region: all different, and
+    simplified to the distinct designs of six models."""
+    return D.parameter_index(dataset_frequencies(spark, d), "grp", K, INDEXED, ["dataset"])
 
 
 LL_BASE = (f"SELECT dataset, ch, grp, n, instr(ch, '1') AS f, {K} + 1 - instr(reverse(ch), '1') AS l FROM ({FREQ_DS_SQL})")
@@ -331,3 +373,65 @@ def gof_stats_fitted(spark, d):
     fits = reuse_small(S.fit_models(freq, "grp", SEGMENTS, K, [("dot", "dot")]))
     kk = fits.groupBy("dataset").agg(F.first("k").alias("k"))
     return S.gof_stats(freq, S.fitted_params(fits, K).drop("model"), "grp", K, kk, ["dataset"])
+
+
+def _score_sql():
+    """One SELECT per parameter: the derivative of ln P(history) in the
+    parameter, history by history, times the logit's derivative."""
+    out = []
+    for m in range(1, K):
+        tail = "CASE l " + " ".join(
+            f"WHEN {j} THEN {' * '.join(['1.0'] + [f'phi{q} * (1 - p{q + 1})' for q in range(j, m)])} / chi{j}" for j in range(1, m + 1)) + " ELSE 0 END"
+        live = f"CASE WHEN {m} >= f AND {m} < l THEN 1 / phi{m} ELSE 0 END + {tail} * (chi{m + 1} * (1 - p{m + 1}) - 1)"
+        seen = (f"CASE WHEN {m + 1} > f AND {m + 1} <= l THEN CASE WHEN substr(ch, {m + 1}, 1) = '1' THEN 1 / p{m + 1} ELSE -1 / (1 - p{m + 1}) END "
+                f"ELSE 0 END - {tail} * phi{m} * chi{m + 1}")
+        for param, occ, x, body in (("Phi", m, f"phi{m}", live), ("p", m + 1, f"p{m + 1}", seen)):
+            out.append(f"SELECT dataset, grp, '{param}' AS param, {occ} AS occasion, round(sum(n * {x} * (1 - {x}) * ({body})), 6) AS score "
+                       "FROM b JOIN pc USING (grp) GROUP BY dataset, grp")
+    return " UNION ALL ".join(out)
+
+
+@query("cjs_score", f"WITH {LL_CTE}, b AS ({LL_BASE}) {_score_sql()}")
+def cjs_score(spark, d):
+    """Derivative of the log-likelihood in the logit of every parameter of
+    every region and group, at the parameters of ``cjs_loglik``."""
+    freq = reuse_small(dataset_frequencies(spark, d))
+    return rounded(C.cjs_score(freq, fixed_params(freq, ["dataset"]), "grp", K, ["dataset"]), ["score"])
+
+
+@query("cjs_fit_score")
+def cjs_fit_score(spark, d):
+    """Score and observed information at the fitted betas of every region and
+    model: the check of a fit without the fitter."""
+    freq = reuse_small(dataset_frequencies(spark, d))
+    fits = reuse_small(S.fit_models(freq, "grp", SEGMENTS, K, MODELS))
+    return C.fitted_score(freq, fits, D.design_table(freq, "grp", K, MODELS, ["dataset"]), "grp", K)
+
+
+@query("real_parameters", f"""
+WITH h AS ({LL_BASE}),
+g AS (SELECT dataset, grp, sum(CASE WHEN f < {K} THEN n ELSE 0 END) + 1 AS of, sum(CASE WHEN l > f THEN n ELSE 0 END) + 0.5 AS hit,
+             sum(n * greatest(l - f - 1, 0)) AS gaps, sum(n * length(replace(substr(ch, f + 1, greatest(l - f - 1, 0)), '0', ''))) AS caught FROM h GROUP BY dataset, grp),
+q AS (SELECT dataset, sum(gaps) + 1 AS of, sum(caught) + 0.5 AS hit FROM g GROUP BY dataset),
+r AS (SELECT dataset, 'Phi' AS param, grp, CAST(o AS INTEGER) AS occasion, hit::DOUBLE / of AS e, of::DOUBLE AS of FROM g, range(1, {K}) s(o)
+      UNION ALL SELECT dataset, 'p', grp, CAST(o AS INTEGER), q.hit::DOUBLE / q.of, q.of::DOUBLE FROM g JOIN q USING (dataset), range(2, {K + 1}) s(o))
+SELECT dataset, 'Phi(~group)p(~dot)' AS model, param, grp, occasion, round(e, 6) AS estimate, round(sqrt(e * (1 - e) / of), 6) AS se,
+       round(1 / (1 + exp(-(ln(e / (1 - e)) - {S.Z95} / sqrt(of * e * (1 - e))))), 6) AS lcl,
+       round(1 / (1 + exp(-(ln(e / (1 - e)) + {S.Z95} / sqrt(of * e * (1 - e))))), 6) AS ucl FROM r""")
+def real_parameters(spark, d):
+    """Real parameters with standard error and interval per region, group and
+    occasion, from betas and covariances that the counts give in closed form;
+    the SQL takes the binomial shares directly."""
+    freq = reuse_small(dataset_frequencies(spark, d))
+    fits = D.return_rates(freq, "grp", K, ["dataset"])
+    out = D.real_parameters(fits, D.design_table(freq, "grp", K, [("group", "dot")], ["dataset"]))
+    return rounded(out, ["estimate", "se", "lcl", "ucl"])
+
+
+@query("real_parameters_fitted")
+def real_parameters_fitted(spark, d):
+    """Real parameters of the six fitted models of every region, with
+    standard errors from the fits' covariances."""
+    freq = reuse_small(dataset_frequencies(spark, d))
+    fits = S.fit_models(freq, "grp", SEGMENTS, K, MODELS)
+    return D.real_parameters(fits, D.design_table(freq, "grp", K, MODELS, ["dataset"]))

@@ -1,5 +1,6 @@
 """Queries that do the whole job beside the keys whose SQL states a part of it."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as E
@@ -78,3 +79,30 @@ def test_goodness_of_fit_is_that_of_the_fitted_model(spark, fitted):
         assert r["neg2lnl"] == pytest.approx(n2, abs=1e-3)
         assert r["deviance_df"] == len(own) - cohorts - k
         assert r["c_hat"] == pytest.approx(r["deviance"] / r["deviance_df"])
+
+
+def test_scores_vanish_at_the_fitted_betas(spark, fitted):
+    """Interior fits: the score is zero and the information positive."""
+    rows = run(spark, "cjs_fit_score")
+    assert {(r["dataset"], r["model"]) for r in rows} == set(fitted)
+    inside = 0
+    for (ds, model), (labels, beta, se, n2, k, *_) in fitted.items():
+        own = sorted((r["beta_index"], r["score"], r["information"]) for r in rows if (r["dataset"], r["model"]) == (ds, model))
+        assert len(own) == len(labels)
+        assert all(abs(s) < 1e-2 for _, s, _ in own)
+        if max(abs(beta)) < S.BOUND and k == len(labels):
+            info = np.array([h for *_, h in own])
+            assert np.linalg.eigvalsh((info + info.T) / 2).min() > 0
+            assert np.sqrt(np.diag(np.linalg.inv(info))) == pytest.approx(se, rel=1e-2)
+            inside += 1
+    assert inside
+
+
+def test_real_parameters_map_the_fits(spark, fitted):
+    rows = run(spark, "real_parameters_fitted")
+    assert {(r["dataset"], r["model"]) for r in rows} == set(fitted)
+    for r in rows:
+        if r["model"] == "Phi(~dot)p(~dot)":
+            beta, se = (x[0 if r["param"] == "Phi" else 1] for x in fitted[r["dataset"], r["model"]][1:3])
+            real = 1 / (1 + np.exp(-beta))
+            assert r["estimate"] == pytest.approx(real, abs=1e-5) and r["se"] == pytest.approx(real * (1 - real) * se, rel=1e-2)
