@@ -2,9 +2,10 @@
 
 Counts, sums, extremes, means and variances are hash aggregates with
 map-side partial aggregation, so a hot group is reduced in every input
-task task before the shuffle. Exact quantiles need order statistics: values are
-counted first, ranked by slices of the value range, and only the slices
-that hold a wanted rank are ranked value by value."""
+task before the shuffle. Exact quantiles need order statistics: a sketch of
+known rank error brackets every wanted rank, one more pass counts the values
+inside the brackets and the rows between them, and ranks follow from these
+counts."""
 
 from __future__ import annotations
 
@@ -35,24 +36,75 @@ def sum_by(df: DataFrame, by: Sequence[str], col: str, out: str = "total",
     return df.groupBy(*by).agg(expr.alias(out))
 
 
-#: Slices of the value range per unit of the natural logarithm.
-SLICES = 4096
+#: A quantile sketch's rank error is a group's rows divided by this. A group
+#: with more rows has its brackets from the sketch, 8 / ACCURACY of its rows
+#: wide; a smaller one is bracketed by its extremes.
+ACCURACY = 20_000
+_INF = float("inf")
 
 
-def _slice(x: Column) -> Column:
-    """A step function of a double that never decreases: neighbouring values
-    share a slice, about 0.02 % of their size wide. There are at most
-    16 million slices, whatever the number of values."""
-    step = lambda v: F.floor(F.ln(v) * F.lit(SLICES)) + F.lit(1000 * SLICES)
-    return (F.when(F.isnan(x), F.lit(2000 * SLICES)).when(x > 0, step(x)).when(x < 0, -step(-x)).otherwise(F.lit(0))).cast("long")
+def _key_join(rows: DataFrame, groups: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``rows`` with the group table's columns; without keys the one row of
+    the group table is a scalar subquery."""
+    if by:
+        return _join_by_keys(rows, groups.select(*by, *cols), by)
+    one = groups.select(F.struct(*cols).alias("s")).scalar()
+    return rows.withColumn("__one", one).select(*rows.columns, *[F.col("__one")[c].alias(c) for c in cols])
 
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Rows per (group, value) as ``__x`` and ``__c`` with the value's slice
-    ``__s``; NULL values are dropped. Partial aggregates run map-side."""
+def _sketched(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float], more: Sequence[Column] = ()) -> DataFrame:
+    """One aggregate per group: brackets ``__lo{k}``, ``__hi{k}`` that hold
+    the order statistics around quantile k, and the columns of ``more``."""
     x = F.col(value).cast("double")
-    return (df.filter(F.col(value).isNotNull()).select(*by, x.alias("__x")).groupBy(*by, "__x")
-              .agg(F.count(F.lit(1)).alias("__c")).withColumn("__s", _slice(F.col("__x"))))
+    wide = 4.0 / ACCURACY
+    ends = [e for p in probs for e in (max(0.0, p - wide), min(1.0, p + wide))]
+    # the sketch only compares; NaN goes with the infinities it follows
+    plain = F.when(F.isnan(x), F.lit(_INF)).otherwise(x)
+    g = df.groupBy(*by).agg(F.percentile_approx(plain, F.array(*map(F.lit, ends)), ACCURACY).alias("__q"), F.count(x).alias("__n"),
+                            F.min(x).alias("__min"), F.max(x).alias("__max"), *more)
+    small = F.col("__n") <= ACCURACY
+    cols = {}
+    for k in range(len(probs)):
+        lo, hi = F.col("__q")[2 * k], F.col("__q")[2 * k + 1]
+        cols[f"__lo{k}"] = F.when(small | (F.lit(ends[2 * k]) == 0), F.col("__min")).otherwise(lo)
+        cols[f"__hi{k}"] = F.when(small | (F.lit(ends[2 * k + 1]) == 1) | (hi == _INF), F.col("__max")).otherwise(hi)
+    return g.withColumns(cols).drop("__q", "__n", "__min", "__max")
+
+
+def _ranked(df: DataFrame, value: str, by: Sequence[str], groups: DataFrame, probs: Sequence[float], names: Sequence[str],
+            carry: Sequence[str] = ()) -> DataFrame:
+    """Quantiles from the brackets of ``_sketched``: (by..., carry...,
+    names...). ``carry`` are columns of ``groups``; with any, groups without
+    a value stay."""
+    by = list(by)
+    ks = range(len(probs))
+    bounds = [f"__{e}{k}" for k in ks for e in ("lo", "hi")]
+    x = F.col("__x")
+    df = df if carry else df.filter(F.col(value).isNotNull())
+    rows = _key_join(df.select(*by, F.col(value).cast("double").alias("__x")), groups, by, [*bounds, *carry])
+    inside = x.isNotNull() & _any([(x >= F.col(f"__lo{k}")) & (x <= F.col(f"__hi{k}")) for k in ks])
+    # rows between brackets count together, right after the bracket below them
+    below = [F.when(F.col(f"__hi{k}") < x, F.col(f"__hi{k}")) for k in ks]
+    below = F.greatest(*below) if len(below) > 1 else below[0]
+    counts = (rows.select(*by, *carry, F.when(inside, x).otherwise(below).alias("__x"), (~F.coalesce(inside, F.lit(False))).alias("__gap"),
+                          F.when(x.isNotNull(), 1).otherwise(0).alias("__one"))
+              .groupBy(*by, "__x", "__gap").agg(F.sum("__one").alias("__c"), *[F.first(c).alias(c) for c in carry]))
+    order = Window.partitionBy(*by).orderBy(F.col("__x").asc_nulls_first(), "__gap")
+    counts = counts.withColumns({"__up": F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+                                 "__n": F.sum("__c").over(Window.partitionBy(*by))})
+    h = [(F.col("__n") - 1).cast("double") * F.lit(float(p)) + 1 for p in probs]
+    ranks = [r for v in h for r in (F.floor(v).cast("long"), F.least(F.floor(v).cast("long") + 1, F.col("__n")))]
+    at = [(r > F.col("__up") - F.col("__c")) & (r <= F.col("__up")) for r in ranks]
+    picked = (counts if carry else counts.filter(_any(at))).groupBy(*by, "__n").agg(
+        *[F.first(c).alias(c) for c in carry], *[F.max(F.when(c, F.struct(F.col("__x").alias("x"), F.col("__gap").alias("gap")))).alias(f"__r{k}") for k, c in enumerate(at)])
+
+    def between(k: int, v: Column) -> Column:
+        a, b = F.col(f"__r{2 * k}"), F.col(f"__r{2 * k + 1}")
+        lost = a["gap"] | b["gap"]  # a bracket that misses its rank would be an error of the sketch
+        q = F.when(a["x"] == b["x"], a["x"]).otherwise(a["x"] + (v - F.floor(v)) * (b["x"] - a["x"]))
+        return F.when(lost, F.raise_error(F.lit("a quantile's bracket misses its rank")).cast("double")).otherwise(q)
+
+    return picked.select(*by, *carry, *[between(k, v).alias(nm) for k, (v, nm) in enumerate(zip(h, names))])
 
 
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str],
@@ -60,32 +112,15 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str],
     """Exact type-7 quantiles per group (R ``quantile``/``median``):
     ``h = (n - 1) p + 1``, ``q = x_(floor h) + (h - floor h)(x_(floor h + 1) - x_(floor h))``.
 
-    One plan at every size. Values are counted per (group, value) and the
-    counts summed per slice of the value range; a running sum over a group's
-    slices (a bounded number) finds the slices that hold a wanted rank. Only
-    their values are ranked one by one, per (group, slice). Ranks past an
-    infinite or NaN neighbour follow floating-point arithmetic. NULL values
-    are ignored; a group with no value is absent.
+    The input is read twice, at every size: one aggregate with a sketch of
+    known error brackets the wanted ranks, one counts the values inside the
+    brackets. Only those are ranked: 8 / ``ACCURACY`` of a large group's
+    rows for each quantile. Infinities are values like others, NaN is above
+    them; between two different neighbours floating-point arithmetic holds.
+    NULL values are ignored; a group with no value is absent.
     """
     by = list(by)
-    counts = value_counts(df, value, by)
-    group = Window.partitionBy(*by).orderBy("__s")
-    slices = (counts.groupBy(*by, "__s").agg(F.sum("__c").alias("__k"))
-              .withColumns({"__before": F.coalesce(F.sum("__k").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-                            "__n": F.sum("__k").over(Window.partitionBy(*by))}))
-    h = [(F.col("__n") - 1).cast("double") * F.lit(float(p)) + 1 for p in probs]
-    ranks = [r for x in h for r in (F.floor(x).cast("long"), F.least(F.floor(x).cast("long") + 1, F.col("__n")))]
-    held = [(r > F.col("__before")) & (r <= F.col("__before") + F.col("__k")) for r in ranks]
-    wanted = slices.filter(_any(held)).select(*by, "__s", "__before", "__n")
-    near = _join_by_keys(counts, wanted, [*by, "__s"])
-    inside = Window.partitionBy(*by, "__s").orderBy("__x")
-    near = near.withColumn("__hi", F.col("__before") + F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    at = [(r > F.col("__hi") - F.col("__c")) & (r <= F.col("__hi")) for r in ranks]
-    picked = near.filter(_any(at)).groupBy(*by, "__n").agg(
-        *[F.max(F.when(c, F.col("__x"))).alias(f"__r{k}") for k, c in enumerate(at)])
-    return picked.select(*by, *[
-        (F.col(f"__r{2 * k}") + (x - F.floor(x)) * (F.col(f"__r{2 * k + 1}") - F.col(f"__r{2 * k}"))).alias(nm)
-        for k, (x, nm) in enumerate(zip(h, names))])
+    return _ranked(df, value, by, _sketched(df, value, by, probs), probs, names)
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -115,17 +150,19 @@ def summarise_stats(df: DataFrame, by: Sequence[str], col: str,
     if not exact_median:
         return df.groupBy(*by).agg(*stats_exprs(col), F.percentile_approx(
             col, 0.5, accuracy).cast("double").alias("median"))
-    base = df.groupBy(*by).agg(*stats_exprs(col))
-    med = exact_quantiles(df, col, by, [0.5], ["median"])
-    if not by:
-        return base.select("*", med.select("median").scalar().alias("median"))
-    return _join_by(base, med, by)
+    return _with_median(df, col, by, stats_exprs(col), ["n", "min", "max", "mean", "sd"])
 
 
 def median_min_max(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """``summarise(median, min, max)`` with ``na.rm=TRUE`` (exact median)."""
-    base = df.groupBy(*by).agg(F.min(col).alias("min"), F.max(col).alias("max"))
-    return _join_by(base, exact_quantiles(df, col, by, [0.5], ["median"]), by)
+    return _with_median(df, col, list(by), [F.min(col).alias("min"), F.max(col).alias("max")], ["min", "max"])
+
+
+def _with_median(df: DataFrame, col: str, by: list[str], more: Sequence[Column], names: Sequence[str]) -> DataFrame:
+    base = _sketched(df, col, by, [0.5], more)
+    if by:
+        return _ranked(df, col, by, base, [0.5], ["median"], names)
+    return base.select(*names, _ranked(df, col, by, base, [0.5], ["median"]).select("median").scalar().alias("median"))
 
 
 def _join_by_keys(big: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -138,17 +175,6 @@ def _join_by_keys(big: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFr
     return big.join(sm, cond, "inner").drop(*[f"__k_{c}" for c in by])
 
 
-def _join_by(base: DataFrame, med: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Left join on the group keys with NULL-safe equality (a NULL group
-    is a group, as in ``group_by``)."""
-    m = med.select(*[F.col(c).alias(f"__m_{c}") for c in by], "median")
-    cond = None
-    for c in by:
-        e = F.col(c).eqNullSafe(F.col(f"__m_{c}"))
-        cond = e if cond is None else cond & e
-    return base.join(m, cond, "left").drop(*[f"__m_{c}" for c in by])
-
-
 def first_last(df: DataFrame, by: Sequence[str], ts: str,
                units: str = "hours") -> DataFrame:
     """First and last instant per group and the span between them.

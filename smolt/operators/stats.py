@@ -161,34 +161,20 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], coef: float = 1.
 
     Hinges are exact type-7 quantiles (``exact_quantiles``); whiskers are
     the most extreme values inside ``coef * IQR`` of the hinges; values
-    beyond are counted as outliers. The table is read through its value
-    counts; its rows are never joined to the groups.
+    beyond are counted as outliers, in one more aggregate over the table.
     """
-    from smolt.operators.aggregates import _join_by_keys, exact_quantiles, value_counts
+    from smolt.operators.aggregates import _key_join, exact_quantiles
     by = list(by)
-    q = exact_quantiles(df, value, by, [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
-    # whiskers from the distinct values: per slice of the value range first,
-    # then value by value only in the slices that a fence cuts
-    lo = F.col("lower") - F.lit(coef) * (F.col("upper") - F.col("lower"))
-    hi = F.col("upper") + F.lit(coef) * (F.col("upper") - F.col("lower"))
-    counts = value_counts(df, value, by)
-    slices = counts.groupBy(*by, "__s").agg(F.min("__x").alias("__a"), F.max("__x").alias("__z"), F.sum("__c").alias("__k"))
-    j = _join_by_keys(slices, q, by)
-    whole = (F.col("__a") >= lo) & (F.col("__z") <= hi)
-    none = (F.col("__z") < lo) | (F.col("__a") > hi)
-    cut = j.filter(~whole & ~none).select(*by, "__s", "lower", "middle", "upper")
+    hinges = ["lower", "middle", "upper"]
+    q = exact_quantiles(df, value, by, [0.25, 0.5, 0.75], hinges)
     x = F.col("__x")
-    inside = (x >= lo) & (x <= hi)
-    values = _join_by_keys(counts, cut, [*by, "__s"]).select(
-        *by, "lower", "middle", "upper", F.when(inside, x).alias("__a"), F.when(inside, x).alias("__z"),
-        F.col("__c").alias("__k"), (~inside).alias("__out"))
-    settled = j.filter(whole | none).select(
-        *by, "lower", "middle", "upper", F.when(whole, F.col("__a")).alias("__a"), F.when(whole, F.col("__z")).alias("__z"),
-        "__k", none.alias("__out"))
-    return settled.unionByName(values).groupBy(*by, "lower", "middle", "upper").agg(
-        F.sum("__k").alias("n"), F.min("__a").alias("ymin"), F.max("__z").alias("ymax"),
-        F.coalesce(F.sum(F.when(F.col("__out"), F.col("__k"))), F.lit(0)).alias("n_outliers")).select(
-        *by, "n", "ymin", "lower", "middle", "upper", "ymax", "n_outliers")
+    rows = _key_join(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x")), q, by, hinges)
+    reach = F.lit(coef) * (F.col("upper") - F.col("lower"))
+    inside = (x >= F.col("lower") - reach) & (x <= F.col("upper") + reach)
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(inside, x)).alias("ymin"), *[F.first(c).alias(c) for c in hinges],
+        F.max(F.when(inside, x)).alias("ymax"), F.count(F.when(~inside, F.lit(1))).alias("n_outliers")).select(
+        *by, "n", "ymin", *hinges, "ymax", "n_outliers")
 
 
 # ---------------------------------------------------------------- histograms
