@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from smolt.functions.scalars import timediff
+from smolt.functions.scalars import epoch_micros, timediff
 
 
 def checked_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -108,3 +108,48 @@ def dup_key_report(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") > 1))
+
+
+#: Bucket of instants that are NULL; they sort last and match nothing.
+_NO_TIME = 2 ** 62
+
+
+def last_before(samples: DataFrame, releases: DataFrame, key: str, sample_ts: str, release_ts: str,
+                ties: Sequence[str] = (), bucket_seconds: int = 30 * 86400) -> DataFrame:
+    """Best match of repeated keys (survey D13): every sample with the last
+    release of its key at or before the sample, NULL columns if there is
+    none. Of releases at the same instant the smallest by ``ties`` wins
+    (NULLs last). A NULL key or instant matches nothing; column names of the
+    two sides must differ but for the key.
+
+    Samples and releases are merged in time order per (key, bucket of
+    ``bucket_seconds``), so a key with very many rows is spread over its
+    buckets. Each bucket's last release is then carried to the later buckets
+    of the key, over one row per bucket; no row meets more than its bucket,
+    and no sample is multiplied by the releases of its key.
+    """
+    shared = (set(samples.columns) & set(releases.columns)) - {key}
+    if shared:
+        raise ValueError(f"columns on both sides: {sorted(shared)}")
+    mine, theirs = [c for c in samples.columns if c != key], [c for c in releases.columns if c != key]
+    s_type, r_type = (df.select(F.struct(*cols)).schema[0].dataType for df, cols in ((samples, mine), (releases, theirs)))
+    kind = samples.schema[key].dataType
+    s = samples.select(F.col(key).alias("__k"), F.struct(*mine).alias("__s"), F.lit(None).cast(r_type).alias("__r"),
+                       F.col(sample_ts).cast("timestamp").alias("__t"))
+    r = releases.where(F.col(key).isNotNull() & F.col(release_ts).isNotNull()).select(
+        F.col(key).cast(kind).alias("__k"), F.lit(None).cast(s_type).alias("__s"), F.struct(*theirs).alias("__r"),
+        F.col(release_ts).cast("timestamp").alias("__t"))
+    d = s.unionByName(r).withColumn("__b", F.coalesce(F.floor(epoch_micros("__t") / F.lit(bucket_seconds * 1_000_000)), F.lit(_NO_TIME)).cast("long"))
+    own = Window.partitionBy("__k", "__b")
+    # releases before samples of the same instant, the one that wins last
+    order = own.orderBy(F.col("__t").asc_nulls_last(), F.col("__s").isNotNull(), *[F.col("__r")[c].desc_nulls_first() for c in ties])
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumns({"__in": F.last("__r", True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+                       "__end": F.last("__r", True).over(order.rowsBetween(*whole)), "__n": F.row_number().over(order)})
+    edge = F.col("__n") == 1
+    buckets = Window.partitionBy("__k", F.when(edge, F.lit(None)).otherwise(F.col("__b"))).orderBy("__b")
+    d = d.withColumn("__carry", F.when(edge, F.last("__end", True).over(buckets.rowsBetween(Window.unboundedPreceding, -1))))
+    d = d.withColumn("__carry", F.first("__carry", True).over(own))
+    hit = F.when(F.col("__t").isNotNull() & F.col("__k").isNotNull(), F.coalesce("__in", "__carry"))
+    d = d.where(F.col("__s").isNotNull()).withColumn("__m", hit)
+    return d.select(F.col("__k").alias(key), *[F.col("__s")[c].alias(c) for c in mine], *[F.col("__m")[c].alias(c) for c in theirs])

@@ -30,13 +30,31 @@ def pit_recapture(releases: DataFrame, recaptures: DataFrame, key: str, release_
     ``max_elapsed`` (strictly less) of release, drop excluded treatments
     and label the release group."""
     j = recaptures.join(releases, key, "inner")
-    j = j.withColumn("time_diff", timediff(F.col(sample_ts), F.col(release_ts), units))
+    return label_recaptures(j, release_ts, sample_ts, treatment, max_elapsed, units, exclude, control, control_label, treated_label)
+
+
+def label_recaptures(matched: DataFrame, release_ts: str, sample_ts: str, treatment: str, max_elapsed: float = 60.0,
+                     units: str = "mins", exclude: Sequence[str] = (), control: Sequence[str] = ("control",),
+                     control_label: str = "control", treated_label: str = "archimedes") -> DataFrame:
+    """Elapsed time, filters and release group of matched recaptures."""
+    j = matched.withColumn("time_diff", timediff(F.col(sample_ts), F.col(release_ts), units))
     j = j.filter(F.col("time_diff") < F.lit(float(max_elapsed)))
     j = j.filter(not_in_safe(treatment, exclude))
     return j.withColumn("release_group", F.when(isin_safe(treatment, control), F.lit(control_label))
                         .otherwise(F.lit(treated_label)))
 
 
+def pit_best_match(releases: DataFrame, recaptures: DataFrame, key: str, release_ts: str, sample_ts: str,
+                   treatment: str, max_elapsed: float = 60.0, units: str = "mins", **how) -> DataFrame:
+    """``pit_recapture`` where ids repeat: each recapture is matched to one
+    release, the last of its id at or before the sample (ties by treatment,
+    then by the other columns of ``releases``)."""
+    rest = [c for c in releases.columns if c not in (key, release_ts, treatment)]
+    best = J.last_before(recaptures, releases, key, sample_ts, release_ts, [treatment, *rest])
+    best = best.where(F.col(release_ts).isNotNull())
+    return label_recaptures(best, release_ts, sample_ts, treatment, max_elapsed, units, **how)
+
+
 def injury_summary(recap: DataFrame, treatment: str, injury_cols: Sequence[str],
                    control: Sequence[str] = ("control",)) -> DataFrame:
     """Injury totals per injury x (control, pump), wide (``spread``).

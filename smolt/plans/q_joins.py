@@ -125,3 +125,34 @@ def join_first_event(spark, d):
     out = J.elapsed_since(first, T.releases(spark, d), "tag", "first_ts", "release_ts",
                           "time_to_pass", "hours")
     return rounded(out, ["time_to_pass"])
+
+
+@query("dup_key_report", """
+SELECT o_custkey AS tag, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1""")
+def dup_key_report(spark, d):
+    """Ids with more than one release: a join on them fans out."""
+    return J.dup_key_report(T.table(spark, d, "orders").select(F.col("o_custkey").alias("tag")), "tag")
+
+
+BEST_SQL = """
+SELECT o.o_custkey AS tag, l.l_orderkey, l.l_linenumber, l.l_shipdate AS sample_ts, r.o_orderkey AS release_id, r.o_orderdate AS release_ts,
+       r.o_orderpriority AS treatment
+FROM (SELECT *, row_number() OVER () AS rid FROM lineitem) l JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN orders r ON r.o_custkey = o.o_custkey AND r.o_orderdate <= l.l_shipdate
+QUALIFY row_number() OVER (PARTITION BY l.rid ORDER BY r.o_orderdate DESC NULLS LAST, r.o_orderpriority, r.o_orderkey) = 1"""
+
+
+def repeated_ids(spark, d):
+    """Samples and releases whose id repeats: line items by their customer,
+    and the customer's orders."""
+    o = T.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("tag"), F.col("o_orderdate").alias("release_ts"),
+                                           F.col("o_orderpriority").alias("treatment"))
+    li = T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("sample_ts"))
+    samples = li.join(o.select("o_orderkey", "tag"), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    return samples, o.withColumnRenamed("o_orderkey", "release_id")
+
+
+@query("join_last_before", BEST_SQL)
+def join_last_before(spark, d):
+    """The last release of a sample's id at or before the sample."""
+    samples, releases = repeated_ids(spark, d)
+    return J.last_before(samples, releases, "tag", "sample_ts", "release_ts", ["treatment", "release_id"])

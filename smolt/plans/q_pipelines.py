@@ -42,6 +42,7 @@ from smolt.functions.nullsafe import isin_safe  # noqa: E402
 from smolt.operators import aggregates as A  # noqa: E402
 from smolt.operators import joins as J  # noqa: E402
 from smolt.plans import pipelines as P  # noqa: E402
+from smolt.plans.q_joins import BEST_SQL, repeated_ids  # noqa: E402
 from smolt.plans.sqlparts import REL, SITES, TAGS  # noqa: E402
 
 W_TAG = "OVER (PARTITION BY tag ORDER BY ts, tie)"
@@ -90,6 +91,18 @@ def pit_recapture(spark, d):
                    ["time_diff"])
 
 
+@query("pit_best_match", f"""
+SELECT tag, l_orderkey, l_linenumber, release_id, treatment, round(CAST(epoch_us(sample_ts) - epoch_us(release_ts) AS DOUBLE) / 86400e6, 6) AS time_diff,
+       CASE WHEN treatment IN ('{CONTROL}') THEN 'control' ELSE 'archimedes' END AS release_group
+FROM ({BEST_SQL}) WHERE release_ts IS NOT NULL AND CAST(epoch_us(sample_ts) - epoch_us(release_ts) AS DOUBLE) / 86400e6 < 60
+  AND (treatment IS NULL OR treatment NOT IN ('{EXCLUDED}'))""")
+def pit_best_match(spark, d):
+    """PIT recaptures where ids repeat: each sample counts for one release."""
+    samples, releases = repeated_ids(spark, d)
+    out = P.pit_best_match(releases, samples, "tag", "release_ts", "sample_ts", "treatment", 60.0, "days", exclude=[EXCLUDED], control=[CONTROL])
+    return rounded(out.select("tag", "l_orderkey", "l_linenumber", "release_id", "treatment", "time_diff", "release_group"), ["time_diff"])
+
+
 @query("injury_summary", f"""
 WITH r AS ({RECAP_SQL}),
 l AS (SELECT CASE WHEN treatment IN ('{CONTROL}') THEN 'control' ELSE 'pump' END AS pump, injury, value
