@@ -115,21 +115,9 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 @query("pivot_count_distinct", f"""
 SELECT d.site, {', '.join(f"CAST(NULLIF(count(DISTINCT CASE WHEN t.release_group = '{s}' THEN d.tag END), 0) AS BIGINT) AS {s}" for s in SEGMENTS)}
-FROM ({DET}) d JOIN ({TAGS}) t ON d.tag = t.tag WHERE d.value > 99.7 GROUP BY d.site""")
-def pivot_count_distinct(spark, d):
-    # few enough detections that some (site, group) cells are empty
-    j = T.detections(spark, d).filter(F.col("value") > 99.7).join(T.tags(spark, d), "tag")
-    p = A.pivot_agg(j, ["site"], "release_group", SEGMENTS, F.count_distinct("tag"))
-    # spread(): a cell without a tag is NULL, not 0
-    return p.select("site", *[F.when(F.col(s) > 0, F.col(s)).cast("long").alias(s) for s in SEGMENTS])
-
-
-@query("pivot_count_distinct_all", f"""
-SELECT d.site, {', '.join(f"CAST(NULLIF(count(DISTINCT CASE WHEN t.release_group = '{s}' THEN d.tag END), 0) AS BIGINT) AS {s}" for s in SEGMENTS)}
 FROM ({DET}) d JOIN ({TAGS}) t ON d.tag = t.tag GROUP BY d.site""")
-def pivot_count_distinct_all(spark, d):
-    """Over all detections; the key without the suffix keeps those above 99.7
-    alone, as its SQL states."""
+def pivot_count_distinct(spark, d):
+    """Distinct tags of all detections by site and release group."""
     return _distinct_tags(T.detections(spark, d).join(T.tags(spark, d), "tag"))
 
 

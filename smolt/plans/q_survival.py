@@ -279,7 +279,7 @@ RANKED = [("m1", 2, 1.0), ("m2", 5, 0.97), ("m3", 9, 0.95)]  # name, parameters,
 _RANKED_SQL = ", ".join(f"('{m}', {k}, {x!r})" for m, k, x in RANKED)
 
 
-@query("model_rank", f"""
+@query("model_rank_fixed", f"""
 WITH {LL_CTE}, b AS ({LL_BASE}),
 x AS (SELECT dataset, -2 * sum(n * ({LL_EXPR})) AS dev, CAST(sum(n * length(replace(substr(ch, 1, {K - 1}), '0', ''))) AS BIGINT) AS ess
       FROM b JOIN pc USING (grp) GROUP BY dataset),
@@ -290,7 +290,7 @@ e AS (SELECT *, aicc - min(aicc) OVER (PARTITION BY dataset) AS delta_aicc FROM
 SELECT dataset, model, round(neg2lnl, 6) AS neg2lnl, k, ess, round(aic, 6) AS aic, round(aicc, 6) AS aicc, round(bic, 6) AS bic,
        round(delta_aicc, 6) AS delta_aicc,
        round(exp(-delta_aicc / 2) / sum(exp(-delta_aicc / 2)) OVER (PARTITION BY dataset), 6) AS weight FROM e""")
-def model_rank(spark, d):
+def model_rank_fixed(spark, d):
     """Ranking of three models per region, on deviances at fixed parameters."""
     freq = dataset_frequencies(spark, d)
     dev = S.cjs_loglik(freq, fixed_params(freq, ["dataset"]), "grp", K, ["dataset"]).groupBy("dataset").agg((-2 * F.sum("loglik")).alias("dev"))
@@ -301,24 +301,23 @@ def model_rank(spark, d):
     return rounded(t, ["neg2lnl", "aic", "aicc", "bic", "delta_aicc", "weight"])
 
 
-@query("model_rank_fitted")
-def model_rank_fitted(spark, d):
-    """Ranking of the six fitted models of every region; the key without the
-    suffix ranks one deviance at fixed parameters, as its SQL states it."""
+@query("model_rank")
+def model_rank(spark, d):
+    """Ranking of the six fitted models of every region."""
     # the bounded frequency table feeds the fits and the sample sizes
     freq = reuse_small(dataset_frequencies(spark, d))
     fits = S.fit_models(freq, "grp", SEGMENTS, K, MODELS)
     return S.model_table(fits, H.effective_sample_size(freq, K, ["dataset"]))
 
 
-@query("real_estimates", f"""
+@query("real_estimates_fixed", f"""
 WITH r AS (SELECT DISTINCT dataset FROM ({FREQ_DS_SQL})),
 b AS (SELECT * FROM (VALUES (1, 'Phi:(Intercept)', 0.9, 0.11), (2, 'Phi:groupX', -1.7, 0.45), (3, 'p:(Intercept)', 2.3, 0.08)) AS t(i, label, b, se))
 SELECT dataset, 'Phi(~group)p(~dot)' AS model, split_part(label, ':', 1) AS param, CAST(i AS INTEGER) AS beta_index, label,
        CAST(b AS DOUBLE) AS estimate, CAST(se AS DOUBLE) AS se, round(1 / (1 + exp(-b)), 6) AS real,
        round(1 / (1 + exp(-(b - {S.Z95} * se))), 6) AS real_lcl, round(1 / (1 + exp(-(b + {S.Z95} * se))), 6) AS real_ucl
 FROM r, b""")
-def real_estimates(spark, d):
+def real_estimates_fixed(spark, d):
     """Betas through the inverse logit, at fixed betas for every region."""
     beta = [(1, "Phi:(Intercept)", 0.9, 0.11), (2, "Phi:groupX", -1.7, 0.45), (3, "p:(Intercept)", 2.3, 0.08)]
     spec = F.explode(F.array(*[F.struct(F.lit(i).alias("beta_index"), F.lit(n).alias("label"), F.lit(b).alias("estimate"),
@@ -329,15 +328,14 @@ def real_estimates(spark, d):
     return rounded(S.real_estimates(fits), ["real", "real_lcl", "real_ucl"])
 
 
-@query("real_estimates_fitted")
-def real_estimates_fitted(spark, d):
-    """Real-scale estimates of the fitted Phi(~group)p(~1) per region; the
-    key without the suffix maps fixed betas, as its SQL states them."""
+@query("real_estimates")
+def real_estimates(spark, d):
+    """Real-scale estimates of the fitted Phi(~group)p(~1) per region."""
     return S.real_estimates(_fits(spark, d, [("group", "dot")]))
 
 
-# independent of the operator: every possible history of every cohort is listed
-@query("gof_stats", f"""
+# independent of the operator and its fits: every possible history of every cohort is listed
+@query("gof_stats_fixed", f"""
 WITH {LL_CTE}, b AS ({LL_BASE}),
 coh AS (SELECT dataset, grp, f, sum(n) AS N FROM b GROUP BY dataset, grp, f),
 poss AS (SELECT dataset, grp, f, N, repeat('0', CAST(f AS INTEGER) - 1) || '1'
@@ -355,7 +353,7 @@ k AS (SELECT a.*, q.cohorts, neg2lnl - sat AS dev, cells - q.cohorts - 12 AS ddf
 SELECT dataset, round(neg2lnl, 6) AS neg2lnl, round(dev, 6) AS deviance, CAST(ddf AS BIGINT) AS deviance_df, round(dev / NULLIF(ddf, 0), 6) AS c_hat,
        round(pearson, 5) AS pearson_chisq, possible, pdf AS pearson_df, round(pearson / pdf, 6) AS pearson_chat, round(sbar, 6) AS s_bar,
        round(pearson / pdf / (1 + sbar), 6) AS fletcher_chat FROM k""")
-def gof_stats(spark, d):
+def gof_stats_fixed(spark, d):
     """Goodness of fit per region at fixed parameters that differ by
     occasion and group (12 counted as estimated)."""
     freq = reuse_small(dataset_frequencies(spark, d))
@@ -365,10 +363,9 @@ def gof_stats(spark, d):
         "pearson_chisq", F.round("pearson_chisq", 5)), [])
 
 
-@query("gof_stats_fitted")
-def gof_stats_fitted(spark, d):
-    """Goodness of fit of Phi(~1)p(~1) per region at the fitted values; the
-    key without the suffix takes fixed parameters, as its SQL states them."""
+@query("gof_stats")
+def gof_stats(spark, d):
+    """Goodness of fit of the fitted Phi(~1)p(~1) per region."""
     freq = reuse_small(dataset_frequencies(spark, d))
     fits = reuse_small(S.fit_models(freq, "grp", SEGMENTS, K, [("dot", "dot")]))
     kk = fits.groupBy("dataset").agg(F.first("k").alias("k"))

@@ -1,4 +1,4 @@
-"""Queries that do the whole job beside the keys whose SQL states a part of it."""
+"""Queries over fits and whole tables, against fits on the driver and plain counting."""
 
 import numpy as np
 import pytest
@@ -28,7 +28,7 @@ def fitted(spark):
 
 
 def test_real_estimates_are_fitted_per_region(spark, fitted):
-    rows = run(spark, "real_estimates_fitted")
+    rows = run(spark, "real_estimates")
     assert {r["dataset"] for r in rows} == {ds for ds, _ in fitted}
     for r in rows:
         labels, beta, se = fitted[r["dataset"], "Phi(~group)p(~dot)"][:3]
@@ -39,7 +39,7 @@ def test_real_estimates_are_fitted_per_region(spark, fitted):
 
 
 def test_model_rank_ranks_the_fitted_grid(spark, fitted):
-    rows = run(spark, "model_rank_fitted")
+    rows = run(spark, "model_rank")
     assert {(r["dataset"], r["model"]) for r in rows} == set(fitted) and len(rows) == len(fitted)
     for r in rows:
         n2, k = fitted[r["dataset"], r["model"]][3:5]
@@ -56,7 +56,7 @@ def test_pivot_counts_the_tags_of_all_detections(spark):
     for r in T.detections(spark, SF001).select("site", "tag").collect():
         if r["tag"] in group:
             cells.setdefault(r["site"], {}).setdefault(group[r["tag"]], set()).add(r["tag"])
-    got = {r.pop("site"): r for r in run(spark, "pivot_count_distinct_all")}
+    got = {r.pop("site"): r for r in run(spark, "pivot_count_distinct")}
     assert got == {site: {s: len(c[s]) if s in c else None for s in q_aggs.SEGMENTS} for site, c in cells.items()}
 
 
@@ -70,7 +70,7 @@ def test_pivot_cell_without_a_tag_is_null(spark):
 
 def test_goodness_of_fit_is_that_of_the_fitted_model(spark, fitted):
     freq = Q.dataset_frequencies(spark, SF001).toPandas()
-    rows = run(spark, "gof_stats_fitted")
+    rows = run(spark, "gof_stats")
     assert {r["dataset"] for r in rows} == {ds for ds, _ in fitted} and len(rows) == len(set(r["dataset"] for r in rows))
     for r in rows:
         n2, k = fitted[r["dataset"], "Phi(~dot)p(~dot)"][3:5]
