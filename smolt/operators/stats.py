@@ -4,9 +4,9 @@ Everything reducible to sums is an aggregate (``welch_t_test``, box-plot
 statistics, histograms). Shapiro-Wilk needs the rank of each value within
 its group; ranks come from the skew-bounded row numbering in ``windows``
 and the coefficients from Royston's (1992) approximation, so no group is
-ever collected into one task. The only Python in this module is two
-Arrow-batched element-wise functions (normal quantile, t distribution)
-that Spark SQL has no built-in for.
+ever collected into one task. Normal quantiles and tails and the t
+distribution are column expressions (``functions/distributions.py``); the
+numpy forms here are for local arrays.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from smolt.functions import distributions as D
+
 
 # ---------------------------------------------------------------- Welch t
 
@@ -47,8 +48,8 @@ def welch_t_test(df: DataFrame, value: str, group: str, first: str, second: str,
                    "n_a", "n_b", "mean_a", "mean_b", (F.col("mean_a") - F.col("mean_b")).alias("estimate"),
                    t.alias("t"), dof.alias("df"), F.sqrt(se2a + se2b).alias("__se"))
     if with_p:
-        reach = _t_reach_udf(F.col("df")) * F.col("__se")
-        out = out.withColumns({"p_value": t_two_sided_p(F.col("t"), F.col("df")),
+        reach = D.t_reach(F.col("df")) * F.col("__se")
+        out = out.withColumns({"p_value": D.t_two_sided(F.col("t"), F.col("df")),
                                "conf_low": F.col("estimate") - reach, "conf_high": F.col("estimate") + reach})
     return out.drop("__se")
 
@@ -107,28 +108,6 @@ def t_sf_two_sided(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return _betainc(dof / 2.0, np.full_like(dof, 0.5), x)
 
 
-def _lazy_pandas_udf(fn, rtype: str):
-    """Build the Arrow UDF on first use (creating one needs a session)."""
-    cache = {}
-
-    def call(*cols):
-        if "u" not in cache:
-            cache["u"] = F.pandas_udf(fn, rtype)
-        return cache["u"](*cols)
-    return call
-
-
-def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
-    ok = t.notna() & dof.notna()
-    out = pd.Series(np.nan, index=t.index)
-    if ok.any():
-        out[ok] = t_sf_two_sided(t[ok].to_numpy(), dof[ok].to_numpy())
-    return out
-
-
-_t_p_udf = _lazy_pandas_udf(_t_p, "double")
-
-
 def t_quantile(dof: np.ndarray, level: float = 0.95) -> np.ndarray:
     """|t| beyond which a share ``1 - level`` of Student's t lies (bisection)."""
     lo, hi = np.zeros_like(dof), np.full_like(dof, 1e6)
@@ -139,21 +118,6 @@ def t_quantile(dof: np.ndarray, level: float = 0.95) -> np.ndarray:
     return (lo + hi) / 2
 
 
-def _t_reach(dof: pd.Series) -> pd.Series:
-    out = pd.Series(np.nan, index=dof.index)
-    ok = dof.notna()
-    if ok.any():
-        out[ok] = t_quantile(dof[ok].to_numpy(dtype=float))
-    return out
-
-
-_t_reach_udf = _lazy_pandas_udf(_t_reach, "double")
-
-
-def t_two_sided_p(t: Column, dof: Column) -> Column:
-    return _t_p_udf(t, dof)
-
-
 # ---------------------------------------------------------------- box plots
 
 def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], coef: float = 1.5) -> DataFrame:
@@ -220,17 +184,6 @@ SW_SMALL_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
 SW_LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
 SW_LARGE_SD = (-0.4803, -0.082676, 0.0030302)
 
-# Acklam's rational approximation of the normal quantile.
-_QA = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-       1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
-_QB = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-       6.680131188771972e+01, -1.328068155288572e+01)
-_QC = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-       -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
-_QD = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-       3.754408661907416e+00)
-
-
 def norm_ppf(p: np.ndarray) -> np.ndarray:
     """Standard normal quantile, vectorised (relative error ~1e-9)."""
     p = np.asarray(p, dtype=float)
@@ -239,10 +192,10 @@ def norm_ppf(p: np.ndarray) -> np.ndarray:
     mid = ~lo & ~hi & (p > 0) & (p < 1)
     q = p[mid] - 0.5
     r = q * q
-    a, b = _QA, _QB
+    a, b = D.QUANTILE_A, D.QUANTILE_B
     out[mid] = ((((((a[0] * r + a[1]) * r + a[2]) * r + a[3]) * r + a[4]) * r + a[5]) * q
                 / (((((b[0] * r + b[1]) * r + b[2]) * r + b[3]) * r + b[4]) * r + 1))
-    c, d = _QC, _QD
+    c, d = D.QUANTILE_C, D.QUANTILE_D
     for mask, sign in ((lo & (p > 0), 1.0), (hi & (p < 1), -1.0)):
         pp = p[mask] if sign > 0 else 1 - p[mask]
         q = np.sqrt(-2 * np.log(pp))
@@ -251,20 +204,6 @@ def norm_ppf(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ppf(p: pd.Series) -> pd.Series:
-    return pd.Series(norm_ppf(p.to_numpy(dtype=float)), index=p.index)
-
-
-def _upper_tail(z: pd.Series) -> pd.Series:
-    v = z.to_numpy(dtype=float)
-    out = np.array([0.5 * math.erfc(x / math.sqrt(2)) if np.isfinite(x) else np.nan for x in v])
-    return pd.Series(out, index=z.index)
-
-
-_ppf_udf = _lazy_pandas_udf(_ppf, "double")
-_upper_tail_udf = _lazy_pandas_udf(_upper_tail, "double")
-
-
 def _poly(coefs, x: Column) -> Column:
     acc = F.lit(0.0)
     for i, c in enumerate(coefs):
@@ -281,7 +220,7 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
        every value (a hot group is spread over many tasks).
     2. One aggregate per group gives n, the variance and the group's rank
        offset (its smallest row number); Blom scores ``m_i`` of the rank
-       within the group come from an Arrow-batched normal quantile.
+       within the group are a column expression.
     3. One aggregate per group collects sum m_i^2, sum m_i x_i over the
        middle ranks and the four extreme values; W and its p-value are
        then column expressions on the group table.
@@ -306,7 +245,7 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     nn = F.col("n")
     n = nn.cast("double")
     i = F.col("__rid") - F.col("__before")
-    r = r.withColumn("__i", i).withColumn("__m", _ppf_udf((F.col("__i") - 0.375) / (n + 0.25)))
+    r = r.withColumn("__i", i).withColumn("__m", D.norm_quantile((F.col("__i") - 0.375) / (n + 0.25)))
     big = nn > 5
     special = (F.col("__i") == 1) | (F.col("__i") == nn) | \
         (big & ((F.col("__i") == 2) | (F.col("__i") == nn - 1)))
@@ -316,8 +255,8 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
         F.sum(F.when(~special, F.col("__m") * F.col("__x")).otherwise(0.0)).alias("__mid"),
         ext(1).alias("__x1"), ext(2).alias("__x2"), ext(nn - 1).alias("__xn1"), ext(nn).alias("__xn"))
     g = _join_by_keys(g, s, by)
-    g = g.withColumns({"__mn": _ppf_udf((n - 0.375) / (n + 0.25)),
-                       "__mn1": _ppf_udf((n - 1.375) / (n + 0.25)), "__u": 1 / F.sqrt(n)})
+    g = g.withColumns({"__mn": D.norm_quantile((n - 0.375) / (n + 0.25)),
+                       "__mn1": D.norm_quantile((n - 1.375) / (n + 0.25)), "__u": 1 / F.sqrt(n)})
     u, mm = F.col("__u"), F.col("__mm")
     # groups below three values get NULL throughout (no division errors)
     an = F.when(nn == 3, F.lit(math.sqrt(0.5))).otherwise(
@@ -343,5 +282,5 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     w = w.withColumn("__z", F.when(nn >= 12, z_large).when(nn >= 4, z_small))
     p3 = F.greatest(F.lit(6 / math.pi) * (F.asin(F.sqrt(F.col("W"))) - F.asin(F.sqrt(F.lit(0.75)))),
                     F.lit(0.0))
-    pval = F.when(nn == 3, p3).when(nn >= 4, _upper_tail_udf(F.col("__z")))
+    pval = F.when(nn == 3, p3).when(nn >= 4, D.norm_upper(F.col("__z")))
     return w.select(*user_by, nn.cast("long").alias("n"), "W", pval.alias("p_value"))
