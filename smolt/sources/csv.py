@@ -10,17 +10,14 @@ from __future__ import annotations
 
 import csv
 import re
-from collections import OrderedDict
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BOM = "﻿"
-#: Header lines that the driver reads at the same time.
-HEADER_READERS = 32
 
 
 def r_names(names: Sequence[str]) -> list[str]:
@@ -67,35 +64,17 @@ def scan_csv_names(spark: SparkSession, path: str, types: Mapping[str, str] | No
     return df
 
 
-def _list_files(spark: SparkSession, directory: str, pattern: str) -> list[str]:
-    """File listing through the Hadoop FileSystem (works on any cluster FS)."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(directory)
-    fs = p.getFileSystem(conf)
-    rx = re.compile(pattern)
-    out = []
-    it = fs.listFiles(p, True)
-    while it.hasNext():
-        st = it.next()
-        name = st.getPath().getName()
-        if rx.search(name) and not name.startswith((".", "_")):
-            out.append(st.getPath().toString())
-    return sorted(out)
-
-
-def _first_line(spark: SparkSession, path: str) -> str:
-    """Header line of one file, read through the Hadoop FileSystem."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-    finally:
-        stream.close()
-    return (line or "").lstrip(BOM)
+def headers_by_file(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
+    """(header, files): the first lines of the directory's files whose name
+    matches ``pattern``, each with the paths it heads. Tasks read the lines;
+    a file's first one is the first of its split at offset 0. Empty files
+    have no header."""
+    lines = spark.read.option("recursiveFileLookup", True).text(directory).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
+        F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where((F.col("offset") == 0) & F.col("name").rlike(pattern)).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    first = first.withColumn("header", F.regexp_replace("header", f"^{BOM}", ""))
+    return first.where(F.col("header") != "").groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
 
 
 def scan_csv_dir_by_name(spark: SparkSession, directory: str, pattern: str,
@@ -105,24 +84,18 @@ def scan_csv_dir_by_name(spark: SparkSession, directory: str, pattern: str,
     Files are grouped by header line (a header lists the columns in that
     file's order); each group is one parallel scan whose schema follows
     the group's header, and the groups are unioned by name with missing
-    columns as NULL. Only file names and header lines are read by the
-    driver (metadata, as for any file listing), many files at a time.
+    columns as NULL. The headers are read and grouped in the cluster; the
+    driver opens no file and gets the distinct headers with their paths.
     """
-    files = _list_files(spark, directory, pattern)
-    if not files:
-        raise FileNotFoundError(f"no file matching {pattern!r} under {directory}")
-    groups: OrderedDict[str, list[str]] = OrderedDict()
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        headers = list(pool.map(lambda f: _first_line(spark, f), files))
-    for f, header in zip(files, headers):
-        if header:  # an empty part file has no header and no rows
-            groups.setdefault(header, []).append(f)
+    groups = sorted(headers_by_file(spark, directory, pattern).collect(), key=lambda r: r["files"][0])
+    if not groups:
+        raise FileNotFoundError(f"no file with a header matching {pattern!r} under {directory}")
     by_name = {fld.name: fld for fld in schema.fields}
     parts = []
-    for header, members in groups.items():
+    for header, files in groups:
         cols = [c.strip() for c in next(csv.reader([header]))]
         sch = T.StructType([by_name.get(c, T.StructField(c, T.StringType())) for c in cols])
-        df = scan_csv(spark, members, sch)
+        df = scan_csv(spark, [unquote(f) for f in files], sch)  # metadata paths are URIs
         if with_file:
             df = df.withColumn("source_file", F.col("_metadata.file_name"))
         parts.append(df)

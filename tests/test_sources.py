@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import types as T
 
 from smolt.session import scratch_dir
@@ -44,6 +45,28 @@ def test_dir_scan_by_header_name(spark):
                     ("fd99", "archimedes2", "ham.ds", "c_release.csv")]
 
 
+def test_dir_scan_reads_headers_in_tasks(spark):
+    """Names with spaces, a byte-order mark, quoted commas, a split file, sub-folders."""
+    base = scratch_dir(spark, "many files").replace("file:", "")
+    rows = "".join(f'"x, {i}",{i}\n' for i in range(3000))
+    _write(f"{base}/one 1.csv", "\ufeffname,n\n" + rows)
+    _write(f"{base}/sub folder/two.csv", "n,name\n7,y\nn,name\n")
+    _write(f"{base}/sub folder/three.csv", "name,extra\nz,1\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        heads = {r["header"]: len(r["files"]) for r in C.headers_by_file(spark, base, r"\.csv$").collect()}
+        df = C.scan_csv_dir_by_name(spark, base, r"\.csv$", T.StructType([T.StructField("name", T.StringType()), T.StructField("n", T.IntegerType())]))
+        got = sorted(((r["name"], r["n"], r["extra"]) for r in df.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert heads == {"name,n": 1, "n,name": 1, "name,extra": 1}
+    # a later line that equals the header is a row, whose number does not parse
+    assert got == sorted([(f"x, {i}", i, None) for i in range(3000)] + [("y", 7, None), ("name", None, None), ("z", None, "1")], key=str)
+    with pytest.raises(FileNotFoundError):
+        C.scan_csv_dir_by_name(spark, base, r"\.parquet$", df.schema)
+
+
 def test_bom_short_rows(spark):
     base = scratch_dir(spark, "vr2w").replace("file:", "")
     header = ",".join(["Date and Time (UTC)", "Receiver", "Transmitter", "Transmitter Name",
