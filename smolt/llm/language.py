@@ -21,7 +21,7 @@ ORDERS = (1, 2, 3)
 #: Largest broadcast matrix in bytes (buckets are halved until it fits), and most languages.
 MATRIX, LANGUAGES = 64 << 20, 1024
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and number signs such as ² or Ⅷ
 
 
 def fold(key: Column) -> Column:
@@ -29,6 +29,10 @@ def fold(key: Column) -> Column:
     return remainder(key, 4) == 2
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def ngrams(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: the bucket of every n-gram of the lower-cased texts,
     and the row ends (len(texts) + 1 offsets)."""
@@ -117,7 +121,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             pred, top = np.full(len(texts), len(prior)), np.zeros(len(texts))
-            known = np.array([bool(_LETTER.search(t)) for t in texts], bool)
+            known = np.array([has_letter(t) for t in texts], bool)
             if len(prior):
                 for lo, hi in chunks(texts, 1 << 20):
                     s = scores(texts[lo:hi], prior, shared.value)

@@ -57,3 +57,11 @@ def test_odd_documents(table, odd):
     nothing = L.train(table([]), F.lit(True))
     assert {r["lang_pred"] for r in L.predict(docs, nothing).collect()} == {"und"}
     assert L.predict(table([]), m).collect() == []
+
+
+def test_number_signs_are_no_letters(table):
+    texts = ["² ½ ①", "Ⅷ", "² x", "_ 12", "٣", "ª"]
+    assert [L.has_letter(t) for t in texts] == [False, False, True, False, False, True]
+    m = L.train(table([(1, "some words")]), F.lit(True))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.predict(table(list(enumerate(texts))), m).collect()}
+    assert got == {0: ("und", 0.0), 1: ("und", 0.0), 2: ("en", 1.0), 3: ("und", 0.0), 4: ("und", 0.0), 5: ("en", 1.0)}
