@@ -110,7 +110,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """(id, lang_pred, score) for every row, from its whole text.
 
     ``score`` is the posterior of the predicted language; ties go to the
-    first language by name. A null or empty text, one without a letter, or
+    first language by name; a very long text is scored whole. A null or empty
+    text, one without a letter (number signs are none), or
     a model without languages gives 'und' and 0. Repeated rows are each
     scored; other columns are not read; an empty table gives no rows.
     """

@@ -306,7 +306,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     Returns id, n_tokens, n_known, train_tokens, base_score and score (sums
     of log10 probabilities over the whole text). A null or empty text is one
-    end token. Rows are scored one by one, so repeated rows and ids stay;
+    end token, a very long one is scored in one piece, whole. Rows are scored
+    one by one, so repeated rows and ids stay;
     other columns are not read; an empty table gives no rows; with nothing
     to learn from every token is unknown.
 

@@ -183,7 +183,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, id_col: str = "
     Returns one row per piece: doc_id, start (the document's ids before
     it), length, doc_tokens (with the end id), sequence_id, offset in the
     sequence, and ids (unsigned 32-bit, little-endian). All sequences are
-    full but the last. A null or empty text is one end id; null and
+    full but the last. A null or empty text is one end id, a very long one
+    runs through as many sequences as it fills; null and
     repeated ids are carried as they are (each row is packed by itself);
     an empty table gives no rows; other columns are not read.
     """

@@ -238,7 +238,8 @@ def encode(docs: DataFrame, model_file: str, power: float = 1.0, seed: int = 0,
 
     The draw depends on ``seed``, the id and the text alone, not on the
     partitioning; rows of equal id and text get equal draws. A null text
-    gives null ids, an empty one no ids. A null id is a key like any other.
+    gives null ids, an empty one no ids, a very long one all of its pieces in
+    one row. A null id is a key like any other.
     Other columns are not read; an empty table gives no rows.
     """
 

@@ -128,7 +128,7 @@ def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
     broken rules) and ``kept`` (none is broken).
 
     A null or empty text has no words, lines or symbols and breaks the
-    rules that ask for a least count. Rows are judged alone: repeated rows
+    rules that ask for a least count; a very long one is measured whole. Rows are judged alone: repeated rows
     get equal verdicts, an empty table gives none, and other columns pass
     unchanged (a column named as ``out`` is replaced).
     """

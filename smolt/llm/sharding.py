@@ -98,7 +98,7 @@ def histogram_shards(docs: DataFrame, shards: int = 40, tolerance: float = 0.001
     (UTF-8 bytes of the text plus 16), text_crc32, shard, slot (gapless
     from 0 in each shard, in key order). Added columns replace input
     columns of the same name. A null text has no bytes and checksum 0; a
-    null id is a key like any other; equal rows stay as many as they are
+    text longer than a shard's share makes its shard larger; a null id is a key like any other; equal rows stay as many as they are
     and may fall to different shards; an empty table gives no rows. Shards
     can be empty when there are fewer rows than shards.
 

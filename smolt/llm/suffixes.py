@@ -191,7 +191,8 @@ def passages(docs: DataFrame, least: int = LEAST, window: int = WINDOW, id_col:
     one) and cuts (those covered by a window that occurs earlier, in the
     order of id, nulls last, text hash and position); both as (start,
     length) in words. Words are compared as they are; blanks between them
-    do not matter. Null, empty and short texts have no passage. Rows of
+    do not matter. Null, empty and short texts have no passage, very long
+    ones are read whole. Rows of
     equal id and text are one document. Other columns are not read; an
     empty table gives no rows.
     """

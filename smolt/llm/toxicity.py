@@ -375,9 +375,9 @@ def _evidence(a: int, b: int, pos: int, neg: int) -> float:
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a double column ``out`` between 0 and 1, from the whole
-    restored text. Null and empty texts score as texts without a hit; other
-    columns pass unchanged (a column named as ``out`` is replaced); equal
-    texts get equal scores.
+    restored text, however long. Null and empty texts score as texts without
+    a hit; other columns pass unchanged (a column named as ``out`` is
+    replaced); equal texts get equal scores; an empty table gives no rows.
     """
     counts, weights, theta = model["grams"], model["weights"], np.array(model["theta"])
 
