@@ -4,7 +4,8 @@ Stages, in order: quality rules (rejected documents go), toxicity (rejected
 documents go), SimHash near-duplicates (one document of each class stays),
 repeated passages (cut but where they occur first), packing. Each stage
 reads what the one before it kept and wrote; all but the last return the
-columns of their input.
+columns of their input, whatever their names. An empty table passes every
+stage and packs into no piece.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below 0.5, with a model learnt
-    from the labelled ones among ``docs``. Null and empty texts stay."""
+    from the labelled ones among ``docs``. Null and empty texts stay, very
+    long ones are restored whole, repeated rows are judged alike."""
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, ~toxicity.fold(F.col("doc_id")))
@@ -38,20 +40,23 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash class (null ids
-    last, then the first row)."""
+    last, then the first row). Texts without a word are one class; very long
+    ones count with all their shingles."""
     prepare(spark)
     return simhash.keep_one(docs, SHINGLE, BITS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with passages of 50 words or more cut wherever they
-    occur a second time; n_chars counts the text that is left."""
+    occur a second time; n_chars counts the text that is left. Null, empty
+    and short texts stay as they are, very long ones are read whole."""
     prepare(spark)
     return suffixes.remove_repeats(docs, PASSAGE, chars_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full sequences of 2048 tokens, with their ids."""
+    """Pieces of full sequences of 2048 tokens, with their ids. A null or
+    empty text is one end id, a very long one fills many sequences."""
     from public_tokenizers import path
     prepare(spark)
     return packing.pack(docs, path("word_bpe_49k.json"))
