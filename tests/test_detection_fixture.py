@@ -39,20 +39,19 @@ def _frames(spark):
     return det, rel, sites, fish, study
 
 
-def _clean(spark, bucket):
+def _clean(spark):
     det, rel, sites, fish, study = _frames(spark)
-    return P.detection_clean(det, study, rel, sites, fish, bucket_seconds=bucket)
+    return P.detection_clean(det, study, rel, sites, fish)
 
 
 def test_detection_clean_fixture(spark):
-    for bucket in (86400, 60):
-        got = sorted((r["tag"], r["ts"], r["site"], r["diff_time"]) for r in _clean(spark, bucket).collect())
-        assert got == [(1, at(145), "up", None), (1, at(300), "down", 155.0),
-                       (1, at(500), "up", 200.0), (4, at(200), "mission", None)], bucket
+    got = sorted((r["tag"], r["ts"], r["site"], r["diff_time"]) for r in _clean(spark).collect())
+    assert got == [(1, at(145), "up", None), (1, at(300), "down", 155.0),
+                   (1, at(500), "up", 200.0), (4, at(200), "mission", None)]
 
 
 def test_upstream_artifact_fixture(spark):
-    c = _clean(spark, 60).select("tag", "site", "ts", "tie")
+    c = _clean(spark).select("tag", "site", "ts", "tie")
     out = P.upstream_artifact_filter(c, ["up"], ["down"], ["up"])
     got = sorted((r["tag"], r["ts"], r["move_dir"]) for r in out.collect())
     assert got == [(1, at(145), "DOWN"), (1, at(300), "DOWN"), (4, at(200), "DOWN")]
