@@ -11,11 +11,12 @@ links, never all pairs. Copies share one fingerprint and join as one node.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smolt.llm.common import fresh, give_back, written
@@ -128,8 +129,9 @@ def walk(a: np.ndarray, b: np.ndarray, budget: int) -> Forest:
 
 
 def cells(fps: DataFrame, most: int) -> list[tuple[int, int]]:
-    """(depth, prefix) of trie nodes with at most ``most`` fingerprints that
-    together hold all; counts of 64 descendants a node come to the driver."""
+    """(depth, prefix) of trie nodes that hold from 1 to ``most`` fingerprints
+    and together all. Counts of 64 descendants a node come to the driver: a
+    number of rows that is set by the cells, never by their pairs."""
     out: list[tuple[int, int]] = []
     total, open_, d = fps.count(), [0], 0
     if total <= most:
@@ -145,6 +147,8 @@ def cells(fps: DataFrame, most: int) -> list[tuple[int, int]]:
         def cut(prefix: int, depth: int) -> None:
             w = d + step - depth
             n = sum(count.get((prefix << w) + i, 0) for i in range(1 << w))
+            if not n:
+                return
             if n <= most and depth > d or depth == 64:
                 out.append((depth, prefix))
             elif depth == d + step:
@@ -159,54 +163,73 @@ def cells(fps: DataFrame, most: int) -> list[tuple[int, int]]:
     return sorted(out, key=lambda x: x[1] << 64 - x[0])
 
 
-def cell_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
-    """Pairs i <= j of cells whose common prefix bits differ in at most
-    ``budget``, by the same walk over the top of the trie."""
+def partners(i: int, depth: np.ndarray, lows: np.ndarray, budget: int) -> np.ndarray:
+    """Cells j >= i whose common prefix bits differ from those of cell i in
+    at most ``budget`` places: node pairs of the trie's top that survive."""
+    w = np.minimum(depth[i], depth[i:])
+    mask = np.where(w > 0, ~_U(0) << (64 - np.maximum(w, 1)).astype(_U), _U(0))
+    return i + np.flatnonzero(np.bitwise_count((lows[i] ^ lows[i:]) & mask) <= budget)
+
+
+def cell_pairs(spark: SparkSession, nodes: list[tuple[int, int]], budget: int) -> DataFrame:
+    """(cell, pair, side): both cells of every pair that the budget allows,
+    found by tasks that take some cells each; no list of pairs anywhere."""
     depth = np.array([d for d, _ in nodes])
     lows = np.array([p << 64 - d for d, p in nodes], _U)
-    out = []
-    for i in range(len(nodes)):
-        w = np.minimum(depth[i], depth[i:])
-        mask = np.where(w > 0, ~_U(0) << (64 - np.maximum(w, 1)).astype(_U), _U(0))
-        out += [(i, i + int(j)) for j in np.flatnonzero(np.bitwise_count((lows[i] ^ lows[i:]) & mask) <= budget)]
-    return out
+    n = len(nodes)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                j = partners(i, depth, lows, budget)
+                pair, other = i * n + j, j[j > i]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([np.full(len(j), i), other])), pa.array(np.concatenate([pair, pair[j > i]])),
+                    pa.array(np.repeat(np.array([0, 1], np.int32), [len(j), len(other)]))], ["cell", "pair", "side"])
+
+    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, n, 1, tasks).mapInArrow(find, "cell long, pair long, side int")
+
+
+def cell_size(total: int, cores: int) -> int:
+    """At most CELL fingerprints; fewer, down to 1,024, while the pairs of
+    cells would leave cores idle. Classes never depend on it."""
+    return min(CELL, max(1024, total // math.isqrt(8 * cores)))
 
 
-def links(fps: DataFrame, budget: int, cell: int = CELL) -> DataFrame:
+def links(fps: DataFrame, budget: int, cell: int | None = None) -> DataFrame:
     """Spanning links (a, b) of all fingerprints (column fp, distinct) that
     differ in at most ``budget`` bits."""
-    nodes = cells(fps, cell)
-    pairs = cell_pairs(nodes, budget)
+    spark = fps.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    nodes = cells(fps, cell or cell_size(fps.count(), cores))
     lows = np.array([p << 64 - d for d, p in nodes], _U)
-    of: list[list[tuple[int, int]]] = [[] for _ in nodes]
-    for k, (i, j) in enumerate(pairs):
-        of[i].append((k, 0))
-        if i != j:
-            of[j].append((k, 1))
+    n = len(nodes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.sort(b.column(0).to_numpy().view(_U))
             at = np.append(np.searchsorted(x, lows), len(x))
-            rows = [(k, s, x[at[c]:at[c + 1]].tobytes()) for c in np.flatnonzero(np.diff(at)) for k, s in of[c]]
-            if rows:
-                k, s, blob = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.int32()), pa.array(blob, pa.binary())],
-                                                 ["pair", "side", "fps"])
+            held = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([x[at[c]:at[c + 1]].tobytes() for c in held], pa.binary())],
+                                             ["cell", "fps"])
 
     def join(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
         blobs = t.column("fps").to_pylist()
         a, b = (np.sort(np.frombuffer(b"".join(x for x, s in zip(blobs, side) if s == w), _U)) for w in (0, 1))
-        i, j = pairs[t.column("pair")[0].as_py()]
+        i, j = divmod(t.column("pair")[0].as_py(), n)
         x = a if i == j else np.concatenate([a, b])
         label = walk(a, a if i == j else b, budget).label
         out = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": pa.array(x[out].view(np.int64)), "b": pa.array(x[label[out]].view(np.int64))})
 
+    # sorted first, so that a batch holds long runs of few cells
+    parts = fps.select("fp").repartitionByRange("fp").sortWithinPartitions("fp").mapInArrow(deal, "cell long, fps binary")
+    dealt = parts.join(cell_pairs(spark, nodes, budget), "cell").select("pair", "side", "fps")
     # a stated number of partitions: few bytes a pair, but much work, so pairs must not be merged into few tasks
-    return (fps.select("fp").mapInArrow(deal, "pair int, side int, fps binary").repartition(len(pairs), "pair")
-            .groupBy("pair").applyInArrow(join, "a long, b long"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
+    return dealt.repartition(tasks, "pair").groupBy("pair").applyInArrow(join, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str = "doc_id",

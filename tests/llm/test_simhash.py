@@ -76,3 +76,30 @@ def test_walk_against_all_pairs():
                 x[n - 1 - i] = x[i] ^ np.uint64(1 << int(b))
         x = np.unique(x)
         assert simhash.walk(x, x, 4).label.tolist() == classes([int(v) for v in x], 4)
+
+
+@pytest.mark.parametrize("cell", [1, 20])
+def test_thousands_of_cells(spark, cell):
+    """Pairs of cells are found in tasks: same classes as over all pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**63, 2000, dtype=np.uint64) * np.uint64(2)
+    for i in range(600):
+        for b in rng.integers(0, 64, rng.integers(1, 7)):
+            x[1999 - i] = x[1999 - i] if b == 63 else x[i] ^ np.uint64(1 << int(b))
+    x = np.unique(x)
+    fps = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    nodes = simhash.cells(fps, cell)
+    assert len(nodes) == len(x) if cell == 1 else len(nodes) > 100
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(fps, 4, cell)).collect()}
+    own = [int(v) for v in x.view(np.int64)]
+    groups, want = {}, {}
+    for v, c in zip(own, classes([int(v) for v in x], 4)):
+        groups.setdefault(found.get(v, v), set()).add(v)
+        want.setdefault(c, set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_cell_size_uses_idle_cores():
+    assert simhash.cell_size(10, 6) == 1024
+    assert simhash.cell_size(60_000, 6) == 10_000
+    assert simhash.cell_size(10**9, 6000) == simhash.CELL
