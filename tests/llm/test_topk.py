@@ -41,6 +41,27 @@ def test_against_all_pairs(spark, monkeypatch, kind):
     assert found(topk.top_k(table_of(spark, rows), F.col("id") % 10 == 0)) == brute(rows, lambda i: i % 10 == 0)
 
 
+def test_cells_out_of_reach_stay_away(spark, monkeypatch):
+    """In separate clusters, rows meet the queries of few cells."""
+    monkeypatch.setattr(topk, "ROWS_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 10)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20, 16))[rng.integers(0, 20, 1200)] * 4 + 0.02 * rng.normal(size=(1200, 16))
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+    table = table_of(spark, rows)
+    d = topk.deal(table, F.col("id") % 20 == 0)
+    cells, per_query = d.cells.count(), [len(r["cells"]) for r in topk.surviving(d, 10).collect()]
+    assert d.cells.agg(F.sum("parts")).first()[0] >= 30 and len(per_query) == 60
+    assert sum(per_query) < 0.4 * cells * len(per_query)
+    assert found(topk.top_k(table, F.col("id") % 20 == 0)) == brute(rows, lambda i: i % 20 == 0)
+
+
+def test_lengths_that_the_sample_lacks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SAMPLE", 1)
+    rows = [(i, [float(i % 7), 1.0, 2.0][:1 + i % 3]) for i in range(60)]
+    assert found(topk.top_k(table_of(spark, rows), F.col("id") % 10 == 0)) == brute(rows, lambda i: i % 10 == 0)
+
+
 def test_odd_vectors(spark):
     one = [1.0, -0.5]
     rows = [(0, one), (100, one), (100, [0.25, 2.0]), (1, None), (2, [1.0, None]), (3, [math.nan, 1.0]), (4, [math.inf, 0.0]), (5, []),
