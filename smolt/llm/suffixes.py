@@ -9,9 +9,17 @@ agree are extended left and right to all windows of ``least`` words around
 them, which are sorted and compared in the same way. Runs of repeated
 windows are the passages.
 
-Both sorts are range partitioned on (hash, document, position): a hash that
-a third of all rows share is spread over many tasks, and the first and last
-row of each task settle what neighbours on other tasks say.
+Neighbours alone would lose passages: of three suffixes in order the middle
+one may differ from both on the left while the outer two agree there. The
+second sort therefore takes every window around a match, whichever suffix
+it agrees with.
+
+Suffixes are candidates, keyed by 64 bits of their first words; windows are
+compared by 128 bits of all their words, as 64 would confuse some windows of
+a corpus of 10^13 words. Both sorts are range partitioned on (hash,
+document, position): a hash that a third of all rows share is spread over
+many tasks, which stream their rows; the first and last row of each task
+settle what neighbours on other tasks say.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from smolt.llm.common import fresh, give_back, written
-from smolt.llm.tokens import Words, bytes_of, text_chunks
+from smolt.llm.tokens import CHECK_BASE, Words, bytes_of, text_chunks
 
 LEAST = 50
 #: Suffixes of which one is retained; a retained suffix is known by LEAST - WINDOW + 1 words.
@@ -61,50 +69,67 @@ def _identity(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h")
 
 
-def _order() -> list[Column]:
-    return [F.col("key"), F.col("id").asc_nulls_last(), F.col("h"), F.col("p")]
-
-
 def agreeing(rows: DataFrame) -> DataFrame:
     """Rows (key, id, h, p) whose key another row has: (id, h, p, earlier),
     where ``earlier`` tells that one comes before it in the order of (id,
-    h, p). Equal rows count once."""
+    h, p). Equal rows count once. A column ``check`` belongs to the key. Each
+    task streams its sorted rows and holds back one."""
+    keys = [c for c in ("key", "check") if c in rows.columns]
+    names = [*keys, "id", "h", "p"]
+    order = [*map(F.col, keys), F.col("id").asc_nulls_last(), F.col("h"), F.col("p")]
+
+    def same(t: pa.Table, columns: list[str]) -> np.ndarray:
+        """Rows 1.. that equal the row before in long columns."""
+        out = np.ones(max(0, t.num_rows - 1), bool)
+        for c in columns:
+            x = t.column(c).to_numpy()
+            out &= x[1:] == x[:-1]
+        return out
+
+    def marked(t: pa.Table, prev: np.ndarray, agrees: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = np.flatnonzero(agrees | edge)
+        if len(keep):
+            t = t.take(pa.array(keep))
+            pid = np.full(len(keep), TaskContext.get().partitionId(), np.int32)
+            for n, x in (("earlier", prev[keep]), ("agrees", agrees[keep]), ("edge", edge[keep]), ("pid", pid)):
+                t = t.append_column(n, pa.array(x))
+            yield from t.combine_chunks().to_batches()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
-            return
-        t = pa.Table.from_batches(batches).combine_chunks()
-        key, h, p = (t.column(c).to_numpy() for c in ("key", "h", "p"))
-        new = np.ones(len(key), bool)
-        same = (key[1:] == key[:-1]) & (h[1:] == h[:-1]) & (p[1:] == p[:-1])
-        if same.any():
-            k = np.flatnonzero(same)
-            ids = t.column("id")
-            new[1 + k] = [a != b for a, b in zip(ids.take(pa.array(k)).to_pylist(), ids.take(pa.array(k + 1)).to_pylist())]
-        own = np.flatnonzero(new)
-        key = key[own]
-        prev = np.concatenate(([False], key[1:] == key[:-1]))
-        nxt = np.append(prev[1:], False)
-        edge = np.zeros(len(own), bool)
-        edge[[0, -1]] = True
-        keep = np.flatnonzero(prev | nxt | edge)
-        out = t.take(pa.array(own[keep]))
-        pid = np.full(len(keep), TaskContext.get().partitionId(), np.int32)
-        for n, x in (("earlier", prev[keep]), ("agrees", (prev | nxt)[keep]), ("edge", edge[keep]), ("pid", pid)):
-            out = out.append_column(n, pa.array(x))
-        yield from out.select(["key", "id", "h", "p", "earlier", "agrees", "edge", "pid"]).combine_chunks().to_batches()
+        held, held_prev, begun = None, False, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            twin = np.flatnonzero(same(t, [*keys, "h", "p"]))
+            new = np.ones(t.num_rows, bool)
+            if len(twin):
+                ids = t.column("id")
+                new[1 + twin] = [x != y for x, y in zip(ids.take(pa.array(twin)).to_pylist(), ids.take(pa.array(twin + 1)).to_pylist())]
+            t = t.take(pa.array(np.flatnonzero(new)))
+            nxt = same(t, keys)
+            prev = np.concatenate(([held_prev], nxt))
+            edge = np.zeros(len(nxt), bool)
+            if len(nxt):
+                edge[0], begun = not begun, True
+                yield from marked(t.slice(0, len(nxt)), prev[:-1], prev[:-1] | nxt, edge)
+            held, held_prev = t.take(pa.array([len(nxt)])), prev[-1]
+        if held is not None:
+            last = np.array([held_prev])
+            yield from marked(held, last, last, np.ones(1, bool))
 
     kind = rows.schema["id"].dataType.simpleString()
-    seen = written(rows.select("key", "id", "h", "p").repartitionByRange(*_order()).sortWithinPartitions(*_order()).mapInArrow(
-        compare, f"key long, id {kind}, h long, p int, earlier boolean, agrees boolean, edge boolean, pid int"), "suffix-runs")
-    key = Window.partitionBy("key")
+    head = "".join(f"{c} long, " for c in keys)
+    seen = written(rows.select(*names).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        compare, f"{head}id {kind}, h long, p int, earlier boolean, agrees boolean, edge boolean, pid int"), "suffix-runs")
+    key = Window.partitionBy(*keys)
     edges = (seen.where("edge")  # two rows of each task
              .withColumn("low", F.min("pid").over(key)).withColumn("high", F.max("pid").over(key))
              .withColumn("earlier", F.col("earlier") | (F.col("low") < F.col("pid")))
              .withColumn("agrees", F.col("agrees") | (F.col("low") < F.col("high"))).where("agrees"))
-    names = ("id", "h", "p", "earlier")
-    return seen.where("agrees AND NOT edge").select(*names).unionByName(edges.select(*names))
+    out = ("id", "h", "p", "earlier")
+    return seen.where("agrees AND NOT edge").select(*out).unionByName(edges.select(*out))
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,12 +189,13 @@ def repeated_windows(docs: DataFrame, least: int, window: int, id_col: str, text
                 hit[b.column(3)[i].values.field("p").to_numpy()] = True
                 s = first[hit[p]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.grams(least)[s].view(np.int64)), pa.array([who[i][0]] * len(s), b.schema.field(0).type),
-                     pa.array(np.full(len(s), who[i][1])), pa.array(s.astype(np.int32))], ["key", "id", "h", "p"])
+                    [pa.array(w.grams(least)[s].view(np.int64)), pa.array(w.grams(least, CHECK_BASE)[s].view(np.int64)),
+                     pa.array([who[i][0]] * len(s), b.schema.field(0).type), pa.array(np.full(len(s), who[i][1])),
+                     pa.array(s.astype(np.int32))], ["key", "check", "id", "h", "p"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     around = _by_document(matched, _scan(docs, id_col, text_col)).select("id", "h", "text", "found")
-    return agreeing(around.mapInArrow(extend, f"key long, id {kind}, h long, p int"))
+    return agreeing(around.mapInArrow(extend, f"key long, check long, id {kind}, h long, p int"))
 
 
 def _runs(starts: np.ndarray, least: int) -> list[dict]:

@@ -24,6 +24,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BASE, GRAM_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Base of a second hash of the same words.
+CHECK_BASE = 0xA24BAED4963EE407
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xA0761D6478BD642F))
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
@@ -84,11 +86,11 @@ class Words:
         self.row = np.searchsorted(self.start, at)
         self.hash = ranges(_BYTE[_LOWER[data]] if lower else _BYTE[data], BASE, self.start, self.end)
 
-    def grams(self, n: int) -> np.ndarray:
+    def grams(self, n: int, base: int = GRAM_BASE) -> np.ndarray:
         """Hash of the n words at each position (only where n words remain
         in the batch; rows are not minded)."""
         lo = np.arange(max(0, len(self.hash) - n + 1))
-        return ranges(self.hash, GRAM_BASE, lo, lo + n)
+        return ranges(mix(self.hash + _U(base)) if base != GRAM_BASE else self.hash, base, lo, lo + n)
 
 
 def text_chunks(at: np.ndarray, most: int = 1 << 19):

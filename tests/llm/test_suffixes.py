@@ -94,3 +94,25 @@ def test_odd_documents(table, odd):
     copies = [(i, " ".join(f"x{k}" for k in range(60))) for i in (3, None, 2, 2)]
     assert {r["id"]: (words_of(r["spans"]) == set(range(60)), len(words_of(r["cuts"]))) for r in S.passages(table(copies)).collect()} == {
         2: (True, 0), 3: (True, 60), None: (True, 60)}
+
+
+@pytest.mark.parametrize("batch", [1, 3, 4000])
+def test_streams_agree_for_any_batch_and_task(spark, batch):
+    """Hot keys over many tasks and batches, equal rows, null ids, and rows
+    whose key agrees while the check does not."""
+    rng = random.Random(batch)
+    rows = [(rng.choice([1, 1, 1, 2, 3, k]), rng.randrange(2), rng.choice([None, 1, 2, k]), rng.randrange(3), rng.randrange(20)) for k in range(400)]
+    rows += rows[:50]
+    want = defaultdict(list)
+    for key, check, i, h, p in set(rows):
+        want[key, check].append((i is None, i or 0, h, p))
+    want = sorted((null, i, h, p, k > 0) for v in want.values() if len(v) > 1 for k, (null, i, h, p) in enumerate(sorted(v)))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(batch))
+    try:
+        df = spark.createDataFrame(rows, "key long, check long, id long, h long, p int").repartition(5)
+        got = S.agreeing(df).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert sorted((r["id"] is None, r["id"] or 0, r["h"], r["p"], r["earlier"]) for r in got) == want
