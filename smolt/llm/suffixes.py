@@ -91,6 +91,8 @@ def agreeing(rows: DataFrame) -> DataFrame:
         if len(keep):
             t = t.take(pa.array(keep))
             pid = np.full(len(keep), TaskContext.get().partitionId(), np.int32)
+            for n, c in enumerate(keys):  # only edges are compared again
+                t = t.set_column(n, c, pa.array(t.column(c).to_numpy(), mask=~edge[keep]))
             for n, x in (("earlier", prev[keep]), ("agrees", agrees[keep]), ("edge", edge[keep]), ("pid", pid)):
                 t = t.append_column(n, pa.array(x))
             yield from t.combine_chunks().to_batches()
