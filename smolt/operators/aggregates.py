@@ -44,17 +44,22 @@ _INF = float("inf")
 
 
 def _key_join(rows: DataFrame, groups: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """``rows`` with the group table's columns; without keys the one row of
+    """``rows`` with columns of the group table, which has each group's
+    number of values ``__n``. Rows stay in their task: only groups of more
+    than ``ACCURACY`` values are broadcast, at most one per ``ACCURACY``
+    rows, and the rows of smaller ones get NULL. Without keys the one row of
     the group table is a scalar subquery."""
     if by:
-        return _join_by_keys(rows, groups.select(*by, *cols), by)
+        large = groups.where(F.col("__n") > ACCURACY).select(*by, *cols)
+        return _join_by_keys(rows, F.broadcast(large), by, "left")
     one = groups.select(F.struct(*cols).alias("s")).scalar()
     return rows.withColumn("__one", one).select(*rows.columns, *[F.col("__one")[c].alias(c) for c in cols])
 
 
 def _sketched(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float], more: Sequence[Column] = ()) -> DataFrame:
-    """One aggregate per group: brackets ``__lo{k}``, ``__hi{k}`` that hold
-    the order statistics around quantile k, and the columns of ``more``."""
+    """One aggregate per group: its number of values ``__n``, brackets
+    ``__lo{k}``, ``__hi{k}`` that hold the order statistics around quantile
+    k, and the columns of ``more``."""
     x = F.col(value).cast("double")
     wide = 4.0 / ACCURACY
     ends = [e for p in probs for e in (max(0.0, p - wide), min(1.0, p + wide))]
@@ -68,35 +73,33 @@ def _sketched(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[floa
         lo, hi = F.col("__q")[2 * k], F.col("__q")[2 * k + 1]
         cols[f"__lo{k}"] = F.when(small | (F.lit(ends[2 * k]) == 0), F.col("__min")).otherwise(lo)
         cols[f"__hi{k}"] = F.when(small | (F.lit(ends[2 * k + 1]) == 1) | (hi == _INF), F.col("__max")).otherwise(hi)
-    return g.withColumns(cols).drop("__q", "__n", "__min", "__max")
+    g = g.withColumns(cols).drop("__q", "__min", "__max")
+    # kept whole, not pruned for each reader, so that all of them share one exchange and one read of the input
+    return g.select(F.inline(F.array(F.struct(*g.columns))))
 
 
-def _ranked(df: DataFrame, value: str, by: Sequence[str], groups: DataFrame, probs: Sequence[float], names: Sequence[str],
-            carry: Sequence[str] = ()) -> DataFrame:
-    """Quantiles from the brackets of ``_sketched``: (by..., carry...,
-    names...). ``carry`` are columns of ``groups``; with any, groups without
-    a value stay."""
+def _ranked(df: DataFrame, value: str, by: Sequence[str], groups: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Quantiles from the brackets of ``_sketched``: (by..., __n, names...).
+    Every value of a group of at most ``ACCURACY`` is ranked."""
     by = list(by)
     ks = range(len(probs))
     bounds = [f"__{e}{k}" for k in ks for e in ("lo", "hi")]
     x = F.col("__x")
-    df = df if carry else df.filter(F.col(value).isNotNull())
-    rows = _key_join(df.select(*by, F.col(value).cast("double").alias("__x")), groups, by, [*bounds, *carry])
-    inside = x.isNotNull() & _any([(x >= F.col(f"__lo{k}")) & (x <= F.col(f"__hi{k}")) for k in ks])
+    rows = _key_join(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x")), groups, by, bounds)
+    inside = F.col("__lo0").isNull() | _any([(x >= F.col(f"__lo{k}")) & (x <= F.col(f"__hi{k}")) for k in ks])
     # rows between brackets count together, right after the bracket below them
     below = [F.when(F.col(f"__hi{k}") < x, F.col(f"__hi{k}")) for k in ks]
     below = F.greatest(*below) if len(below) > 1 else below[0]
-    counts = (rows.select(*by, *carry, F.when(inside, x).otherwise(below).alias("__x"), (~F.coalesce(inside, F.lit(False))).alias("__gap"),
-                          F.when(x.isNotNull(), 1).otherwise(0).alias("__one"))
-              .groupBy(*by, "__x", "__gap").agg(F.sum("__one").alias("__c"), *[F.first(c).alias(c) for c in carry]))
+    counts = (rows.select(*by, F.when(inside, x).otherwise(below).alias("__x"), (~inside).alias("__gap"))
+              .groupBy(*by, "__x", "__gap").agg(F.count(F.lit(1)).alias("__c")))
     order = Window.partitionBy(*by).orderBy(F.col("__x").asc_nulls_first(), "__gap")
     counts = counts.withColumns({"__up": F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)),
                                  "__n": F.sum("__c").over(Window.partitionBy(*by))})
     h = [(F.col("__n") - 1).cast("double") * F.lit(float(p)) + 1 for p in probs]
     ranks = [r for v in h for r in (F.floor(v).cast("long"), F.least(F.floor(v).cast("long") + 1, F.col("__n")))]
     at = [(r > F.col("__up") - F.col("__c")) & (r <= F.col("__up")) for r in ranks]
-    picked = (counts if carry else counts.filter(_any(at))).groupBy(*by, "__n").agg(
-        *[F.first(c).alias(c) for c in carry], *[F.max(F.when(c, F.struct(F.col("__x").alias("x"), F.col("__gap").alias("gap")))).alias(f"__r{k}") for k, c in enumerate(at)])
+    picked = counts.filter(_any(at)).groupBy(*by, "__n").agg(
+        *[F.max(F.when(c, F.struct(F.col("__x").alias("x"), F.col("__gap").alias("gap")))).alias(f"__r{k}") for k, c in enumerate(at)])
 
     def between(k: int, v: Column) -> Column:
         a, b = F.col(f"__r{2 * k}"), F.col(f"__r{2 * k + 1}")
@@ -104,7 +107,7 @@ def _ranked(df: DataFrame, value: str, by: Sequence[str], groups: DataFrame, pro
         q = F.when(a["x"] == b["x"], a["x"]).otherwise(a["x"] + (v - F.floor(v)) * (b["x"] - a["x"]))
         return F.when(lost, F.raise_error(F.lit("a quantile's bracket misses its rank")).cast("double")).otherwise(q)
 
-    return picked.select(*by, *carry, *[between(k, v).alias(nm) for k, (v, nm) in enumerate(zip(h, names))])
+    return picked.select(*by, "__n", *[between(k, v).alias(nm) for k, (v, nm) in enumerate(zip(h, names))])
 
 
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str],
@@ -115,12 +118,14 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str],
     The input is read twice, at every size: one aggregate with a sketch of
     known error brackets the wanted ranks, one counts the values inside the
     brackets. Only those are ranked: 8 / ``ACCURACY`` of a large group's
-    rows for each quantile. Infinities are values like others, NaN is above
-    them; between two different neighbours floating-point arithmetic holds.
-    NULL values are ignored; a group with no value is absent.
+    rows for each quantile. Rows are counted where they are read, so no task
+    sorts or holds those of a large group. Infinities are values like
+    others, NaN is above them; between two different neighbours
+    floating-point arithmetic holds. NULL values are ignored; a group with
+    no value is absent.
     """
     by = list(by)
-    return _ranked(df, value, by, _sketched(df, value, by, probs), probs, names)
+    return _with_quantiles(df, value, by, [], [], probs, names).filter(F.col("__n") > 0).drop("__n")
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -159,20 +164,29 @@ def median_min_max(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
 
 
 def _with_median(df: DataFrame, col: str, by: list[str], more: Sequence[Column], names: Sequence[str]) -> DataFrame:
-    base = _sketched(df, col, by, [0.5], more)
+    return _with_quantiles(df, col, by, more, names, [0.5], ["median"]).drop("__n")
+
+
+def _with_quantiles(df: DataFrame, value: str, by: list[str], more: Sequence[Column], more_names: Sequence[str],
+                    probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """(by..., __n, more_names..., names...), one row per group; groups
+    without a value stay, with NULL quantiles."""
+    base = _sketched(df, value, by, probs, more)
+    q = _ranked(df, value, by, base, probs, names).drop("__n")
     if by:
-        return _ranked(df, col, by, base, [0.5], ["median"], names)
-    return base.select(*names, _ranked(df, col, by, base, [0.5], ["median"]).select("median").scalar().alias("median"))
+        return _join_by_keys(base.select(*by, "__n", *more_names), q, by, "left")
+    one = q.select(F.struct(*names).alias("s")).scalar()
+    return base.withColumn("__one", one).select("__n", *more_names, *[F.col("__one")[c].alias(c) for c in names])
 
 
-def _join_by_keys(big: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Inner join on group keys, NULL-safe (a NULL group is a group)."""
+def _join_by_keys(big: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys, NULL-safe (a NULL group is a group)."""
     sm = small.withColumnsRenamed({c: f"__k_{c}" for c in by})
     cond = None
     for c in by:
         e = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
         cond = e if cond is None else cond & e
-    return big.join(sm, cond, "inner").drop(*[f"__k_{c}" for c in by])
+    return big.join(sm, cond, how).drop(*[f"__k_{c}" for c in by])
 
 
 def first_last(df: DataFrame, by: Sequence[str], ts: str,

@@ -125,20 +125,29 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], coef: float = 1.
 
     Hinges are exact type-7 quantiles (``exact_quantiles``); whiskers are
     the most extreme values inside ``coef * IQR`` of the hinges; values
-    beyond are counted as outliers, in one more aggregate over the table.
+    beyond are counted as outliers, in one more read of the table. There the
+    rows of a large group meet their hinges where they are read and shrink
+    to one row a task; a smaller group's values meet them after the shuffle.
     """
-    from smolt.operators.aggregates import _key_join, exact_quantiles
+    from smolt.operators.aggregates import _join_by_keys, _key_join, _ranked, _sketched
     by = list(by)
-    hinges = ["lower", "middle", "upper"]
-    q = exact_quantiles(df, value, by, [0.25, 0.5, 0.75], hinges)
-    x = F.col("__x")
-    rows = _key_join(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x")), q, by, hinges)
+    hinges, probs = ["lower", "middle", "upper"], [0.25, 0.5, 0.75]
+    q = _ranked(df, value, by, _sketched(df, value, by, probs), probs, hinges)
+    x, v = F.col("__x"), F.col("__v")
     reach = F.lit(coef) * (F.col("upper") - F.col("lower"))
-    inside = (x >= F.col("lower") - reach) & (x <= F.col("upper") + reach)
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(inside, x)).alias("ymin"), *[F.first(c).alias(c) for c in hinges],
-        F.max(F.when(inside, x)).alias("ymax"), F.count(F.when(~inside, F.lit(1))).alias("n_outliers")).select(
-        *by, "n", "ymin", *hinges, "ymax", "n_outliers")
+
+    def inside(c: Column) -> Column:
+        return (c >= F.col("lower") - reach) & (c <= F.col("upper") + reach)
+
+    rows = _key_join(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x")), q, by, hinges)
+    parts = rows.groupBy(*by, F.when(F.col("lower").isNull(), x).alias("__v")).agg(
+        F.count(F.lit(1)).alias("__c"), F.min(F.when(inside(x), x)).alias("__lo"), F.max(F.when(inside(x), x)).alias("__hi"),
+        F.count(F.when(~inside(x), F.lit(1))).alias("__out"))
+    out = F.when(v.isNull(), F.col("__out")).when(inside(v), F.lit(0)).otherwise(F.col("__c"))
+    return _join_by_keys(parts, q.drop("__n"), by).groupBy(*by).agg(
+        F.coalesce(F.sum("__c"), F.lit(0)).alias("n"), F.min(F.coalesce("__lo", F.when(inside(v), v))).alias("ymin"),
+        *[F.first(c).alias(c) for c in hinges], F.max(F.coalesce("__hi", F.when(inside(v), v))).alias("ymax"),
+        F.coalesce(F.sum(out), F.lit(0)).alias("n_outliers"))
 
 
 # ---------------------------------------------------------------- histograms

@@ -87,3 +87,44 @@ def test_the_input_is_read_twice(spark, tmp_path):
         out.collect()
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.split("== Initial Plan ==")[0].count("FileScan parquet") == 2
+
+
+def _before_the_first_exchange(df):
+    """Per scan of the plan, the operators from it up to its first exchange."""
+    lines = [(len(t) - len(t.lstrip(" :+-")), t.lstrip(" :+-")) for t in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    for i, (depth, text) in enumerate(lines):
+        if text.startswith("FileScan"):
+            own = []
+            for d, t in reversed(lines[:i]):
+                if d < depth:
+                    depth = d
+                    if "Exchange" in t:
+                        break
+                    own.append(t)
+            yield own
+
+
+def test_rows_of_a_large_group_are_counted_where_they_are_read(spark, tmp_path):
+    """No task gets a group's rows to sort or join; NULL and small groups beside a hot one."""
+    rng = np.random.default_rng(3)
+    n = 2 * A.ACCURACY
+    groups = {"hot": np.concatenate([rng.normal(size=n), [99.0, -99.0]]), "small": rng.normal(size=101), None: np.array([1.0, 2.0, 3.0, 50.0]), "b": np.array([math.inf, 1.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None), ("small", None)]
+    import pandas as pd
+    spark.createDataFrame(pd.DataFrame(rows, columns=["g", "x"]), "g string, x double").selectExpr("g", "nullif(x, 'NaN') AS x").repartition(4).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    box, stats = boxplot_stats(df, "x", ["g"]), A.summarise_stats(df, ["g"], "x")
+    for out in (box, stats, A.exact_quantiles(df, "x", ["g"], PROBS, NAMES)):
+        scans = list(_before_the_first_exchange(out))
+        assert scans and all(any("Aggregate" in t for t in own) and not any("Sort" in t for t in own) for own in scans)
+    got, med = {r["g"]: r for r in box.collect()}, {r["g"]: r["median"] for r in stats.collect()}
+    assert set(got) == set(groups) and set(med) == {*groups, "none"} and med["none"] is None
+    for g, vs in groups.items():
+        lo, mid, hi = (by_sorting(vs.tolist(), p) for p in (0.25, 0.5, 0.75))
+        fits = vs[(vs >= lo - 1.5 * (hi - lo)) & (vs <= hi + 1.5 * (hi - lo))]
+        r = got[g]
+        assert (r["n"], r["n_outliers"]) == (len(vs), len(vs) - len(fits)) and same(r["middle"], mid) and same(med[g], mid)
+        assert (r["ymin"], r["ymax"]) == ((fits.min(), fits.max()) if len(fits) else (None, None))
+    one = boxplot_stats(df.where("g = 'small'"), "x", []).collect()[0]
+    assert (one["n"], one["ymin"], one["n_outliers"]) == (101, got["small"]["ymin"], got["small"]["n_outliers"])
+    assert boxplot_stats(df.limit(0), "x", []).collect()[0]["n"] == 0
