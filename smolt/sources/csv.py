@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,15 +66,27 @@ def scan_csv_names(spark: SparkSession, path: str, types: Mapping[str, str] | No
     return df
 
 
+def _first_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line of each run of one file's lines."""
+    last = None
+    for batch in batches:
+        files = batch.column("file")
+        if not len(files):
+            continue
+        starts = pa.concat_arrays([pa.array([files[0].as_py() != last]), pc.not_equal(files[1:], files[:-1])])
+        last = files[-1].as_py()
+        yield pa.RecordBatch.from_arrays([files.filter(starts), batch.column("value").filter(starts)], ["file", "header"])
+
+
 def headers_by_file(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
     """(header, files): the first lines of the directory's files whose name
-    matches ``pattern``, each with the paths it heads. Tasks read the lines;
-    a file's first one is the first of its split at offset 0. Empty files
-    have no header."""
-    lines = spark.read.option("recursiveFileLookup", True).text(directory).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
-        F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("at"))
-    first = lines.where((F.col("offset") == 0) & F.col("name").rlike(pattern)).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    matches ``pattern``, each with the paths it heads. Tasks stream the lines
+    and keep none but a file's first, which is the first of its split at
+    offset 0. Empty files have no header."""
+    lines = spark.read.option("recursiveFileLookup", True).text(directory).where(
+        (F.col("_metadata.file_block_start") == 0) & F.col("_metadata.file_name").rlike(pattern)).select(
+        "value", F.col("_metadata.file_path").alias("file"))
+    first = lines.mapInArrow(_first_lines, "file string, header string")
     first = first.withColumn("header", F.regexp_replace("header", f"^{BOM}", ""))
     return first.where(F.col("header") != "").groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
 

@@ -67,6 +67,19 @@ def test_dir_scan_reads_headers_in_tasks(spark):
         C.scan_csv_dir_by_name(spark, base, r"\.parquet$", df.schema)
 
 
+def test_headers_take_no_sort_of_the_lines(spark):
+    """Many small files in one task, equal headers in a row, a blank first line."""
+    base = scratch_dir(spark, "heads").replace("file:", "")
+    for k in range(40):
+        _write(f"{base}/f{k:02d}.csv", ("a,b\n" if k % 3 else "b,a\n") + "a,b\n" * (k * 300))
+    _write(f"{base}/blank.csv", "\na,b\n")
+    heads = C.headers_by_file(spark, base, r"\.csv$")
+    got = {r["header"]: [os.path.basename(f) for f in r["files"]] for r in heads.collect()}
+    assert got == {h: [f"f{k:02d}.csv" for k in range(40) if (k % 3 > 0) == (h == "a,b")] for h in ("a,b", "b,a")}
+    plan = heads._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Sort" not in plan, plan
+
+
 def test_bom_short_rows(spark):
     base = scratch_dir(spark, "vr2w").replace("file:", "")
     header = ",".join(["Date and Time (UTC)", "Receiver", "Transmitter", "Transmitter Name",
