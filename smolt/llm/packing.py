@@ -28,6 +28,11 @@ REMEMBERED = 800_000
 CHUNK = 1 << 20
 
 
+def _plain(text: str) -> bool:
+    """Letters alone, all below those whose lower case takes two characters."""
+    return text.isalpha() and max(text) < "İ"
+
+
 class WordIds:
     """Ids of a text as the joined ids of its ASCII-space separated words.
 
@@ -50,14 +55,15 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
 
     def _alone(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         for w, e in zip(words, got):
             self.known[w] = np.array(e.ids, self.dtype).tobytes()
 
     def _letters(self, words: list[bytes]) -> None:
         for k in range(0, len(words), 1000):
             part = words[k:k + 1000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
+            got = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+            ids = np.array(got[0].ids, self.dtype)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(part) or cut[-1] != len(ids):
                 self._alone(part)
@@ -70,12 +76,9 @@ class WordIds:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
         known, letters, alone, tails = self.known, set(), [], []
-        for w in words:
-            if w in known:
-                continue
+        for w in words.difference(known):
             core = w.rstrip(b".,;:!?")
-            text = core.decode("utf-8", "replace")
-            if text.isalpha() and max(text) < "İ":
+            if core.isalpha() or _plain(core.decode("utf-8", "replace")):
                 if core not in known:
                     letters.add(core)
                 if core != w:
@@ -90,9 +93,9 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]
-        known = self.known
         self.learn(set().union(*split))
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, ws)) for ws in split]
 
 
 _workers: dict[str, WordIds] = {}
